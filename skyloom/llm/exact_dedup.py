@@ -14,7 +14,7 @@ join of rows with their groups is one an adaptive plan splits when skewed.
 
 Defined results: null text is the empty text; empty texts are equal to each other; of equal
 texts the one with most code points before normalisation stays, then the smallest doc_id; null
-doc_ids lose ties; repeated rows each come back as a row; an empty table gives an empty result;
+doc_ids lose ties, and are kept where no copy has an id; repeated rows each come back as a row; an empty table gives an empty result;
 other columns are ignored.
 """
 
@@ -193,4 +193,4 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     rows = written(digests(docs), "digests")
     even = F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(1)) % 2 == 0
     out = dedup_batches(rows.where(even), rows.where(~even))
-    return out.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), F.col("member").alias("in_history"))
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), F.col("member").alias("in_history"))
