@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, lm_score, near_dedup, packing, quality, substring_dedup
+from . import exact_dedup, html_extract, language_id, lm_score, near_dedup, packing, pieces, quality, sharding, substring_dedup
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +29,14 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score", "margin", "accepted")
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op4_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(documents(spark, sf_dir))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), RANKS, PATTERN)
 
@@ -47,6 +56,10 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(documents(spark, sf_dir), words=3, similarity=0.85)
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digested(documents(spark, sf_dir), PIECES)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.cut(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -54,10 +67,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_language_id": op2_language_id,
+    "op3_html_extract": op3_html_extract,
+    "op4_extendible_sharding": op4_extendible_sharding,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_quality_rules": op6_quality_rules,
     "op7_lm_score": op7_lm_score,
     "op8_minhash_dedup": op8_minhash_dedup,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
@@ -67,4 +83,11 @@ ORACLE = {
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
                doc_id = first_value(doc_id) OVER w AS kept, text_sha256
         FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)""",
+    "op4_extendible_sharding": """
+        WITH t AS (SELECT row_number() OVER () AS k, doc_id, CAST(coalesce(octet_length(encode(text)), 0) AS BIGINT) AS n_bytes,
+                   CAST('0x' || substr(md5(concat_ws(chr(31), coalesce(CAST(doc_id AS VARCHAR), ''), coalesce(text, ''))), 1, 15) AS UBIGINT) AS h FROM documents),
+             p AS (SELECT k, doc_id, n_bytes, h, CAST(d AS INT) AS depth, CAST(sum(n_bytes) OVER (PARTITION BY d, h >> CAST(60 - d AS UBIGINT)) AS BIGINT) AS shard_bytes FROM t, range(0, 61) AS r(d)),
+             q AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY depth) AS nth FROM p WHERE shard_bytes <= 1048576)
+        SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '*' ELSE lpad(bin(h >> CAST(60 - depth AS UBIGINT)), depth, '0') END AS shard_id, depth, shard_bytes, false AS oversize
+        FROM q WHERE nth = 1""",
 }
