@@ -1,0 +1,2 @@
+"""No streaming operator: the operators are DataFrame to DataFrame without actions, and those
+without an aggregation (names, calibration, geometry, band expressions) run on a stream as they are."""
