@@ -90,4 +90,22 @@ ORACLE = {
              q AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY depth) AS nth FROM p WHERE shard_bytes <= 1048576)
         SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '*' ELSE lpad(bin(h >> CAST(60 - depth AS UBIGINT)), depth, '0') END AS shard_id, depth, shard_bytes, false AS oversize
         FROM q WHERE nth = 1""",
+    "op8_minhash_dedup": """
+        WITH RECURSIVE t AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+             s AS (SELECT DISTINCT k, md5(array_to_string(w[i : i + 2], ' ')) AS h FROM (SELECT k, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM t WHERE len(w) > 0)),
+             n AS (SELECT k, count(*) AS n FROM s GROUP BY k),
+             p AS (SELECT a.k AS a, b.k AS b, count(*) AS common FROM s a JOIN s b ON a.h = b.h AND a.k < b.k GROUP BY ALL),
+             l AS (SELECT a, b FROM p JOIN n na ON na.k = a JOIN n nb ON nb.k = b WHERE 100 * common >= 85 * (na.n + nb.n - common)),
+             e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+             r AS (SELECT k, k AS o FROM t UNION SELECT r.k, e.b FROM r JOIN e ON r.o = e.a),
+             c AS (SELECT r.k, min(t.doc_id) AS component_id FROM r JOIN t ON t.k = r.o GROUP BY r.k)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM t JOIN c USING (k) LEFT JOIN n USING (k)""",
+    "op10_substring_dedup": """
+        WITH t AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+             v AS (SELECT k, doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS h FROM (SELECT k, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM t WHERE len(w) >= 50)),
+             m AS (SELECT h, min(doc_id) AS low FROM v GROUP BY h),
+             x AS (SELECT DISTINCT k, unnest(range(i, i + 50)) AS j FROM v JOIN m USING (h) WHERE low < doc_id),
+             u AS (SELECT k, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM t),
+             g AS (SELECT u.k, count(*) AS n_words, count(x.j) AS n_removed, string_agg(word, ' ' ORDER BY u.j) FILTER (x.j IS NULL) AS kept FROM u LEFT JOIN x ON u.k = x.k AND u.j = x.j GROUP BY u.k)
+        SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN g USING (k)""",
 }
