@@ -38,12 +38,16 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 BLOCK = {"address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 LEAF = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dd", "dt", "pre", "blockquote", "figcaption", "td", "th", "tr", "tbody", "thead", "tfoot", "table", "ul", "ol", "dl", "caption", "summary", "address", "hgroup"}
 CLOSES_P = BLOCK | SKIP - {"button", "label", "input", "svg", "canvas", "object", "audio", "video", "map", "select"} | {"hr"}
-_CONTAINERS = BLOCK - LEAF
+_CONTAINERS = BLOCK - LEAF | {"header"}
+_ROOTS = ("article", "main", "body", "html")
 #: Words in a class, id or role that mark what is not the article.
 BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|sidebar\w*|side|aside|widget\w*|comments?|comment-?list|disqus|replies|responses|cookies?|consent|gdpr|notice\w*|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share\w*|sharing|social|related|recommend\w*|pagination|pager|toolbar|skip|search|complementary|contentinfo|navigation|hidden)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|masthead|footer|sidebar\w*|side|aside|widget\w*|comments?|comment-?list|disqus|replies|responses|cookies?|consent|gdpr|notice\w*|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share\w*|sharing|social|related|recommend\w*|pagination|pager|toolbar|skip|search|complementary|contentinfo|navigation|hidden)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Of those, what also marks a whole article element, and page headers.
+OTHERS = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies|responses|advert\w*|sponsor\w*|promo\w*|related|recommend\w*)(?:$|[\s_-])", re.IGNORECASE)
+HEADER = re.compile(r"(?:^|[\s_-])(?:page|site|top|main)?-?header(?:$|[\s_-])", re.IGNORECASE)
 _TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<(?P<raw>{'|'.join(RAW)})\b(?P<rawattrs>[^>]*)>.*?(?:</(?P=raw)\s*>|$)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</[^>]*>", re.IGNORECASE | re.DOTALL)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 _DIGITS = re.compile(r"\d+")
@@ -55,7 +59,11 @@ def host_of(url):
 
 
 def _named(tag: str, attrs: str) -> tuple[str, bool]:
-    """(generalised name of an element, whether it is marked as no part of the article)."""
+    """(generalised name of an element, whether it is marked as no part of the article).
+
+    An article or main element is so marked only as a comment, advert or teaser.
+    """
+    boiler = OTHERS if tag in _ROOTS else BOILER
     if "=" not in attrs and "hidden" not in attrs:
         return tag, False
     classes, marked = "", False
@@ -64,7 +72,7 @@ def _named(tag: str, attrs: str) -> tuple[str, bool]:
         if key == "hidden" or key == "aria-hidden" and value == "true":
             marked = True
         elif key != "aria-hidden":
-            marked = marked or bool(BOILER.search(value))
+            marked = marked or bool(boiler.search(value)) or tag not in _ROOTS and bool(HEADER.search(value))
             if key == "class":
                 classes = ".".join(sorted(_DIGITS.sub("0", value).split()))
     return (f"{tag}.{classes}" if classes else tag), marked
@@ -124,7 +132,9 @@ class Page:
             self._pop_to(tag, {"ul", "ol", "dl", "table", "tbody", "select"} | ({"tr"} if tag in ("td", "th") else set()))
         _, container, skipped = self._stack[-1] if self._stack else ("", -1, False)
         name, marked = _named(tag, attrs)
-        skip = skipped or tag in SKIP or (marked and tag not in ("html", "body", "main", "article"))
+        skip = skipped or tag in SKIP or marked and tag not in ("html", "body")
+        if skip and not skipped and (tag == "header" or marked and HEADER.search(attrs) and not BOILER.search(attrs)) and any(t in ("article", "main") for t, _, _ in self._stack):
+            skip = False  # an article's own header holds its title
         if tag in BLOCK or skip != skipped:
             self._flush()
         if not skip and (tag == "#" or tag in _CONTAINERS and self.containers[container][0].count(">") < DEPTH):

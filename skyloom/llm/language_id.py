@@ -2,7 +2,7 @@
 
 Each language is a raw-content zstandard dictionary of ``DICTIONARY`` bytes, cut from at most
 ``SAMPLE`` labelled texts (drawn by hash, at most ``EXCERPT`` characters each, from a place that
-depends on the hash).  That bounded sample is all that is fitted.  A text is reduced to its
+depends on the hash), for at most ``LANGUAGES`` labels.  That bounded sample is all that is fitted.  A text is reduced to its
 letters in lower case, cut into blocks so that the dictionary keeps its weight in long texts,
 and every block is compressed with every dictionary; the language with the smallest total wins.
 The margin is the saving over the second language; a text is rejected below ``MARGIN``.
@@ -29,6 +29,7 @@ from .scratch import base
 DICTIONARY = 112 << 10
 SAMPLE = 600
 EXCERPT = 1024
+LANGUAGES = 200  # most labels that are learned, the most frequent ones
 BLOCK = 1024
 SHORT = 256
 LEVELS = ((6, 4), (12, 3))
@@ -47,7 +48,7 @@ def letters(text: str) -> bytes:
 def learn(docs: DataFrame) -> dict[str, bytes]:
     """The dictionary of each label, from a bounded sample of the labelled rows (doc_id, text, lang)."""
     rows = base(docs, "doc_id", "text", "lang").where("text is not null and lang is not null")
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 40))
     share = F.least(F.lit(1.0), F.lit(2.0 * SAMPLE) / F.col("n"))
     start = 1 + F.pmod(F.xxhash64("doc_id", F.lit("start")), F.greatest(F.lit(1), F.char_length("text") - EXCERPT + 1)).cast("int")

@@ -61,6 +61,14 @@ def test_consensus(spark):
     assert got[6] == "Short."
 
 
+def test_parts_of_a_page(spark):
+    html = """<body><header><p>Site</p></header><main><article class="post"><header class="entry-header"><h1>Title</h1></header><p>Body of the story.</p>
+    <footer>By me</footer></article><article class="comment"><p>Reader says a lot here, more than the story has.</p></article>
+    <div role="complementary">Side</div><div aria-hidden="true">Hidden</div></main><div class="site-header">Top</div></body>"""
+    (row,) = html_extract.extracted(spark.createDataFrame([(1, "u", html, "q", "q")], SCHEMA)).collect()
+    assert row.text == "Title\n\nBody of the story."
+
+
 def test_edge_cases(spark):
     rows = [(1, None, None), (2, None, ""), (3, "x", "plain <b>text</b> only"), (4, "x", "<div><p>a</div></p></div>b<script>if (a<b) '</p>'"), (5, "x", "<p>" * 3000 + "deep"), (6, "x", "<div>" * 300 + "deep"), (6, "x", "1 < 2 && 3 > 2"), (None, "y", "<nav>menu</nav>"), (8, "y", "<p>" + "long " * 100_000)]
     got = html_extract.extracted(spark.createDataFrame([(*r, "q", "q") for r in rows], SCHEMA)).collect()
