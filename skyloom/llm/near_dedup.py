@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .scratch import base, written
+from .scratch import base, hinted, written
 
 ROWS = 5
 BATCH = 25
@@ -305,10 +305,11 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, miss: f
     members = written(members, "members")
 
     def resolve(tiles: DataFrame) -> DataFrame:
-        signed = tiles.join(reps.select("node", "signature").hint("shuffle_merge"), "node")
+        nodes = hinted(written(tiles.select("node").distinct(), "nodes"))
+        signed = tiles.join(reps.select("node", "signature").join(nodes, "node", "left_semi").hint("shuffle_merge"), "node")
         alive = written(survivors(signed, least, hashes), "survivors")
-        wanted = alive.select(F.col("doc").alias("doc_id")).distinct()
-        sets = full_sets(base(docs, "doc_id", "text").join(wanted.hint("shuffle_merge"), "doc_id", "left_semi"), words)
+        wanted = hinted(written(alive.select(F.col("doc").alias("doc_id")).distinct(), "wanted"))
+        sets = full_sets(base(docs, "doc_id", "text").join(wanted, "doc_id", "left_semi"), words)
         return verified(alive, sets, similarity)
 
     tiles = members.where(F.col("n") <= TILE).select(F.col("bucket").alias("tile"), "band", F.lit(0).alias("side"), "node", "doc", F.col("node").alias("label"))

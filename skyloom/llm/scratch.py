@@ -33,3 +33,9 @@ def base(docs: DataFrame, *columns: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def hinted(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
+    """A written table of a few numbers a row, for the small side of a join: broadcast while it has
+    at most ``rows`` rows, else shuffled like the other side."""
+    return F.broadcast(df) if df.count() <= rows else df.hint("shuffle_merge")
