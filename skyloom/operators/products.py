@@ -66,3 +66,17 @@ def write_image(image: DataFrame, path: str) -> None:
 def write_sidecar(metadata: DataFrame, path: str) -> None:
     """One JSON document for each row; NULL parts are left out."""
     metadata.write.json(path)
+
+
+def georeferences(image: DataFrame, transforms: DataFrame, nodata: int | None = None) -> DataFrame:
+    """One row per scene for a georeferenced image: transforms(scene_id, transform, crs) with the size,
+    the number of channels and the nodata value."""
+    channels = [c for c in image.columns if c not in KEYS]
+    size = image.groupBy("scene_id").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))
+    return size.join(transforms, "scene_id", "left").withColumns({"channels": F.lit(len(channels)), "nodata": F.lit(nodata).cast("int")})
+
+
+def write_georeferenced(image: DataFrame, transforms: DataFrame, path: str, nodata: int | None = None) -> None:
+    """The image and its georeference side by side."""
+    write_image(image, f"{path}/image")
+    georeferences(image, transforms, nodata).write.parquet(f"{path}/georef")

@@ -842,3 +842,26 @@ def a20(spark, sf):
     docs = meta.select("scene_id", names.sidecar(meta).alias("json"))
     back = docs.withColumn("d", F.from_json("json", "scene_id string, channels array<struct<band: int, name: string, unit: string>>"))
     return back.select("scene_id", F.size("d.channels").cast("long").alias("n_channels"), F.col("d.channels")[0]["name"].alias("first_name"), F.size(F.filter("d.channels", lambda c: c["unit"] == "K")).cast("long").alias("n_kelvin"))
+
+
+@query("a17_georeferences", f"{WIDE}, {_RGB} SELECT scene_id, CAST(max(y) + 1 AS INT) AS height, CAST(max(x) + 1 AS INT) AS width, -0.16::DOUBLE AS x0, 'geostationary' AS crs, CAST(3 AS INT) AS channels, CAST(0 AS INT) AS nodata FROM i GROUP BY 1")
+def a17(spark, sf):
+    df = extent(spark, sf).select("scene_id", F.col("gt").alias("transform"), spatial.crs_label(F.lit("unknown"), F.lit(False)).alias("crs"))
+    out = products.georeferences(rgb_image(spark, sf), df, 0)
+    return out.select("scene_id", "height", "width", F.col("transform")[0].alias("x0"), "crs", "channels", "nodata")
+
+
+@query("f3_table_check", f"{PX} SELECT band AS channel, count(*) AS n_values, count(*) = 2 * (SELECT count(DISTINCT y) * count(DISTINCT x) FROM px) AS complete FROM px GROUP BY 1")
+def f3(spark, sf):
+    px = pixels(spark, sf)
+    lut = px.select(F.col("band").alias("channel"), F.col("y").alias("i_s"), F.col("x").alias("i_v"), "scene_id")
+    top = px.agg(F.countDistinct("y").alias("s"), F.countDistinct("x").alias("v"), F.lit(2).alias("a"))
+    axes = px.select(F.col("band").alias("channel")).distinct().join(F.broadcast(top)).select("channel", F.explode(F.array("s", "v", "a")).alias("n"))
+    return atmosphere.table_is_complete(lut, axes)
+
+
+ORACLE["p7_daynite"] = f"""{WIDE}, {VIEW}, {_DAY}, dc AS (SELECT scene_id, y, x, {_q('(' + _stretch_sql('rr') + ')', 0, 1)} AS r, {_q('(' + _stretch_sql('(bb * 0.465 + rr * 0.465 + n0 * 0.07)') + ')', 0, 1)} AS g, {_q('(' + _stretch_sql('bb') + ')', 0, 1)} AS b FROM day),
+ {_NIGHT}, nc AS (SELECT nq.scene_id, nq.y, nq.x, {_NIGHT_RGB} FROM nq LEFT JOIN tb ON nq.t = tb.idx LEFT JOIN li ON nq.scene_id = li.scene_id AND nq.y = li.y AND nq.x = li.x), {_MASK.replace('c13 < 200', 'c13 < 263.15')},
+ sh AS (SELECT scene_id, CASE WHEN count(*) FILTER (wt >= 0.5) = 0 THEN 100 ELSE 100.0::DOUBLE * count(*) FILTER (wt < 0.5) / count(*) END AS share FROM mk GROUP BY 1)
+ SELECT mk.scene_id, mk.y, mk.x, {', '.join(f'CASE WHEN 100 - share > 0.1 THEN CAST(trunc(trunc(255 * wt) / 255.0::DOUBLE * nc.{c} + (1 - trunc(255 * wt) / 255.0::DOUBLE) * dc.{c}) AS INT) ELSE dc.{c} END AS {c}' for c in 'rgb')}
+ FROM mk JOIN dc USING (scene_id, y, x) JOIN nc USING (scene_id, y, x) JOIN sh USING (scene_id)"""
