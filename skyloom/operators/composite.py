@@ -28,14 +28,15 @@ NIGHT_SHARE = 0.1  # percent of night pixels from which the night side is blende
 NIGHT_END, TWILIGHT_END = 0.08715574274765817, 0.25881904510252074
 
 
-def quantised(wide: DataFrame, channels: list[tuple[Column, float, float]], gammas: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
-    """Image rows of three (column, low, high); a gamma other than 1 is applied within the range first."""
+def quantised(wide: DataFrame, channels: list[tuple[Column, float, float]], gammas: tuple[float, float, float] = (1.0, 1.0, 1.0), keep: tuple[str, ...] = ()) -> DataFrame:
+    """Image rows of three (column, low, high) with the columns of ``keep``; a gamma other than 1 is
+    applied within the range first."""
     out = {}
     for name, (v, low, high), g in zip("rgb", channels, gammas, strict=True):
         if abs(g - 1) >= 1e-6 and g > 0:
             v, low, high = P.gamma(v, g, F.lit(low), F.lit(high)), 0.0, 1.0
         out[name] = P.quantise_channel(v, low, high)
-    return wide.select(*KEYS, *[out[c].alias(c) for c in "rgb"])
+    return wide.select(*KEYS, *keep, *[out[c].alias(c) for c in "rgb"])
 
 
 def difference(name: str, wide: DataFrame, **options) -> DataFrame:
@@ -101,11 +102,10 @@ def daynite(wide: DataFrame, table: DataFrame, lights: DataFrame | None = None)
     """
     masked = daynight_mask(wide)
     share = F.broadcast(day_share(masked))  # one row a scene
-    day = truecolor(wide, rayleigh=True, stretch=True).select(*KEYS, *[F.col(c).alias(f"d_{c}") for c in "rgb"])
-    dark = night(wide, table, lights).select(*KEYS, *[F.col(c).alias(f"n_{c}") for c in "rgb"])
-    out = masked.select(*KEYS, "mask").join(day, list(KEYS)).join(dark, list(KEYS)).join(share, "scene_id")
+    dark = palette.by_threshold(masked.withColumn("value", F.col("c13")), table, lights).withColumnsRenamed({c: f"n_{c}" for c in "rgb"})
+    out = truecolor(dark, rayleigh=True, stretch=True, keep=("mask", "n_r", "n_g", "n_b")).join(share, "scene_id")
     mix = 100 - F.col("day_percent") > NIGHT_SHARE
-    return out.select(*KEYS, *[F.when(mix, P.blend(F.col(f"n_{c}"), F.col(f"d_{c}"), F.col("mask"))).otherwise(F.col(f"d_{c}")).alias(c) for c in "rgb"])
+    return out.select(*KEYS, *[F.when(mix, P.blend(F.col(f"n_{c}"), F.col(c), F.col("mask"))).otherwise(F.col(c)).alias(c) for c in "rgb"])
 
 
 @dataclass(frozen=True)

@@ -32,10 +32,10 @@ def equalise(image: DataFrame, channels: tuple[str, ...], level: Column | str =
     w = Window.partitionBy("scene_id")
     table = every.join(counts, ["scene_id", "_level"], "left").select("scene_id", "_level", F.coalesce("n", F.lit(0)).alias("n"))
     table = table.select("scene_id", "_level", F.floor(F.lit(255.0) * F.sum("n").over(w.orderBy("_level")) / F.sum("n").over(w)).cast("int").alias("to"))
-    out = base.drop("_level")
-    for c in channels:
-        out = out.join(table.select("scene_id", F.col("_level").alias(c), F.col("to").alias(f"_{c}")), ["scene_id", c], "left").drop(c).withColumnRenamed(f"_{c}", c)
-    return out
+    # one array of BINS numbers a scene: all channels look up in the same joined row
+    arrays = table.groupBy("scene_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_level", "to"))), lambda s: s["to"]).alias("_to"))
+    out = base.drop("_level").join(arrays, "scene_id")
+    return out.withColumns({c: F.element_at("_to", F.col(c) + 1) for c in channels}).select(*image.columns)
 
 
 def tile_transfers(image: DataFrame, value: str, height: int, width: int, tiles_y: int, tiles_x: int, limit: float) -> DataFrame:
