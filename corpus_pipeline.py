@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from skyloom.llm import exact_dedup, language_id, near_dedup, packing, substring_dedup
 from skyloom.llm.queries import PATTERN, RANKS
-from skyloom.llm.scratch import shared_dir
+from skyloom.llm.scratch import drop_since, mark, shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -77,6 +77,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         path = f"{shared_dir(spark).rstrip('/')}/pipeline/{name}-{uuid.uuid4().hex}"
+        place = mark()
         stage(spark, docs, sf_dir).write.parquet(path)
+        drop_since(spark, place)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_made: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; only where that is unset (tests), a folder of our own."""
@@ -23,9 +25,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """A place in the list of written tables, for ``drop_since``."""
+    return len(_made)
+
+
+def drop_since(spark: SparkSession, place: int) -> None:
+    """Deletes the tables written since ``mark``; only once what reads them has been written itself."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _made[place:]:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    del _made[place:]
+
+
 def base(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, whatever other columns the table has."""
     return docs.select(*[F.col(f"`{c}`") for c in columns])

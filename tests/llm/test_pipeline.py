@@ -52,3 +52,17 @@ def test_empty_and_null_rows(spark):
     for rows in ([], [(1, None, None, None, None, "x"), (None, "the one", "en", "s", 7, "x"), (None, "the one", "en", "s", 7, "x"), (2, "", "en", "s", 0, "x"), (3, "der eine", "de", "s", 8, "x"), (3, "der eine", "de", "s", 8, "x")]):
         for _name, stage in corpus_pipeline.STAGES:
             stage(spark, spark.createDataFrame(rows, schema), DATA).collect()
+
+
+def test_run_leaves_only_its_stages(spark):
+    import os
+
+    from skyloom.llm import scratch
+
+    place = scratch.mark()
+    out = corpus_pipeline.run(spark, DATA)
+    assert out.where("length > 0").count() > 0 and out.columns[:2] == ["doc_id", "piece"]
+    left = scratch._made[place:]
+    assert len(left) == 1 and os.path.isdir(left[0])
+    scratch.drop_since(spark, place)
+    assert not os.path.isdir(left[0])
