@@ -41,6 +41,7 @@ WINDOW = 50
 K = 8
 _PLACE = 28
 _SEGMENT = 1 << 19
+FEW = 2_000_000  # row keys that are broadcast; beyond them all texts are shuffled
 _B1, _B2 = 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
 
 
@@ -115,6 +116,19 @@ def edges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return known.mapInArrow(run, "rid long, doc_id long, start long, n int, node long, hash long, check long")
 
 
+def _with_runs(rows: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(rows that have runs, with a list of them; the other rows, or None where they are among the
+    first with a null list).  While few rows have runs, the others' texts are never shuffled."""
+    lists = runs.groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    ids = written(runs.select("rid").distinct(), "ids")
+    columns = ["rid", "doc_id", "text", "runs"]
+    if ids.count() > FEW:
+        return rows.join(lists.hint("shuffle_merge"), "rid", "left").select(columns), None
+    few = F.broadcast(ids)
+    touched = rows.join(few, "rid", "left_semi").join(lists.hint("shuffle_merge"), "rid").select(columns)
+    return touched, rows.join(few, "rid", "left_anti").withColumn("runs", F.lit(None).cast(touched.schema["runs"].dataType)).select(columns)
+
+
 def windows_of(docs: DataFrame, asked: DataFrame, window: int = WINDOW) -> DataFrame:
     """(rid, doc_id, start, hash, check) of each single window of the asked stretches (rid, start, n)."""
 
@@ -125,6 +139,8 @@ def windows_of(docs: DataFrame, asked: DataFrame, window: int = WINDOW) -> DataF
                 h, _, first = W.split_words(data, offsets)
                 row, start = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for i, runs in enumerate(part.column(3).to_pylist()):
+                    if not runs:
+                        continue
                     at = np.concatenate([np.arange(r["start"], r["start"] + r["n"]) for r in runs])
                     row.append(np.full(len(at), i))
                     start.append(at)
@@ -145,9 +161,8 @@ def windows_of(docs: DataFrame, asked: DataFrame, window: int = WINDOW) -> DataF
                     r = pa.array(row[s : s + _SEGMENT], pa.int64())
                     yield pa.RecordBatch.from_arrays([part.column(0).take(r), part.column(1).take(r), pa.array(start[s : s + _SEGMENT], pa.int64()), *(pa.array(v, pa.int64()) for v in values)], names=["rid", "doc_id", "start", "hash", "check"])
 
-    lists = asked.groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    joined = with_row_key(docs).where("doc_id is not null").join(lists.hint("shuffle_merge"), "rid").select("rid", "doc_id", "text", "runs")
-    return joined.mapInArrow(run, "rid long, doc_id long, start long, hash long, check long")
+    touched, _ = _with_runs(with_row_key(docs).where("doc_id is not null"), asked)
+    return touched.mapInArrow(run, "rid long, doc_id long, start long, hash long, check long")
 
 
 def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -215,6 +230,7 @@ def cut(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     sha.append(hashlib.sha256(kept).hexdigest())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(text, pa.string()), pa.array(sha, pa.string())], names=["rid", "doc_id", "n_words", "n_removed", "cut_text", "kept_sha256"])
 
-    lists = repeated(docs, window).groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    joined = with_row_key(docs).join(lists.hint("shuffle_merge"), "rid", "left").select("rid", "doc_id", "text", "runs")
+    found = written(repeated(docs, window).select("rid", "start", "n"), "repeats")
+    touched, rest = _with_runs(with_row_key(docs), found)
+    joined = touched if rest is None else touched.unionByName(rest)
     return joined.mapInArrow(run, "rid long, doc_id long, n_words long, n_removed long, cut_text string, kept_sha256 string")

@@ -61,6 +61,13 @@ def test_segments(spark, monkeypatch):
     assert run(table(spark, rows)) == brute(rows)
 
 
+def test_many_rows_with_repeats(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "FEW", 0)
+    w = [f"w{i}" for i in range(120)]
+    rows = [(1, " ".join(w)), (2, "a b c " + " ".join(w[20:100]) + " d"), (3, "short"), (None, " ".join(w))]
+    assert run(table(spark, rows)) == brute(rows)
+
+
 def test_edge_cases(spark):
     w = " ".join(f"w{i}" for i in range(60))
     rows = [(None, w), (5, w), (6, w), (7, None), (8, ""), (9, " ".join(w.split()[:49])), (10, "x " + w.replace(" ", "\n\t") + " y")]
