@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.grids import CLIPS
@@ -75,13 +75,13 @@ def siblings(catalog: DataFrame, anchors: DataFrame, bands: list[int], compat: b
     keys = ["product", "scan_mode", "token"] if compat else ["product", "scan_mode", "stamp", "satellite", "sector"]
     product = F.when(F.col("is_l2_image"), "L2-CMI").when(F.col("level") == "L1b", "L1b-Rad").alias("product")
     side = lambda df, *more: df.where("stamp is not null").select(product, *[k for k in keys if k != "product"], *more)
-    left = side(anchors, F.col("name").alias("anchor")).where("product is not null")
+    left = side(anchors, F.col("name").alias("anchor")).where("product is not null").distinct()
     files = side(catalog, F.substring("channel", 2, 2).cast("int").alias("band"), F.col("name").alias("path")).where(F.col("band").isin(bands))
     files = files.groupBy(*keys, "band").agg(F.max("path").alias("path"))
     wanted = left.withColumn("band", F.explode(F.array(*map(F.lit, bands))))
     out = wanted.join(files, [*keys, "band"], "left")
-    whole = out.groupBy("anchor").agg((F.count("path") == len(bands)).alias("complete"))
-    return out.select("anchor", "band", "path").join(whole, "anchor")
+    complete = F.count("path").over(Window.partitionBy("anchor")) == len(bands)
+    return out.select("anchor", "band", "path", complete.alias("complete"))
 
 
 def load_clips(spark: SparkSession, path: str) -> DataFrame:

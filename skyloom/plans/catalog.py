@@ -158,7 +158,7 @@ def _siblings_sql(keys: str) -> str:
     return f"""{PARSED}, k AS (SELECT *, CASE WHEN is_l2_image THEN 'L2-CMI' WHEN level = 'L1b' THEN 'L1b-Rad' END AS product FROM p WHERE stamp IS NOT NULL),
  g AS (SELECT product, {keys}, CAST(substr(channel, 2, 2) AS INT) AS band, max(name) AS path FROM k GROUP BY ALL),
  b AS (SELECT unnest([1, 9, 13]) AS band),
- j AS (SELECT k.name AS anchor, b.band, g.path FROM k CROSS JOIN b LEFT JOIN g ON k.product = g.product AND b.band = g.band AND {' AND '.join(f'k.{c.strip()} = g.{c.strip()}' for c in keys.split(','))} WHERE k.product IS NOT NULL)
+ j AS (SELECT DISTINCT k.name AS anchor, b.band, g.path FROM k CROSS JOIN b LEFT JOIN g ON k.product = g.product AND b.band = g.band AND {' AND '.join(f'k.{c.strip()} = g.{c.strip()}' for c in keys.split(','))} WHERE k.product IS NOT NULL)
  SELECT anchor, band, path, count(path) OVER (PARTITION BY anchor) = 3 AS complete FROM j"""
 
 
