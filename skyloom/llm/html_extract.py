@@ -6,7 +6,8 @@
    replaced, ids and positions left out.  A page hands each path's share of its score on.
 2. Spark adds the shares up per host and path; the ``PATHS`` paths with most votes win.
 3. Each page is extracted again from its container whose path has most votes on its host; a page
-   with none of them uses its own best.
+   with none of them uses its own best.  What is found is widened to the article or main element
+   around it; headings, leads, sections and figures that stand beside it in its parent come with it.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
 are told by tag, class, id or role and never score or appear.  The votes of a host combine before
@@ -40,6 +41,10 @@ LEAF = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dd", "dt", "pre", "block
 CLOSES_P = BLOCK | SKIP - {"button", "label", "input", "svg", "canvas", "object", "audio", "video", "map", "select"} | {"hr"}
 _CONTAINERS = BLOCK - LEAF | {"header"}
 _ROOTS = ("article", "main", "body", "html")
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
+#: Elements, and words in a class, of parts of an article that stand beside its body.
+PARTS = {"section", "figure", "header", "details"}
+PART = re.compile(r"[._-](?:title|headline|heading|subtitle|lead|lede|intro|introduction|summary|abstract|dek|standfirst|content|body|text|story|article|post|entry|figure|caption|image|photo|part|chapter|section)(?:$|[._-])", re.IGNORECASE)
 #: Words in a class, id or role that mark what is not the article.
 BOILER = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|masthead|footer|sidebar\w*|side|aside|widget\w*|comments?|comment-?list|disqus|replies|responses|cookies?|consent|gdpr|notice\w*|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share\w*|sharing|social|related|recommend\w*|pagination|pager|toolbar|skip|search|complementary|contentinfo|navigation|hidden)(?:$|[\s_-])",
@@ -81,12 +86,12 @@ def _named(tag: str, attrs: str) -> tuple[str, bool]:
 class Page:
     """Containers and text blocks of one page, in page order.
 
-    blocks: (text, container, characters outside links); containers: (path, parent or -1).
+    blocks: (text, container, characters outside links, heading); containers: (path, parent or -1).
     """
 
     def __init__(self, source: str) -> None:
         self.containers: list[tuple[str, int]] = []
-        self.blocks: list[tuple[str, int, int]] = []
+        self.blocks: list[tuple[str, int, int, bool]] = []
         self._stack: list[tuple[str, int, bool]] = []  # tag, container, skipped
         self._part: list[str] = []
         self._plain = 0
@@ -114,7 +119,7 @@ class Page:
         if self._part:
             text = " ".join(entities.unescape("".join(self._part)).split())
             if text:
-                self.blocks.append((text, self._stack[-1][1], min(self._plain, len(text))))
+                self.blocks.append((text, self._stack[-1][1], min(self._plain, len(text)), any(t in _HEADINGS for t, _, _ in self._stack[-4:])))
             self._part, self._plain = [], 0
 
     def _open(self, tag: str, attrs: str) -> None:
@@ -177,7 +182,7 @@ class Page:
     def scores(self) -> list[float]:
         """Score of each container."""
         out = [0.0] * len(self.containers)
-        for _, container, plain in self.blocks:
+        for _, container, plain, _ in self.blocks:
             value = float(plain)
             while container >= 0 and value >= 1:
                 out[container] += value
@@ -190,7 +195,8 @@ class Page:
         total = max(scores) if scores else 0.0
         if total > 0:
             for (path, _), s in zip(self.containers, scores, strict=True):
-                out[path] = out.get(path, 0.0) + s / total
+                if s > 0:
+                    out[path] = max(out.get(path, 0.0), s / total)
         return out
 
     def text(self, winners: list[str]) -> str:
@@ -202,10 +208,52 @@ class Page:
         path = next((p for p in winners if p in have), None)
         if path is None:
             path = self.containers[max(range(len(scores)), key=lambda i: (scores[i], -i))][0]
+        return self._whole([i for i, (p, _) in enumerate(self.containers) if p == path and scores[i] > 0])
+
+    def _tag(self, i: int) -> str:
+        return self.containers[i][0].rsplit(">", 1)[-1].split(".", 1)[0]
+
+    def _whole(self, found: list[int]) -> str:
+        """The blocks in the containers ``found``, in the article or main around them, and in the parts beside them."""
+        roots = set()
+        for i in found:
+            at = {"article": -1, "main": -1}
+            up = i
+            while up >= 0:
+                tag = self._tag(up)
+                if at.get(tag, 0) < 0:
+                    at[tag] = up
+                up = self.containers[up][1]
+            roots.add(next((k for k in at.values() if k >= 0), i))
+        size, plain = [0] * len(self.containers), [0] * len(self.containers)
+        for t, c, n, _ in self.blocks:
+            size[c] += len(t)
+            plain[c] += n
+        for i in range(len(self.containers) - 1, 0, -1):
+            size[self.containers[i][1]] += size[i]
+            plain[self.containers[i][1]] += plain[i]
+        children: dict[int, list[int]] = {}
+        for i, (_, parent) in enumerate(self.containers):
+            children.setdefault(parent, []).append(i)
+        whole, direct, headings = set(roots), set(), set()
+        for up in {self._parent_with_more(i, size) for i in roots} - {-1}:
+            headings.add(up)
+            if self._tag(up) not in ("body", "html", "#"):
+                own = any(self._tag(i) in ("article", "main") for i in roots)
+                whole.update(i for i in children[up] if 2 * plain[i] >= size[i] and (self._tag(i) == "header" if own else self._tag(i) in PARTS or PART.search(self.containers[i][0].rsplit(">", 1)[-1])))
+                if not own:
+                    direct.add(up)
         inside = []
-        for p, parent in self.containers:
-            inside.append(p == path or parent >= 0 and inside[parent])
-        return "\n\n".join(t for t, c, _ in self.blocks if inside[c])
+        for i, (_, parent) in enumerate(self.containers):
+            inside.append(i in whole or parent >= 0 and inside[parent])
+        return "\n\n".join(t for t, c, n, h in self.blocks if inside[c] or c in direct and 2 * n >= len(t) or h and c in headings)
+
+    def _parent_with_more(self, i: int, size: list[int]) -> int:
+        """The nearest container around i with text beside it, or -1."""
+        up = self.containers[i][1]
+        while up >= 0 and size[up] == size[i]:
+            up = self.containers[up][1]
+        return up
 
 
 def votes(pages: DataFrame) -> DataFrame:

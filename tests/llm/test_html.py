@@ -83,3 +83,18 @@ def test_hosts(spark):
     got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(html_extract.host_of(__import__("pyspark").sql.functions.col("u"))).collect()]
     assert got == ["a.b.org", "c.org", "d.org", "e.org", "", ""]
     assert re.fullmatch("div.a0.b", html_extract._named("div", ' class="b a12"')[0])
+
+
+def whole(body):
+    p = html_extract.Page(f"<body><div class=wrap>{body}</div></body>")
+    votes = p.votes()
+    return p.text(sorted(votes, key=lambda x: (-votes[x], x))).split("\n\n")
+
+
+def test_text_beside_the_best_container():
+    long = "Words of the story go on. " * 4
+    story = long.strip()
+    assert whole(f"<article><h1>T</h1><p>intro</p><section>{long}</section><section>{long}</section></article>") == ["T", "intro", story, story]
+    assert whole(f"<article><header><h1>T</h1></header><div class=content><p>{long}</p></div></article>") == ["T", story]
+    assert whole(f"<div class=post><h1>T</h1><div class=lead>intro</div><div class=body><p>{long}</p></div></div><div class=box>Clutter</div>") == ["T", "intro", story]
+    assert whole(f"<main><p>lead</p><div class=body>{long}</div><figure><figcaption>A figure</figcaption></figure></main>") == ["lead", story, "A figure"]
