@@ -10,7 +10,9 @@
    around it; headings, leads, sections and figures that stand beside it in its parent come with it.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
-are told by tag, class, id or role and never score or appear.  The votes of a host combine before
+are told by tag, class, id or role and never score or appear.  A mark in a class, id, role or form
+does not hold for what wraps the page's article or main element or most of its text outside links,
+nor where the page would come out empty; has-, with-, no- and layout words are no marks.  The votes of a host combine before
 the shuffle; winners are broadcast only while few, else joined in a way a skewed host is split.
 
 Defined results: null html is empty; a page without text gives the empty text and 0; null urls
@@ -34,11 +36,12 @@ PATHS = 8
 DEPTH = 100  # containers nested deeper than any page's layout count as the one around them
 #: HTML elements by their part in a page.
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "noembed", "xmp")
-SKIP = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "head", "svg", "canvas", "object", "audio", "video", "map", "fieldset", "label", "input"} | set(RAW)
+SKIP = {"nav", "header", "footer", "aside", "menu", "dialog", "button", "select", "head", "svg", "canvas", "object", "audio", "video", "map", "label", "input"} | set(RAW)
+FORMS = {"form", "fieldset"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 LEAF = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dd", "dt", "pre", "blockquote", "figcaption", "td", "th", "tr", "tbody", "thead", "tfoot", "table", "ul", "ol", "dl", "caption", "summary", "address", "hgroup"}
-CLOSES_P = BLOCK | SKIP - {"button", "label", "input", "svg", "canvas", "object", "audio", "video", "map", "select"} | {"hr"}
+CLOSES_P = BLOCK | FORMS | SKIP - {"button", "label", "input", "svg", "canvas", "object", "audio", "video", "map", "select"} | {"hr"}
 _CONTAINERS = BLOCK - LEAF | {"header"}
 _ROOTS = ("article", "main", "body", "html")
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
@@ -52,6 +55,10 @@ BOILER = re.compile(
 )
 #: Of those, what also marks a whole article element, and page headers.
 OTHERS = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies|responses|advert\w*|sponsor\w*|promo\w*|related|recommend\w*)(?:$|[\s_-])", re.IGNORECASE)
+#: What follows in a class is there or is not there inside; the class of a page's layout.
+MODIFIER = re.compile(r"(?:^|[_-])(?:has|have|with|without|no)[_-].*$", re.IGNORECASE)
+LAYOUT = re.compile(r"(?:^|[_-])layout(?:$|[_-])", re.IGNORECASE)
+SOFT, OTHER, HIDDEN = 1, 2, 3  # marks: by name or as a form; as comment, advert or teaser; not shown
 HEADER = re.compile(r"(?:^|[\s_-])(?:page|site|top|main)?-?header(?:$|[\s_-])", re.IGNORECASE)
 _TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<(?P<raw>{'|'.join(RAW)})\b(?P<rawattrs>[^>]*)>.*?(?:</(?P=raw)\s*>|$)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</[^>]*>", re.IGNORECASE | re.DOTALL)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
@@ -63,21 +70,28 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?(?:[^/@?#]*@)?([^/:?#]+)", 1), F.lit("")))
 
 
-def _named(tag: str, attrs: str) -> tuple[str, bool]:
-    """(generalised name of an element, whether it is marked as no part of the article).
+def _mark(tag: str, value: str) -> int:
+    """The mark of a class, id or role; an article or main element has one only as a comment, advert or teaser."""
+    if not (OTHERS if tag in _ROOTS else BOILER).search(value) and (tag in _ROOTS or not HEADER.search(value)):
+        return 0
+    value = " ".join(MODIFIER.sub("", x) for x in value.split() if not LAYOUT.search(x))
+    if OTHERS.search(value):
+        return OTHER
+    return SOFT if tag not in _ROOTS and (BOILER.search(value) or HEADER.search(value)) else 0
 
-    An article or main element is so marked only as a comment, advert or teaser.
-    """
-    boiler = OTHERS if tag in _ROOTS else BOILER
+
+def _named(tag: str, attrs: str) -> tuple[str, int]:
+    """(generalised name of an element, its mark as no part of the article or 0)."""
+    form = SOFT if tag in FORMS else 0
     if "=" not in attrs and "hidden" not in attrs:
-        return tag, False
-    classes, marked = "", False
+        return tag, form
+    classes, marked = "", form
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "aria-hidden" and value == "true":
-            marked = True
+            marked = HIDDEN
         elif key != "aria-hidden":
-            marked = marked or bool(boiler.search(value)) or tag not in _ROOTS and bool(HEADER.search(value))
+            marked = max(marked, _mark(tag, value))
             if key == "class":
                 classes = ".".join(sorted(_DIGITS.sub("0", value).split()))
     return (f"{tag}.{classes}" if classes else tag), marked
@@ -92,6 +106,7 @@ class Page:
     def __init__(self, source: str) -> None:
         self.containers: list[tuple[str, int]] = []
         self.blocks: list[tuple[str, int, int, bool]] = []
+        self._marks: list[int] = []  # of each container
         self._stack: list[tuple[str, int, bool]] = []  # tag, container, skipped
         self._part: list[str] = []
         self._plain = 0
@@ -108,6 +123,8 @@ class Page:
         if at < len(source):
             self._text(source[at:])
         self._flush()
+        if any(self._marks):
+            self._drop_marked()
 
     def _text(self, raw: str) -> None:
         if not self._stack[-1][2]:
@@ -137,14 +154,21 @@ class Page:
             self._pop_to(tag, {"ul", "ol", "dl", "table", "tbody", "select"} | ({"tr"} if tag in ("td", "th") else set()))
         _, container, skipped = self._stack[-1] if self._stack else ("", -1, False)
         name, marked = _named(tag, attrs)
-        skip = skipped or tag in SKIP or marked and tag not in ("html", "body")
-        if skip and not skipped and (tag == "header" or marked and HEADER.search(attrs) and not BOILER.search(attrs)) and any(t in ("article", "main") for t, _, _ in self._stack):
-            skip = False  # an article's own header holds its title
-        if tag in BLOCK or skip != skipped:
+        if tag in ("html", "body"):
+            marked = 0
+        skip = skipped or tag in SKIP or marked == HIDDEN
+        own = tag == "header" or marked == SOFT and HEADER.search(attrs) and not BOILER.search(attrs)
+        if own and not skipped and marked != HIDDEN and any(t in ("article", "main") for t, _, _ in self._stack):
+            skip, marked = False, 0  # an article's own header holds its title
+        deep = container >= 0 and self.containers[container][0].count(">") >= DEPTH
+        if marked and deep:
+            skip = True
+        if tag in BLOCK or skip != skipped or marked and not skip:
             self._flush()
-        if not skip and (tag == "#" or tag in _CONTAINERS and self.containers[container][0].count(">") < DEPTH):
+        if not skip and (tag == "#" or (marked or tag in _CONTAINERS) and not deep):
             path = f"{self.containers[container][0]}>{name}" if container >= 0 else name
             self.containers.append((path, container))
+            self._marks.append(marked)
             container = len(self.containers) - 1
         self._stack.append((tag, container, skip))
 
@@ -166,19 +190,59 @@ class Page:
         if tag == "br":
             self._open("br", "")
             return
-        inline = tag not in BLOCK and tag not in SKIP
+        inline = tag not in BLOCK and tag not in SKIP and tag not in FORMS
         for k in range(len(self._stack) - 1, 0, -1):
             open_tag = self._stack[k][0]
             if open_tag == tag:
-                if not inline or any(t in BLOCK or t in SKIP for t, _, _ in self._stack[k:]):
+                if not inline or self._stack[-1][1] != self._stack[k - 1][1] or any(t in BLOCK or t in SKIP for t, _, _ in self._stack[k:]):
                     self._flush()
                 self._cut(k)
                 return
-            if inline and (open_tag in BLOCK or open_tag in SKIP):
+            if inline and (open_tag in BLOCK or open_tag in SKIP or open_tag in FORMS):
                 return
         if tag == "p":
             self._flush()
 
+    def _drop_marked(self) -> None:
+        """Leaves out the blocks in marked containers, except in those that wrap the article."""
+        marks, n = self._marks, len(self.containers)
+        under = self._under()
+        text = [0] * n
+        for _, c, plain, _ in self.blocks:
+            if under[c] < OTHER:
+                text[c] += plain
+        holds, free = [False] * n, [False] * n  # an article or main element; one that no mark inside is around
+        for i in range(n - 1, -1, -1):
+            if not marks[i] and text[i] and self._tag(i) in ("article", "main"):
+                holds[i] = free[i] = True
+            parent = self.containers[i][1]
+            if parent >= 0:
+                text[parent] += text[i]
+                holds[parent] = holds[parent] or holds[i]
+                free[parent] = free[parent] or free[i] and not marks[i]
+        clean = free[0]
+        for i in sorted((i for i in range(n) if marks[i] == SOFT), key=lambda i: (-text[i], i)):
+            up = self.containers[i][1]
+            while up >= 0 and not marks[up]:
+                up = self.containers[up][1]
+            most = 2 * text[i] > text[0]
+            if up < 0 and (holds[i] and (most or not clean) or most and not clean):
+                marks[i] = 0
+                clean = clean or free[i]
+        under = self._under()
+        for level in (0, SOFT, OTHER):
+            left = [b for b in self.blocks if under[b[1]] <= level]
+            if left:
+                break
+        self.blocks = left
+
+    def _under(self) -> list[int]:
+        """The strongest mark of each container and those around it."""
+        out: list[int] = []
+        for (_, parent), mark in zip(self.containers, self._marks, strict=True):
+            out.append(max(mark, out[parent]) if parent >= 0 else mark)
+        return out
+
     def scores(self) -> list[float]:
         """Score of each container."""
         out = [0.0] * len(self.containers)

@@ -98,3 +98,16 @@ def test_text_beside_the_best_container():
     assert whole(f"<article><header><h1>T</h1></header><div class=content><p>{long}</p></div></article>") == ["T", story]
     assert whole(f"<div class=post><h1>T</h1><div class=lead>intro</div><div class=body><p>{long}</p></div></div><div class=box>Clutter</div>") == ["T", "intro", story]
     assert whole(f"<main><p>lead</p><div class=body>{long}</div><figure><figcaption>A figure</figcaption></figure></main>") == ["lead", story, "A figure"]
+
+
+def test_marked_wrappers():
+    story = ("Words of the story go on. " * 6).strip()
+    side = "<div class=sidebar><ul><li><a href=/a>Links and more links</a></ul><p>Side text</p></div>"
+    for name in ("content has-sidebar", "layout-sidebar-right", "with-nav", "search-result", "page--no-sidebar", "sidebar"):
+        for tag in ("article", "main", "div"):
+            assert html_extract.Page(f'<body><div class="{name}"><{tag}><h1>T</h1><p>{story}</p></{tag}>{side}</div></body>').text([]) == f"T\n\n{story}", (name, tag)
+    assert html_extract.Page(f"<body><form id=aspnetForm><article><p>{story}</article>{side}</form></body>").text([]) == story
+    assert html_extract.Page("<body><nav>menu</nav><div class=comments><p>All there is.</p></div></body>").text([]) == "All there is."
+    # marks hold where the article is outside of them
+    assert html_extract.Page(f"<body><article><p>Short.</p></article><div class=sidebar><div>{story}</div></div><div class='comments'><article>{story}</article></div></body>").text([]) == "Short."
+    assert html_extract.Page("<body><article><p>Some <span class=ad>buy</span> text</p></article>").text([]) == "Some\n\ntext"
