@@ -4,9 +4,12 @@
    text outside links, in full for the nearest container and by half for each one around it.  A
    container's path is generalised: tags with their classes from the root on, digits in classes
    replaced, ids and positions left out.  A page hands each path's share of its score on.
-2. Spark adds the shares up per host and path; the ``PATHS`` paths with most votes win.
-3. Each page is extracted again from its container whose path has most votes on its host; a page
-   with none of them uses its own best.  What is found is widened to the article or main element
+2. Spark adds the shares up per host and path, and counts the pages that have the path.  Every
+   path of two pages or more with over half a vote a page is listed: a container around another
+   one, with little text of its own, gets no more than half.
+3. Each page is extracted again from its container whose path has most votes a page on its host; a
+   page with none of them, or only one that is a mere wrapper of the page's own best, uses that.
+   What is found is widened to the article or main element
    around it; headings, leads, sections and figures that stand beside it in its parent come with it.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments
@@ -14,6 +17,7 @@ are told by tag, class, id or role and never score or appear.  A mark in a class
 does not hold for what wraps the page's article or main element or most of its text outside links,
 nor where the page would come out empty; has-, with-, no- and layout words are no marks.  The votes of a host combine before
 the shuffle; winners are broadcast only while few, else joined in a way a skewed host is split.
+On a host with over ``LISTED`` listed paths, each page is joined with those that it has instead.
 
 Defined results: null html is empty; a page without text gives the empty text and 0; null urls
 are one host; unclosed and stray tags are closed the way browsers do for blocks; repeated rows
@@ -27,12 +31,14 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import base, hinted, written
+from .scratch import base, written
 
-PATHS = 8
+LISTED = 64
+PRIOR = 0.5  # pages without a vote that a path is given, so that few pages say less than many
+BROADCAST_ROWS = 50_000
 DEPTH = 100  # containers nested deeper than any page's layout count as the one around them
 #: HTML elements by their part in a page.
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "noembed", "xmp")
@@ -270,8 +276,9 @@ class Page:
             return ""
         have = {path for (path, _), s in zip(self.containers, scores, strict=True) if s > 0}
         path = next((p for p in winners if p in have), None)
-        if path is None:
-            path = self.containers[max(range(len(scores)), key=lambda i: (scores[i], -i))][0]
+        best = self.containers[max(range(len(scores)), key=lambda i: (scores[i], -i))][0]
+        if path is None or best.startswith(f"{path}>") and best not in winners and not any(self.containers[c][0] == path for _, c, _, _ in self.blocks):
+            path = best
         return self._whole([i for i, (p, _) in enumerate(self.containers) if p == path and scores[i] > 0])
 
     def _tag(self, i: int) -> str:
@@ -321,38 +328,70 @@ class Page:
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """(host, path, votes) of each host: the pages' shares, added up."""
+    """(host, path, votes, pages) of each host: the pages' shares, added up, and how many have the path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total: dict[tuple[str, str], float] = {}
+            total: dict[tuple[str, str], list] = {}
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 for path, share in Page(source.as_py() or "").votes().items():
-                    total[host, path] = total.get((host, path), 0.0) + share
+                    have = total.setdefault((host, path), [0.0, 0])
+                    have[0] += share
+                    have[1] += 1
             keys = list(total)
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in keys], pa.string()), pa.array([p for _, p in keys], pa.string()), pa.array([round(total[k], 6) for k in keys], pa.float64())], names=["host", "path", "votes"])
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in keys], pa.string()), pa.array([p for _, p in keys], pa.string()), pa.array([round(total[k][0], 6) for k in keys], pa.float64()), pa.array([total[k][1] for k in keys], pa.int64())], names=["host", "path", "votes", "pages"])
 
     read = base(pages, "url", "html").select(host_of(F.col("url")).alias("host"), "html")
-    cast = read.mapInArrow(run, "host string, path string, votes double")
-    return cast.groupBy("host", "path").agg(F.sum(F.col("votes").cast("decimal(28,6)")).alias("votes"))
+    cast = read.mapInArrow(run, "host string, path string, votes double, pages long")
+    return cast.groupBy("host", "path").agg(F.sum(F.col("votes").cast("decimal(28,6)")).alias("votes"), F.sum("pages").alias("pages"))
 
 
 def winners(found: DataFrame) -> DataFrame:
-    """(host, paths): the paths with most votes, falling; ties by name."""
-    place = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path"))
-    best = found.withColumn("place", place).where(F.col("place") <= PATHS)
-    return best.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "path"))), lambda x: x["path"]).alias("paths"))
+    """(host, path, rank): the paths with enough votes on the pages that have them, however many; least rank first."""
+    support = F.col("votes").cast("double") / (F.col("pages") + PRIOR)
+    return found.where((F.col("pages") >= 2) & (support > 0.5)).select("host", "path", (-support).alias("rank"))
+
+
+def _listed(ranked: DataFrame, *keys: str) -> DataFrame:
+    """(keys, paths): paths by rank; of equal rank the more specific first, then by name."""
+    order = F.struct("rank", (-F.char_length("path")).alias("short"), "path")
+    return ranked.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_set(order)), lambda x: x["path"]).alias("paths"))
+
+
+def _own_paths(keyed: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(host, key, paths): of each page, the listed paths that it has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(h, k, p) for h, k, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True) for p in Page(source.as_py() or "").votes()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))], names=["host", "key", "path"])
+
+    have = keyed.select("host", "key", "html").mapInArrow(run, "host string, key long, path string")
+    return _listed(have.join(ranked, ["host", "path"]), "host", "key")
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
-    chosen = written(winners(votes(pages)), "winners")
+    ranked = written(winners(votes(pages)), "winners")
+    many = ranked.groupBy("host").count().where(F.col("count") > LISTED).select("host")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = [Page(source.as_py() or "").text(paths.as_py() or []) for source, paths in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
+    def joined(rows: DataFrame, lists: DataFrame, keys: list[str]) -> DataFrame:
+        return rows.join(lists, keys, "left").select("page_id", "url", "html", "paths")
+
     keyed = base(pages, "page_id", "url", "html").withColumn("host", host_of(F.col("url")))
-    joined = keyed.join(hinted(chosen, 20_000), "host", "left").select("page_id", "url", "html", "paths")
-    return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    small = ranked.count() <= BROADCAST_ROWS
+    hint = F.broadcast if small else lambda df: df.hint("shuffle_merge")
+    if many.isEmpty():
+        out = joined(keyed, hint(_listed(ranked, "host")), ["host"])
+    else:
+        many = written(many, "hosts")
+        of_many = keyed.join(hint(many), "host", "left_semi").withColumn("key", F.xxhash64("html"))
+        own = written(_own_paths(of_many, ranked), "paths")
+        rest = keyed.join(hint(many), "host", "left_anti")
+        out = joined(rest, hint(_listed(ranked.join(hint(many), "host", "left_anti"), "host")), ["host"]).unionByName(joined(of_many, own, ["host", "key"]))
+    return out.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -111,3 +111,19 @@ def test_marked_wrappers():
     # marks hold where the article is outside of them
     assert html_extract.Page(f"<body><article><p>Short.</p></article><div class=sidebar><div>{story}</div></div><div class='comments'><article>{story}</article></div></body>").text([]) == "Short."
     assert html_extract.Page("<body><article><p>Some <span class=ad>buy</span> text</p></article>").text([]) == "Some\n\ntext"
+
+
+def test_templates_of_a_host(spark):
+    rows = []
+    for i in range(300):
+        # three common templates, 90 of two pages each and 24 pages with one of their own, in one wrapper
+        kind = "abc"[i % 3] if i < 96 else f"rare-{chr(97 + (i - 96) // 2 % 26)}{chr(97 + (i - 96) // 52)}" if i < 276 else f"once-{chr(97 + i - 276)}"
+        story = f"Story number {i} goes on and on with words of its own. " * 4
+        rows.append((i, "http://hot.org/x", f"<body><div class=wrap><div class=box>Clutter that is on every page of this host {i}.</div><div class='in'><div class={kind}><p>{story}</p></div></div></div></body>", "q", "q"))
+    rows.append(rows[0])
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert html_extract.winners(html_extract.votes(df)).count() > html_extract.LISTED
+    want = {r[0]: f"Story number {r[0]} goes on and on with words of its own. " * 4 for r in rows}
+    for part in (df, df.where("page_id < 100 or page_id >= 276")):
+        got = html_extract.extracted(part).collect()
+        assert len(got) == part.count() and [r.page_id for r in got if r.text != want[r.page_id].strip()] == []
