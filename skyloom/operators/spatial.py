@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .align import KEYS, gather
@@ -14,6 +14,9 @@ HEIGHT = 35786023.0  # fixed value: usual height of a geostationary satellite in
 HALF_DISK = 0.151872  # fixed value: half the full-disk field of view in radians
 LIMITS = (10, 10_000)
 EDGE_SAMPLES = 20
+LEAF = 0.3515625  # fixed value: degrees of a small cell of pixels; of a large one FINER times that
+FINER = 8
+SALTS = 32  # parts of the points, each with its own copy of the scenes' large cells
 
 
 def crop(pixels: DataFrame, y0: int, x0: int, height: int, width: int) -> DataFrame:
@@ -29,20 +32,66 @@ def crop_image(image: DataFrame, y0: int, x0: int, height: int, width: int, full
     return crop(image, y0, x0, height, width)
 
 
+def _gap(lo: str, hi: str, at: str) -> tuple[Column, Column]:
+    """Least and greatest distance in latitude of ``at`` from values between lo and hi."""
+    lo, hi, at = F.col(lo), F.col(hi), F.col(at)
+    return F.greatest(lo - at, at - hi, F.lit(0.0)), F.greatest(F.abs(lo - at), F.abs(hi - at))
+
+
+def _wrapped(lon: Column, plon: Column) -> Column:
+    d = F.abs(lon - plon)
+    return F.when(d > 180, 360 - d).otherwise(d)
+
+
+def _bounds() -> tuple[Column, Column]:
+    """Least and greatest squared degrees from a point to what a cell's box (lat0, lat1, lon0, lon1) can hold."""
+    south, north = _gap("lat0", "lat1", "plat")
+    plon, lo, hi = F.col("plon"), F.col("lon0"), F.col("lon1")
+    a, b = _wrapped(lo, plon), _wrapped(hi, plon)
+    inside = plon.between(lo, hi) | (plon + 360).between(lo, hi) | (plon - 360).between(lo, hi)
+    opposite = (plon + 180).between(lo, hi) | (plon - 180).between(lo, hi)
+    west, east = F.when(inside, 0.0).otherwise(F.least(a, b)), F.when(opposite, 180.0).otherwise(F.greatest(a, b))
+    return south * south + west * west, north * north + east * east
+
+
+def _nearer(pairs: DataFrame, cells: DataFrame, on: list[str], carried: list[str]) -> DataFrame:
+    """The cells that can hold the pixel nearest to a point: none farther than another cell is for certain."""
+    least, most = _bounds()
+    keys = ["plat", "plon", "scene_id"]
+    limit = F.min("most").over(Window.partitionBy(*keys))
+    boxes = pairs.join(cells, on).select(*keys, *carried, least.alias("least"), most.alias("most"))
+    return boxes.withColumn("limit", limit).where("least <= limit").select(*keys, *carried)
+
+
 def nearest_pixel(points: DataFrame, nav: DataFrame) -> DataFrame:
     """(pid, scene_id, y, x) of the pixel nearest to each point, by squared degrees; ties to the first.
 
-    points(pid, plat, plon) are a user's few places, broadcast to a map-side minimum over the pixels.
+    points(pid, plat, plon) may be many: each place is held once against the boxes of its scene's
+    large cells, those that can be nearest against the small cells in them, and those against their
+    pixels.  A point without coordinates, or a scene without a navigated pixel, gives no row.
     """
-    dlon = F.abs(F.col("lon") - F.col("plon"))
-    dlon = F.when(dlon > 180, 360 - dlon).otherwise(dlon)
+    small = lambda c: F.floor(F.col(c) / LEAF).cast("int")
+    pixels = nav.where("lat is not null and lon is not null").select(*KEYS, "lat", "lon", small("lat").alias("i"), small("lon").alias("j"))
+    box = [f(F.col(c)).alias(n) for c, f, n in (("lat", F.min, "lat0"), ("lat", F.max, "lat1"), ("lon", F.min, "lon0"), ("lon", F.max, "lon1"))]
+    leaves = pixels.groupBy("scene_id", "i", "j").agg(*box).withColumns({"bi": F.floor(F.col("i") / FINER), "bj": F.floor(F.col("j") / FINER)})
+    large = leaves.groupBy("scene_id", "bi", "bj").agg(F.min("lat0").alias("lat0"), F.max("lat1").alias("lat1"), F.min("lon0").alias("lon0"), F.max("lon1").alias("lon1"))
+    places = points.where("plat is not null and plon is not null").select(F.col("plat").cast("double").alias("plat"), F.col("plon").cast("double").alias("plon"))
+    pairs = places.distinct().withColumn("salt", F.pmod(F.hash("plat", "plon"), F.lit(SALTS)))
+    salted = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    around = _nearer(pairs, salted, ["salt"], ["bi", "bj"])
+    close = _nearer(around, leaves, ["scene_id", "bi", "bj"], ["i", "j"])
+    dlon = _wrapped(F.col("lon"), F.col("plon"))
     d = (F.col("lat") - F.col("plat")) * (F.col("lat") - F.col("plat")) + dlon * dlon
-    near = nav.where("lat is not null").join(F.broadcast(points)).groupBy("pid", "scene_id").agg(F.min(F.struct(d.alias("d"), "y", "x")).alias("m"))
+    nearest = lambda *keys: lambda df, v: df.groupBy(*keys).agg(F.min(v).alias("m"))
+    found = nearest("plat", "plon", "scene_id")(close.join(pixels, ["scene_id", "i", "j"]), F.struct(d.alias("d"), "y", "x"))
+    named = points.select("pid", F.col("plat").cast("double").alias("plat"), F.col("plon").cast("double").alias("plon"))
+    near = nearest("pid", "scene_id")(named.join(found, ["plat", "plon"]), F.col("m"))
     return near.select("pid", "scene_id", F.col("m.y").alias("y"), F.col("m.x").alias("x"))
 
 
 def edge_points(clips: DataFrame) -> DataFrame:
-    """(pid, key, plat, plon): samples on the four edges of each clip(key, ul_x, ul_y, lr_x, lr_y)."""
+    """(pid, key, plat, plon): samples on the four edges of each clip(key, ul_x, ul_y, lr_x, lr_y) with all corners."""
+    clips = clips.where("ul_x is not null and ul_y is not null and lr_x is not null and lr_y is not null")
     t = F.col("s") / F.lit(float(EDGE_SAMPLES))
     lon, lat = F.col("ul_x") + t * (F.col("lr_x") - F.col("ul_x")), F.col("lr_y") + t * (F.col("ul_y") - F.col("lr_y"))
     edges = F.array(F.struct(F.col("ul_y").alias("plat"), lon.alias("plon")), F.struct(F.col("lr_y").alias("plat"), lon.alias("plon")), F.struct(lat.alias("plat"), F.col("ul_x").alias("plon")), F.struct(lat.alias("plat"), F.col("lr_x").alias("plon")))
@@ -52,17 +101,17 @@ def edge_points(clips: DataFrame) -> DataFrame:
 
 def bounding_box(clips: DataFrame, nav: DataFrame) -> DataFrame:
     """(key, scene_id, y0, x0, height, width) of each clip on the native grid; at least four hits."""
-    points = edge_points(clips)
-    hits = nearest_pixel(points.select("pid", "plat", "plon"), nav).join(F.broadcast(points.select("pid", "key")), "pid")
+    points = edge_points(clips).select(F.struct("key", "pid").alias("pid"), "plat", "plon")
+    hits = nearest_pixel(points, nav).withColumn("key", F.col("pid.key"))
     box = hits.groupBy("key", "scene_id").agg(F.count(F.lit(1)).alias("hits"), F.min("y").alias("y0"), F.min("x").alias("x0"), F.max("y").alias("y1"), F.max("x").alias("x1"))
     return box.where("hits >= 4").select("key", "scene_id", "y0", "x0", (F.col("y1") - F.col("y0") + 1).alias("height"), (F.col("x1") - F.col("x0") + 1).alias("width"))
 
 
-def clip_native(pixels: DataFrame, nav: DataFrame, clip: DataFrame) -> DataFrame:
-    """Pixels in the bounding box of one clip, moved to its origin."""
-    box = F.broadcast(bounding_box(clip, nav).select("scene_id", "y0", "x0", "height", "width"))
-    inside = (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y0") + F.col("height")) & (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x0") + F.col("width"))
-    return pixels.join(box, "scene_id").where(inside).withColumns({"y": F.col("y") - F.col("y0"), "x": F.col("x") - F.col("x0")}).drop("y0", "x0", "height", "width")
+def clip_native(pixels: DataFrame, nav: DataFrame, clips: DataFrame) -> DataFrame:
+    """Pixels in the bounding box of each clip, moved to its origin, with the clip's key."""
+    rows = bounding_box(clips, nav).withColumn("y", F.explode(F.sequence(F.col("y0"), F.col("y0") + F.col("height") - 1)))
+    inside = (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x0") + F.col("width"))
+    return pixels.join(rows, ["scene_id", "y"]).where(inside).withColumns({"y": F.col("y") - F.col("y0"), "x": F.col("x") - F.col("x0")}).drop("y0", "x0", "height", "width")
 
 
 def plan(extent: DataFrame, resolution_km: Column, clip: tuple[float, float, float, float] | None = None) -> DataFrame:

@@ -733,9 +733,18 @@ _POINTS = "pts AS (SELECT CAST(s_suppkey AS VARCHAR) AS pid, s_suppkey % 81 - 40
 
 @query("c9_nearest_pixel", f"{WIDE}, {NAV}, {_POINTS}, dd AS (SELECT pid, scene_id, y, x, (lat - plat) * (lat - plat) + pow(CASE WHEN abs(lon - plon) > 180 THEN 360 - abs(lon - plon) ELSE abs(lon - plon) END, 2) AS d2 FROM nav, pts WHERE lat IS NOT NULL) SELECT pid, scene_id, y, x FROM (SELECT *, row_number() OVER (PARTITION BY pid, scene_id ORDER BY d2, y, x) AS k FROM dd) WHERE k = 1")
 def c9(spark, sf):
+    return spatial.nearest_pixel(places(spark, sf).where("s_suppkey < 60"), navigated(spark, sf))
+
+
+def places(spark, sf):
+    """A point for each supplier."""
     k = F.col("s_suppkey")
-    points = grids.table(spark, sf, "supplier").where("s_suppkey < 60").select(k.cast("string").alias("pid"), (k % 81 - F.lit(40.0)).alias("plat"), (-k % 120 - F.lit(15.0)).alias("plon"))
-    return spatial.nearest_pixel(points, navigated(spark, sf))
+    return grids.table(spark, sf, "supplier").select("s_suppkey", k.cast("string").alias("pid"), (k % 81 - F.lit(40.0)).alias("plat"), (-k % 120 - F.lit(15.0)).alias("plon"))
+
+
+@query("c9_nearest_pixel_all")
+def c9_all(spark, sf):
+    return spatial.nearest_pixel(places(spark, sf), navigated(spark, sf))
 
 
 _BOX = f"""{CLIPS_SQL}, c5 AS (SELECT * FROM cl WHERE ul_y IS NOT NULL AND key IN ('k1', 'k5')), ep AS (SELECT key, s / 20.0::DOUBLE AS t, e, ul_x, ul_y, lr_x, lr_y FROM c5, range(0, 21) a(s), range(0, 4) b(e)),
@@ -759,6 +768,16 @@ def g9(spark, sf):
     return spatial.clip_native(every(spark, sf), navigated(spark, sf), two_clips(spark, sf).where("key = 'k1'")).select(*KEYS, *r6("c13"))
 
 
+@query("g8_bounding_box_all")
+def g8_all(spark, sf):
+    return spatial.bounding_box(clips(spark, sf), navigated(spark, sf))
+
+
+@query("g9_clip_native_all")
+def g9_all(spark, sf):
+    return spatial.clip_native(every(spark, sf), navigated(spark, sf), clips(spark, sf)).select("key", *KEYS, *r6("c13"))
+
+
 def extent(spark, sf):
     """Rows for ``spatial.plan`` of each scene: the whole disk's extent is clipped to the Americas."""
     bounds = navigated(spark, sf).groupBy("scene_id").agg(F.min("lat").alias("lat_min"), F.max("lat").alias("lat_max"), F.min("lon").alias("lon_min"), F.max("lon").alias("lon_max"))

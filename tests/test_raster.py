@@ -200,3 +200,55 @@ def test_gray_product_with_everything(spark):
     values = [r.v for r in out.collect()]
     assert len(values) == 256 and min(values) >= 0 and max(values) <= 255
     assert products.gray(spark.createDataFrame([], grids.PIXELS), "C13").count() == 0
+
+
+def brute_nearest(points, nav):
+    """{(pid, scene_id): (y, x)} over every pixel."""
+    out = {}
+    for pid, plat, plon in points:
+        if plat is None or plon is None:
+            continue
+        for scene, pixels in nav.items():
+            s, y, x, lat, lon = pixels
+            d = np.abs(lon - plon)
+            d = np.where(d > 180, 360 - d, d)
+            k = np.lexsort((x, y, (lat - plat) * (lat - plat) + d * d))[0]
+            out[pid, scene] = int(y[k]), int(x[k])
+    return out
+
+
+def arrays(nav):
+    scenes = {}
+    for r in nav.where("lat is not null").select("scene_id", "y", "x", "lat", "lon").collect():
+        scenes.setdefault(r.scene_id, []).append(tuple(r))
+    return {s: tuple(np.array(c) for c in zip(*rows, strict=True)) for s, rows in scenes.items()}
+
+
+def test_nearest_pixel_of_many_points(spark):
+    rng = np.random.default_rng(3)
+    nav = [(f"s{s}", int(k // 40), int(k % 40), float(lat), float(lon)) for s in range(2) for k, (lat, lon) in enumerate(zip(rng.uniform(-3, 30, 1600).round(1), (rng.uniform(165, 200, 1600).round(1) + 180) % 360 - 180, strict=True))] + [("s0", 99, 99, None, None)]
+    points = [(f"p{i}", float(rng.uniform(-80, 80).__round__(1)), float(rng.uniform(-180, 180).__round__(1))) for i in range(250)] + [("p0b", 5.0, 180.0), ("p0b", 80.0, 10.0), ("none", None, 1.0)]
+    df = spark.createDataFrame(nav, "scene_id string, y int, x int, lat double, lon double")
+    got = spatial.nearest_pixel(spark.createDataFrame(points, "pid string, plat double, plon double"), df).collect()
+    want = brute_nearest([p for p in points if p != ("p0b", 80.0, 10.0)], arrays(df))
+    assert len(got) == len(want) and {(r.pid, r.scene_id): (r.y, r.x) for r in got} == want
+
+
+def test_all_points_and_clips(spark):
+    from skyloom.plans import catalog
+
+    sf = "/root/testdata/sf0.01"  # 100 suppliers
+    nav = arrays(catalog.navigated(spark, sf))
+    points = [(r.pid, r.plat, r.plon) for r in catalog.places(spark, sf).collect()]
+    got = {(r.pid, r.scene_id): (r.y, r.x) for r in catalog.QUERIES["c9_nearest_pixel_all"](spark, sf).collect()}
+    assert len(got) == len(points) * len(nav) and got == brute_nearest(points, nav)
+    clips = [r for r in catalog.clips(spark, sf).collect() if r.ul_y is not None]
+    edges = [((c.key, s, e), p, q) for c in clips for s in range(21) for e, (p, q) in enumerate([(c.ul_y, c.ul_x + s / 20 * (c.lr_x - c.ul_x)), (c.lr_y, c.ul_x + s / 20 * (c.lr_x - c.ul_x)), (c.lr_y + s / 20 * (c.ul_y - c.lr_y), c.ul_x), (c.lr_y + s / 20 * (c.ul_y - c.lr_y), c.lr_x)])]
+    hits = {}
+    for (pid, scene), at in brute_nearest(edges, nav).items():
+        hits.setdefault((pid[0], scene), []).append(at)
+    want = {k: (min(y for y, _ in v), min(x for _, x in v), max(y for y, _ in v) - min(y for y, _ in v) + 1, max(x for _, x in v) - min(x for _, x in v) + 1) for k, v in hits.items()}
+    assert {(r.key, r.scene_id): (r.y0, r.x0, r.height, r.width) for r in catalog.QUERIES["g8_bounding_box_all"](spark, sf).collect()} == want
+    cells = {(r.scene_id, r.y, r.x) for r in catalog.every(spark, sf).collect()}
+    windows = sorted((k, s, y, x) for (k, s), (y0, x0, h, w) in want.items() for y in range(h) for x in range(w) if (s, y + y0, x + x0) in cells)
+    assert sorted((r.key, r.scene_id, r.y, r.x) for r in catalog.QUERIES["g9_clip_native_all"](spark, sf).collect()) == windows
