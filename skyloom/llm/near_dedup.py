@@ -1,7 +1,8 @@
 """Operator 8, near-duplicate groups: banded MinHash, Bayesian pruning, exact verification.
 
-1. One pass over the texts makes a document's set of word shingles, its size, a 128-bit digest
-   of the set and a MinHash signature.  Equal sets collapse to their smallest doc_id.
+1. One pass over the texts makes a document's set of word shingles, its size, a BLAKE2b digest of
+   the shingles' own words and a MinHash signature.  Equal sets collapse to their smallest
+   doc_id; the digest names them from here on.
 2. Signatures are banded; the number of bands is the least that misses a pair at the threshold
    with probability at most ``miss``.  Documents that share a band value are candidates.
 3. Candidates are compared in tiles: a bucket of at most ``TILE`` documents is one tile.  Of a
@@ -11,12 +12,16 @@
    outside) x (slices), never as pairs.  A tile compares signatures batch by batch and drops a
    pair once the posterior probability that it reaches the threshold falls below ``miss``
    (uniform prior; after n agreeing-or-not hashes with m agreements the similarity is
-   Beta(m+1, n-m+1)).  Only members of surviving pairs have their sets fetched.
-4. Survivors are verified on the full sets.  A tile answers with links that connect the same
-   documents as all of its verified pairs do (a star to the smallest doc_id of each of its
-   components), so a large group of copies never expands into pairs.
+   Beta(m+1, n-m+1)).
+4. The texts of the members of surviving pairs are joined back, once each, and every survivor is
+   verified on its words: shingles are told apart by the words themselves, not by hashes.  A
+   tile answers with links that connect the same documents as all of its verified pairs do (a
+   star to the smallest of each of its components), so a large group of copies never expands
+   into pairs.
 5. Components of the links are found in Spark and given to all documents.
 
+No side of a join is broadcast: plans are the same at every size.
+
 Defined results: null and empty texts have no shingles and are linked with nothing; texts with
 fewer words than a shingle are one shingle; null doc_ids come back as their own, kept; every
 row has its own set's group, also where rows repeat a doc_id; empty tables give empty results.
@@ -36,7 +41,8 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .scratch import base, hinted, written
+from .rows import texts_of, with_row_key
+from .scratch import written
 
 ROWS = 5
 BATCH = 25
@@ -73,27 +79,29 @@ def _functions(hashes: int) -> tuple[np.ndarray, np.ndarray]:
     return draw[0][:, None], draw[1][:, None] | np.uint32(1)
 
 
-def document_sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted distinct shingle hashes) of each row of a batch."""
+def document_sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray, bytes | None]]:
+    """(row, sorted distinct shingle hashes, digest of the shingles) of each row of a batch."""
     at = 0
     for part in W.chunks(batch, "text"):
-        data, offsets = W.text_bytes(part.column(part.schema.get_field_index("text")))
-        h, _, first = W.split_words(data, offsets, lower=True)
+        w = W.split_words(part.column(part.schema.get_field_index("text")), lower=True)
+        h = w.hashes()
         s = W.shingle_hashes(h, words)
         for i in range(part.num_rows):
-            a, b = first[i], first[i + 1]
+            a, b = w.first[i], w.first[i + 1]
             if b - a >= words:
-                found = np.unique(s[a : b - words + 1])
-            elif b > a:
-                found = W.shingle_hashes(h[a:b], b - a)
+                found, where = np.unique(s[a : b - words + 1], return_index=True)
+                content = w.gather(a + where, words)
             else:
-                found = np.zeros(0, np.uint64)
-            yield at + i, found
+                found, content = W.shingle_hashes(h[a:b], b - a) if b > a else np.zeros(0, np.uint64), w.bytes_of(a, b)
+            yield at + i, found, hashlib.blake2b(content, digest_size=16).digest() if len(found) else None
         at += part.num_rows
 
 
 def signatures(docs: DataFrame, words: int, hashes: int) -> DataFrame:
-    """(doc_id, n_shingles, set_digest, signature); the last two are null for empty sets."""
+    """(doc_id, rid, n_shingles, node, signature); the last two are null for empty sets.
+
+    rid tells rows with one doc_id and different texts apart; node is the digest of the set.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flip, factor = _functions(hashes)
@@ -116,12 +124,11 @@ def signatures(docs: DataFrame, words: int, hashes: int) -> DataFrame:
                 bounds[:] = [0]
 
             order: list[int] = []
-            for row, found in document_sets(batch, words):
+            for row, found, name in document_sets(batch, words):
                 sizes.append(len(found))
-                if not len(found):
-                    digest.append(None)
+                digest.append(name)
+                if name is None:
                     continue
-                digest.append(hashlib.blake2b(found, digest_size=16).digest())
                 order.append(row)
                 if bounds[-1] + len(found) > 4096:
                     flush()
@@ -131,28 +138,15 @@ def signatures(docs: DataFrame, words: int, hashes: int) -> DataFrame:
             full: list[bytes | None] = [None] * batch.num_rows
             for row, one in zip(order, sig, strict=True):
                 full[row] = one
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digest, pa.binary()), pa.array(full, pa.binary())], names=["doc_id", "n_shingles", "set_digest", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digest, pa.binary()), pa.array(full, pa.binary())], names=["doc_id", "rid", "n_shingles", "node", "signature"])
 
-    return base(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_digest binary, signature binary")
-
-
-def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(node, shingles): the sorted shingle hashes as packed 64-bit values; node names the set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in W.chunks(batch, "text", 2 << 20):
-                found = [x for _, x in document_sets(part, words)]
-                digest = [hashlib.blake2b(x, digest_size=16).digest() for x in found]
-                yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())], names=["set_digest", "shingles"])
-
-    return base(docs, "text").mapInArrow(run, "set_digest binary, shingles binary").select(F.xxhash64("set_digest").alias("node"), "shingles")
+    return with_row_key(docs).mapInArrow(run, "doc_id long, rid long, n_shingles long, node binary, signature binary")
 
 
 def band_values(reps: DataFrame, bands: int) -> DataFrame:
-    """(doc, band, value) of each signature, read from its bytes by built-in functions."""
+    """(node, band, value) of each signature, read from its bytes by built-in functions."""
     width = 4 * ROWS
-    return reps.select("node", "doc", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(F.substring("signature", (b * width + 1).cast("int"), F.lit(width))))).alias("band", "value"))
+    return reps.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(F.substring("signature", (b * width + 1).cast("int"), F.lit(width))))).alias("band", "value"))
 
 
 def _by_tile(batches: Iterator[pa.RecordBatch], work, chunk: int = 4096) -> Iterator[pd.DataFrame]:
@@ -187,14 +181,14 @@ def _by_tile(batches: Iterator[pa.RecordBatch], work, chunk: int = 4096) -> Iter
 
 
 def survivors(tiles: DataFrame, least: np.ndarray, hashes: int) -> DataFrame:
-    """Rows (tile, side, node, doc) of tiles(tile, band, side, node, doc, label, signature) with a surviving pair.
+    """Rows (tile, side, node, doc_id, rid) of tiles(.., band, label, signature) with a surviving pair.
 
     side 0: meets both sides; side 1: meets side 0 only.  Pairs with one label are connected
     already; a pair that shares an earlier band is looked at there.
     """
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame | None:
-        side, label, band = pdf["side"].to_numpy(), pdf["label"].to_numpy(), int(pdf["band"].iloc[0])
+        side, label, band = pdf["side"].to_numpy(), pd.factorize(pdf["label"])[0], int(pdf["band"].iloc[0])
         sig = np.frombuffer(b"".join(pdf["signature"]), "<u4").reshape(len(pdf), hashes)
         left = np.flatnonzero(side == 0)
         alive = np.zeros(len(pdf), bool)
@@ -214,14 +208,29 @@ def survivors(tiles: DataFrame, least: np.ndarray, hashes: int) -> DataFrame:
             if len(other):
                 alive[i] = True
                 alive[other] = True
-        return pdf.loc[alive, ["tile", "side", "node", "doc"]] if alive.any() else None
+        return pdf.loc[alive, ["tile", "side", "node", "doc_id", "rid"]] if alive.any() else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pdf in _by_tile(batches, work):
             yield pa.RecordBatch.from_pandas(pdf, preserve_index=False)
 
-    dealt = tiles.select("tile", "band", "side", "node", "doc", "label", "signature").repartition("tile").sortWithinPartitions("tile", "node")
-    return dealt.mapInArrow(run, "tile long, side int, node long, doc long")
+    dealt = tiles.select("tile", "band", "side", "node", "doc_id", "rid", "label", "signature").repartition("tile").sortWithinPartitions("tile", "node")
+    return dealt.mapInArrow(run, "tile long, side int, node binary, doc_id long, rid long")
+
+
+def exact_sets(texts: list[str], words: int) -> list[np.ndarray]:
+    """Sorted distinct shingles of each text as numbers; equal numbers are equal shingles, by their words."""
+    known: dict[bytes, int] = {}
+    ids = [np.fromiter((known.setdefault(w, len(known)) for w in t.encode().lower().split()), np.int64) for t in texts]
+    code = every = np.concatenate(ids)
+    for k in range(1, words):
+        code = np.unique(code[:-1] * len(known) + every[k:], return_inverse=True)[1] if len(code) > 1 else code[:0]
+    at, short, out = 0, {}, []
+    for x in ids:
+        own = code[at : at + len(x) - words + 1] if len(x) >= words else np.array([-1 - short.setdefault(x.tobytes(), len(short))])
+        out.append(np.unique(own))
+        at += len(x)
+    return out
 
 
 def tile_links(sets: list[np.ndarray], left: np.ndarray, similarity: tuple[int, int]) -> list[tuple[int, int]]:
@@ -272,74 +281,71 @@ def tile_links(sets: list[np.ndarray], left: np.ndarray, similarity: tuple[int,
     return [(find(i), i) for i in range(n) if find(i) != i]
 
 
-def verified(alive: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) of tiles' surviving members, each tile verified on the full sets."""
+def verified(alive: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) of tiles' surviving members, each tile verified on its texts."""
     num, den = round(similarity * 100), 100
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame | None:
         pdf = pdf.sort_values(["node", "side"]).drop_duplicates("node")
         node = pdf["node"].to_numpy()
-        links = tile_links([np.frombuffer(s, "<u8") for s in pdf["shingles"]], np.flatnonzero(pdf["side"].to_numpy() == 0), (num, den))
+        links = tile_links(exact_sets(list(pdf["text"]), words), np.flatnonzero(pdf["side"].to_numpy() == 0), (num, den))
         return pd.DataFrame({"a": [node[i] for i, _ in links], "b": [node[j] for _, j in links]}) if links else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pdf in _by_tile(batches, work):
             yield pa.RecordBatch.from_pandas(pdf, preserve_index=False)
 
-    joined = alive.join(sets.hint("shuffle_merge"), "node")
-    dealt = joined.select("tile", "side", "node", "shingles").repartition("tile").sortWithinPartitions("tile", "node", "side")
-    return dealt.mapInArrow(run, "a long, b long")
+    joined = alive.join(texts.hint("shuffle_merge"), ["doc_id", "rid"])
+    dealt = joined.select("tile", "side", "node", "text").repartition("tile").sortWithinPartitions("tile", "node", "side")
+    return dealt.mapInArrow(run, "a binary, b binary")
 
 
 def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, miss: float = 1e-5) -> DataFrame:
-    """Every row of ``docs`` with its group: (doc_id, n_shingles, component_id, kept)."""
+    """Every row of ``docs`` with its group: (doc_id, rid, n_shingles, component_id, kept)."""
     bands = band_count(similarity, miss)
     hashes = bands * ROWS
     least = prune_table(similarity, miss, hashes)
     rows = written(signatures(docs, words, hashes), "signatures")
     known = rows.where("signature is not null and doc_id is not null")
-    reps = known.groupBy("set_digest").agg(F.min("doc_id").alias("doc"), F.first("signature").alias("signature"))
-    reps = written(reps.withColumn("node", F.xxhash64("set_digest")), "representatives")
+    reps = known.groupBy("node").agg(F.min(F.struct("doc_id", "rid")).alias("key"), F.first("signature").alias("signature"))
+    reps = written(reps.select("node", "key.doc_id", "key.rid", "signature"), "representatives")
     buckets = written(band_values(reps, bands).groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    members = band_values(reps, bands).join(buckets.hint("shuffle_merge"), ["band", "value"]).select("band", F.xxhash64("band", "value").alias("bucket"), "n", "node", "doc")
+    members = band_values(reps, bands).join(buckets.hint("shuffle_merge"), ["band", "value"]).select("band", F.xxhash64("band", "value").alias("bucket"), "n", "node")
     members = written(members, "members")
 
     def resolve(tiles: DataFrame) -> DataFrame:
-        nodes = hinted(written(tiles.select("node").distinct(), "nodes"))
-        signed = tiles.join(reps.select("node", "signature").join(nodes, "node", "left_semi").hint("shuffle_merge"), "node")
+        signed = tiles.join(reps.hint("shuffle_merge"), "node")
         alive = written(survivors(signed, least, hashes), "survivors")
-        wanted = hinted(written(alive.select(F.col("doc").alias("doc_id")).distinct(), "wanted"))
-        sets = full_sets(base(docs, "doc_id", "text").join(wanted, "doc_id", "left_semi"), words)
-        return verified(alive, sets, similarity)
+        return verified(alive, texts_of(docs, alive.select("doc_id", "rid").distinct()), words, similarity)
 
-    tiles = members.where(F.col("n") <= TILE).select(F.col("bucket").alias("tile"), "band", F.lit(0).alias("side"), "node", "doc", F.col("node").alias("label"))
+    tiles = members.where(F.col("n") <= TILE).select(F.col("bucket").alias("tile"), "band", F.lit(0).alias("side"), "node", F.col("node").alias("label"))
     large = members.where(F.col("n") > TILE)
     slices = F.ceil(F.col("n") / SLICE).cast("int")
     slice_of = F.pmod(F.xxhash64("node"), slices).cast("int")
     hot = not large.isEmpty()
     if hot:
         pivot = F.pmod(F.xxhash64(F.lit("pivot"), "node"), F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.lit(float(PIVOTS)) / F.col("n")
-        pivots = large.where(pivot).select("bucket", "band", "node", "doc", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), F.lit(0).alias("side"))
-        others = large.where(~pivot).select("bucket", "band", "node", "doc", slice_of.alias("slice"), F.lit(1).alias("side"))
-        tiles = tiles.unionByName(pivots.unionByName(others).select(F.xxhash64("bucket", "slice").alias("tile"), "band", "side", "node", "doc", F.col("node").alias("label")))
+        pivots = large.where(pivot).select("bucket", "band", "node", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), F.lit(0).alias("side"))
+        others = large.where(~pivot).select("bucket", "band", "node", slice_of.alias("slice"), F.lit(1).alias("side"))
+        tiles = tiles.unionByName(pivots.unionByName(others).select(F.xxhash64("bucket", "slice").alias("tile"), "band", "side", "node", F.col("node").alias("label")))
     links = written(resolve(tiles), "links")
     labels = components(links)
     if hot:
-        labelled = written(large.join(labels.hint("shuffle_merge"), "node", "left").select("bucket", "band", "n", "node", "doc", F.coalesce("component", "node").alias("label")), "labelled")
+        labelled = written(large.join(labels.hint("shuffle_merge"), "node", "left").select("bucket", "band", "n", "node", F.coalesce("component", "node").alias("label")), "labelled")
         sizes = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("m"))
         main = sizes.groupBy("bucket").agg(F.max(F.struct("m", "label")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("bucket", F.col("main.label").alias("main"), F.col("main.m").alias("m"))
         split = labelled.join(main.hint("shuffle_merge"), "bucket")
         groups = F.ceil((F.col("n") - F.col("m")) / TILE).cast("int")
         group_of = F.pmod(F.xxhash64(F.lit("group"), "node"), groups).cast("int")
-        rest = split.where("label <> main").select("bucket", "band", "node", "doc", "label", group_of.alias("g"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), F.lit(0).alias("side"))
-        everyone = split.select("bucket", "band", "node", "doc", "label", F.explode(F.sequence(F.lit(0), groups - 1)).alias("g"), slice_of.alias("slice"), F.lit(1).alias("side"))
-        more = rest.unionByName(everyone).select(F.xxhash64("bucket", "g", "slice", F.lit(2)).alias("tile"), "band", "side", "node", "doc", "label")
+        rest = split.where("label <> main").select("bucket", "band", "node", "label", group_of.alias("g"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), F.lit(0).alias("side"))
+        everyone = split.select("bucket", "band", "node", "label", F.explode(F.sequence(F.lit(0), groups - 1)).alias("g"), slice_of.alias("slice"), F.lit(1).alias("side"))
+        more = rest.unionByName(everyone).select(F.xxhash64("bucket", "g", "slice", F.lit(2)).alias("tile"), "band", "side", "node", "label")
         links = written(links.unionByName(resolve(more)), "links")
         labels = components(links)
-    grouped = reps.select("set_digest", "node", "doc").join(labels.hint("shuffle_merge"), "node", "left").select("set_digest", "doc", F.coalesce("component", "node").alias("label"))
+    grouped = reps.select("node", "doc_id").join(labels.hint("shuffle_merge"), "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("label"))
     grouped = written(grouped, "grouped")
-    first = grouped.groupBy("label").agg(F.min("doc").alias("component_id"))
-    named = grouped.join(first.hint("shuffle_merge"), "label").select("set_digest", "component_id")
-    keyed = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_digest")).alias("set_digest"))
-    out = keyed.join(named.hint("shuffle_merge"), "set_digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    first = grouped.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    named = grouped.join(first.hint("shuffle_merge"), "label").select("node", "component_id")
+    keyed = rows.select("doc_id", "rid", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
+    out = keyed.join(named.hint("shuffle_merge"), "node", "left").select("doc_id", "rid", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

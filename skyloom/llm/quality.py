@@ -56,7 +56,8 @@ def statistics(docs: DataFrame) -> DataFrame:
             for part in W.chunks(batch, "text", 4 << 20):
                 text = part.column(1)
                 data, offsets = W.text_bytes(text)
-                h, _, first = W.split_words(data, offsets)
+                w = W.split_words(text)
+                h, first = w.hashes(), w.first
                 total = lambda x, at=offsets: (c := np.concatenate([[0], np.cumsum(x)]))[at[1:]] - c[at[:-1]]
                 chars = total((data & 0xC0 != 0x80) & ~W._SPACE[data])
                 symbols = total(_SYMBOL[data])

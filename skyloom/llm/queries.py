@@ -53,7 +53,7 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_dedup(documents(spark, sf_dir), words=3, similarity=0.85)
+    return near_dedup.near_dedup(documents(spark, sf_dir), words=3, similarity=0.85).drop("rid")
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,39 +1,69 @@
-"""Vectorised words of UTF-8 text batches: 64-bit hashes without a Python object per word.
-
-A word is a maximal run of bytes outside ``[\\x20\\x09-\\x0D]``.  Hashes are polynomial over
-the word's bytes, modulo 2^64, then mixed; equal words have equal hashes in every batch,
-task and run.  Null texts have no words.
+"""Vectorised words of UTF-8 text batches, without a Python object per word.
+
+A word is a maximal run of bytes outside ``[\\x20\\x09-\\x0D]``.  A batch is kept as one buffer in
+which every word is followed by one space, so the bytes of any run of words are one slice.
+Word hashes take eight bytes at a time, each group of eight through a bijection of its own, so
+that no pattern of letters collides by construction; equal words have equal hashes in every
+batch, task and run.  Hashes only find candidates and count; what operators call equal they tell
+by the words themselves or by BLAKE2b digests of their bytes.  Null texts have no words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 
-SEGMENT = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
+SEGMENT = 1 << 18  # words hashed at a time
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_powers: dict[int, np.ndarray] = {}
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+_LANE = np.uint64(0x9E3779B97F4A7C15)
+_LENGTH = np.uint64(0xD1342543DE82EF95)
+
+
+class Words(NamedTuple):
+    """data: all words, each with a space after it; word i is data[start[i]:end[i]]; row r has the
+    words first[r]:first[r + 1]."""
 
+    data: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    first: np.ndarray
 
-def _power_table(base: int, n: int) -> np.ndarray:
-    """Powers 0..n-1 of ``base`` modulo 2^64, kept for the next call."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        out = np.ones(1, np.uint64)
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of each word."""
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        lane = np.ndarray((len(self.data) + 1,), "<u8", buffer=padded.data, strides=(1,))
+        out = np.empty(len(self.start), np.uint64)
         with np.errstate(over="ignore"):
-            while len(out) < n:
-                out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
-        if len(out) > 4 * SEGMENT:
-            return out
-        _powers[base] = have = out
-    return have
+            for a in range(0, len(out), SEGMENT):
+                start, size = self.start[a : a + SEGMENT], (self.end - self.start)[a : a + SEGMENT]
+                total = mix64((lane[start] & _MASK[np.minimum(size, 8)]) ^ _LANE)
+                long = np.flatnonzero(size > 8)
+                if len(long):
+                    more = (size[long] - 1) // 8
+                    at = np.cumsum(more) - more
+                    k = np.arange(int(more.sum())) - np.repeat(at, more) + 1
+                    left = np.minimum(np.repeat(size[long], more) - 8 * k, 8)
+                    part = lane[np.repeat(start[long], more) + 8 * k] & _MASK[left]
+                    total[long] += np.add.reduceat(mix64(part ^ ((k + 1).astype(np.uint64) * _LANE)), at)
+                out[a : a + SEGMENT] = mix64(total + size.astype(np.uint64) * _LENGTH)
+        return out
+
+    def bytes_of(self, i: int, j: int) -> bytes:
+        """Words i to j - 1, each with a space after it."""
+        return self.data[self.start[i] : self.end[j - 1] + 1].tobytes() if j > i else b""
+
+    def gather(self, i: np.ndarray, n: int) -> bytes:
+        """The n words from each i on, one run after the other."""
+        start, size = self.start[i], self.end[i + n - 1] + 1 - self.start[i]
+        ends = np.cumsum(size)
+        return self.data[np.arange(int(ends[-1]) if len(i) else 0) + np.repeat(start - (ends - size), size)].tobytes()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -61,39 +91,22 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offs - offs[0]
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, hashes: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word, byte position of each word, n+1 word offsets of the rows)."""
-    n = len(data)
-    hs, starts = [], []
-    at = 0
-    cuts = np.zeros(n + 1, bool)
-    cuts[offsets] = True
-    inverse = pow(_BASE, -1, 1 << 64)
-    while at < n:
-        end = min(n, at + SEGMENT)
-        while end < n and not (_SPACE[data[end]] or cuts[end]):
-            step = min(n, end + SEGMENT)
-            stop = np.flatnonzero(_SPACE[data[end:step]] | cuts[end:step])
-            end = end + int(stop[0]) if len(stop) else step
-        part = data[at:end]
-        space = _SPACE[part]
-        begin = ~space
-        begin[1:] &= space[:-1] | cuts[at + 1 : end]
-        s = np.flatnonzero(begin)
-        if len(s):
-            if hashes:
-                low = LOWER[part] if lower else part
-                power, back = _power_table(_BASE, len(part)), _power_table(inverse, len(part))
-                # a space adds nothing, so a word reaches to the start of the next one
-                value = (low.astype(np.uint64) + np.uint64(1)) * power[: len(part)]
-                value[space] = 0
-                total = np.add.reduceat(value, s)
-                hs.append(mix64(total * back[s]))
-            starts.append(s + at)
-        at = end
-    pos = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-    h = np.concatenate(hs) if hs else np.zeros(0, np.uint64)
-    return h, pos, np.searchsorted(pos, offsets)
+def split_words(column: pa.Array, lower: bool = False) -> Words:
+    """The words of each row; ``lower``: with A-Z in lower case."""
+    data, offsets = text_bytes(column)
+    rows = np.arange(len(offsets) - 1)
+    data = np.insert(data, offsets[1:], 0x20)  # rows end words
+    if lower:
+        data = LOWER[data]
+    space = _SPACE[data]
+    first_space = space.copy()
+    first_space[1:] &= ~space[:-1]
+    first_space[:1] = False
+    stop = np.flatnonzero(first_space)
+    first = np.concatenate([[0], np.searchsorted(stop, offsets[1:] + rows, "right")])
+    data = np.where(space, np.uint8(0x20), data)[~space | first_space]
+    end = np.flatnonzero(data == 0x20)
+    return Words(data, np.concatenate([np.zeros(min(1, len(end)), np.int64), end[:-1] + 1]), end, first)
 
 
 def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:

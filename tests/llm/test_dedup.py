@@ -79,7 +79,7 @@ def brute_near(rows, n, num):
 def test_near_documents(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
-    assert sorted(tuple(r) for r in near_dedup.near_dedup(docs, 3, 0.85).collect()) == brute_near(rows, 3, 85)
+    assert sorted(tuple(r) for r in near_dedup.near_dedup(docs, 3, 0.85).drop("rid").collect()) == brute_near(rows, 3, 85)
 
 
 def test_near_hot_group(spark, monkeypatch):
@@ -94,26 +94,60 @@ def test_near_hot_group(spark, monkeypatch):
         for k in rng.integers(0, 120, rng.integers(0, 9)):
             copy[k] = f"v{rng.integers(0, 9999)}"
         rows.append((i, " ".join(copy)))
-    got = sorted(tuple(r) for r in near_dedup.near_dedup(table(spark, rows), 3, 0.85, miss=1e-9).collect())
+    got = sorted(tuple(r) for r in near_dedup.near_dedup(table(spark, rows), 3, 0.85, miss=1e-9).drop("rid").collect())
     assert got == brute_near(rows, 3, 85)
 
 
 def test_near_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, "one two"), (4, "ONE  two"), (5, "one"), (6, "a b c d"), (7, " \n"), (8, "a B c d")]
-    got = sorted(tuple(r) for r in near_dedup.near_dedup(table(spark, rows), 3, 0.85).collect())
+    got = sorted(tuple(r) for r in near_dedup.near_dedup(table(spark, rows), 3, 0.85).drop("rid").collect())
     assert got == brute_near(rows, 3, 85)
     assert near_dedup.near_dedup(table(spark, [])).count() == 0
     odd = near_dedup.near_dedup(table(spark, [(None, "a b c"), (2, "a b c"), (2, "a b c"), (2, "x y z")]), 3, 0.85).collect()
     assert len(odd) == 4 and all(r.kept for r in odd)
 
 
+def colliding(n=1024):
+    """Two words that agree under every polynomial hash modulo 2^64."""
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - b for b in bits]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_near_words_that_polynomials_confuse(spark):
+    a, b = colliding()
+    words = [f"w{i}" for i in range(60)]
+    one, two = list(words), list(words)
+    for k in range(3, 60, 10):
+        one[k], two[k] = a, b
+    rows = [(1, " ".join(one)), (2, " ".join(two)), (3, a), (4, b), (5, a)]
+    for n, num in ((3, 85), (5, 80)):
+        got = sorted(tuple(r) for r in near_dedup.near_dedup(table(spark, rows), n, num / 100).drop("rid").collect())
+        assert got == brute_near(rows, n, num)
+
+
+def test_near_repeated_rows(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(7, text)] * 400 + [(7, "another text of row seven")] * 3 + [(2, text + " end"), (9, "x y z")]
+    got = near_dedup.near_dedup(table(spark, rows), 3, 0.85).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(7, 78, 2), (7, 3, 7), (2, 79, 2), (9, 1, 9)}
+
+
+def test_exact_sets_are_told_by_words():
+    sets = near_dedup.exact_sets(["a b c d", "b c d A", "a b", "A B", "b a", "x"], 3)
+    assert [len(s) for s in sets] == [2, 2, 1, 1, 1, 1]
+    assert len(np.intersect1d(sets[0], sets[1])) == 1 and (sets[2] == sets[3]).all() and sets[2] != sets[4]
+
+
 def test_words_match_regex():
     import pyarrow as pa
 
-    texts = ["a  b\tc d", None, "", " x", "É é\x0b\x0cz", "long" * 400_000 + " end"]
-    data, offs = W.text_bytes(pa.array(texts))
-    h, pos, first = W.split_words(data, offs)
+    texts = ["a  b\tc d", None, "", " x", "É é\x0b\x0cz", "long" * 400_000 + " end", "12345678 123456789 1234567 12345678x", *colliding()]
+    w = W.split_words(pa.array(texts))
     want = [re.findall("[^\x20\x09-\x0d]+", t or "") for t in texts]
-    assert np.diff(first).tolist() == [len(w) for w in want]
-    flat = [w for ws in want for w in ws]
-    assert len(set(h.tolist())) == len(set(flat))
+    assert np.diff(w.first).tolist() == [len(w) for w in want]
+    flat = [x for ws in want for x in ws]
+    assert [w.data[a:b].tobytes().decode() for a, b in zip(w.start, w.end, strict=True)] == flat
+    assert len(set(w.hashes().tolist())) == len(set(flat))

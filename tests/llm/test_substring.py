@@ -4,7 +4,7 @@ import re
 import numpy as np
 
 from skyloom.llm import substring_dedup
-from tests.llm.test_dedup import DATA, table
+from tests.llm.test_dedup import DATA, colliding, table
 
 
 def brute(rows, window=50):
@@ -61,13 +61,28 @@ def test_segments(spark, monkeypatch):
     assert run(table(spark, rows)) == brute(rows)
 
 
-def test_many_rows_with_repeats(spark, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "FEW", 0)
+def test_words_that_polynomials_confuse(spark):
+    a, b = colliding()
+    words = [f"w{i}" for i in range(60)]
+    one, two = list(words), list(words)
+    for k in range(3, 60, 10):
+        one[k], two[k] = a, b
+    rows = [(1, " ".join(one)), (2, " ".join(two)), (3, " ".join(two))]
+    assert run(table(spark, rows)) == brute(rows)
+
+
+def test_repeated_rows(spark):
     w = [f"w{i}" for i in range(120)]
-    rows = [(1, " ".join(w)), (2, "a b c " + " ".join(w[20:100]) + " d"), (3, "short"), (None, " ".join(w))]
+    rows = [(4, " ".join(w))] * 300 + [(1, "a b c " + " ".join(w[20:100]) + " d"), (3, "short"), (None, " ".join(w))]
     assert run(table(spark, rows)) == brute(rows)
 
 
+def test_chains_fold_to_their_first_edge(spark):
+    rows = [(d, 100 * d, 10 * k, 10, bytes([65 + k])) for d in (1, 2) for k in range(9)] + [(3, 300, 10 * k, 10, bytes([65 + k])) for k in range(5, 8)]
+    got = substring_dedup.chains(spark.createDataFrame(rows, "doc_id long, rid long, start long, n int, edge binary")).collect()
+    assert sorted((bytes(r.edge).decode(), bytes(r.head).decode(), r.before) for r in got) == [("B", "A", 10), ("C", "A", 20), ("D", "A", 30), ("E", "A", 40), ("G", "F", 10), ("H", "F", 20)]
+
+
 def test_edge_cases(spark):
     w = " ".join(f"w{i}" for i in range(60))
     rows = [(None, w), (5, w), (6, w), (7, None), (8, ""), (9, " ".join(w.split()[:49])), (10, "x " + w.replace(" ", "\n\t") + " y")]
@@ -80,5 +95,5 @@ def test_edge_cases(spark):
 def test_spans(spark):
     w = [f"w{i}" for i in range(200)]
     docs = table(spark, [(1, " ".join(w)), (2, "a b c " + " ".join(w[20:180]) + " d")])
-    (span,) = substring_dedup.spans(substring_dedup.repeated(docs)).collect()
+    (span,) = substring_dedup.spans(substring_dedup.repeated(docs)[0]).collect()
     assert (span.doc_id, span.source_id, span.start, span.end, span.source_start) == (2, 1, 3, 163, 20)
