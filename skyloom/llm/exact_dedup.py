@@ -40,9 +40,10 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def winners(rows: DataFrame) -> DataFrame:
-    """One row per digest: the locator of its winner and the number of copies."""
-    best = F.max(F.struct("n_points", (-F.col("doc_id")).alias("order")))
-    return rows.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("copies")).select("digest", F.col("best.n_points").alias("n_points"), (-F.col("best.order")).alias("doc_id"), "copies")
+    """One row per digest: the locator of its winner (doc_id is 0 where not known) and the copies."""
+    best = F.min(F.struct((-F.col("n_points")).alias("less"), F.col("doc_id").isNull().alias("unknown"), "doc_id"))
+    found = rows.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("copies"))
+    return found.select("digest", (-F.col("best.less")).alias("n_points"), F.coalesce("best.doc_id", F.lit(0)).cast("long").alias("doc_id"), (~F.col("best.unknown")).alias("known"), "copies")
 
 
 def _bucket(n: int):
@@ -96,15 +97,13 @@ def find_slots(levels: list[np.ndarray], words: np.ndarray) -> np.ndarray:
 def build_index(history: DataFrame, buckets: int) -> DataFrame:
     """One row per bucket: its levels as packed bits, and its slots as packed columns.
 
-    ``history`` has distinct digests with their winner: (digest, n_points, doc_id, copies).
+    ``history`` has distinct digests with their winner, as ``winners`` makes them.
     """
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         words = _words(pdf["digest"])
         levels, slot = build_hash(words)
         order = np.argsort(slot)
-        known = pdf["doc_id"].notna().to_numpy()
-        ids = pdf["doc_id"].fillna(0).to_numpy(np.int64)
         pack = lambda x, kind: np.ascontiguousarray(x[order], kind).tobytes()
         return pd.DataFrame(
             {
@@ -112,21 +111,21 @@ def build_index(history: DataFrame, buckets: int) -> DataFrame:
                 "sizes": [[len(x) for x in levels]],
                 "bits": [[np.packbits(x).tobytes() for x in levels]],
                 "digests": [pack(words, "<u8")],
-                "doc_ids": [pack(ids, "<i8")],
-                "known": [pack(known, "u1")],
+                "doc_ids": [pack(pdf["doc_id"].to_numpy(), "<i8")],
+                "known": [pack(pdf["known"].to_numpy(), "u1")],
                 "points": [pack(pdf["n_points"].to_numpy(), "<i4")],
                 "copies": [pack(pdf["copies"].to_numpy(), "<i8")],
             }
         )
 
-    keyed = history.select(_bucket(buckets).alias("bucket"), "digest", "n_points", "doc_id", "copies")
+    keyed = history.select(_bucket(buckets).alias("bucket"), "digest", "n_points", "doc_id", "known", "copies")
     return keyed.groupBy("bucket").applyInPandas(build, "bucket int, sizes array<int>, bits array<binary>, digests binary, doc_ids binary, known binary, points binary, copies binary")
 
 
 def probe(index: DataFrame, incoming: DataFrame, buckets: int) -> DataFrame:
     """Groups after incoming distinct digests met the index; both kinds of rows of a bucket meet in one task.
 
-    Returns (digest, n_points, doc_id, copies, member): for each history slot its winner and its
+    Returns (digest, n_points, doc_id, known, copies, member): for each history slot its winner and its
     copies with those of incoming repeats, and each nonmember as it came.
     """
 
@@ -139,12 +138,12 @@ def probe(index: DataFrame, incoming: DataFrame, buckets: int) -> DataFrame:
             slots = pd.DataFrame(
                 {
                     "n_points": np.frombuffer(row["points"], "<i4"),
-                    "doc_id": pd.array(np.frombuffer(row["doc_ids"], "<i8"), "Int64").copy(),
+                    "doc_id": np.frombuffer(row["doc_ids"], "<i8"),
+                    "known": np.frombuffer(row["known"], "u1").astype(bool),
                     "copies": np.frombuffer(row["copies"], "<i8"),
                     "member": True,
                 }
             )
-            slots.loc[np.frombuffer(row["known"], "u1") == 0, "doc_id"] = pd.NA
             slots.insert(0, "slot", np.arange(len(held)))
             if len(new):
                 words = _words(new["digest"])
@@ -152,20 +151,20 @@ def probe(index: DataFrame, incoming: DataFrame, buckets: int) -> DataFrame:
                 there = slot >= 0
                 there[there] = (held[slot[there]] == words[there]).all(axis=1)
                 hits = new[there].assign(slot=slot[there])
-                both = pd.concat([slots, hits.assign(doc_id=hits["doc_id"].astype("Int64"), member=True)[list(slots)]])
-                both = both.sort_values(["slot", "n_points", "doc_id"], ascending=[True, False, True], na_position="last", kind="stable")
+                both = pd.concat([slots, hits.assign(member=True)[list(slots)]])
+                both = both.sort_values(["slot", "n_points", "known", "doc_id"], ascending=[True, False, False, True], kind="stable")
                 copies = both.groupby("slot")["copies"].sum()
                 slots = both.drop_duplicates("slot").set_index("slot").assign(copies=copies).reset_index()
                 new = new[~there]
             slots["digest"] = [held[i].tobytes() for i in slots["slot"]]
             frames.append(slots.drop(columns="slot"))
         if len(new):
-            frames.append(new.assign(doc_id=new["doc_id"].astype("Int64"), member=False))
-        cols = ["digest", "n_points", "doc_id", "copies", "member"]
+            frames.append(new.assign(member=False))
+        cols = ["digest", "n_points", "doc_id", "known", "copies", "member"]
         return pd.concat([f[cols] for f in frames]) if frames else pd.DataFrame({c: [] for c in cols})
 
-    new = incoming.select(_bucket(buckets).alias("bucket"), "digest", "n_points", "doc_id", "copies")
-    return index.groupBy("bucket").cogroup(new.groupBy("bucket")).applyInPandas(look_up, "digest binary, n_points int, doc_id long, copies long, member boolean")
+    new = incoming.select(_bucket(buckets).alias("bucket"), "digest", "n_points", "doc_id", "known", "copies")
+    return index.groupBy("bucket").cogroup(new.groupBy("bucket")).applyInPandas(look_up, "digest binary, n_points int, doc_id long, known boolean, copies long, member boolean")
 
 
 def bucket_count(df: DataFrame, rows: int) -> int:
@@ -177,10 +176,10 @@ def dedup_batches(history: DataFrame, incoming: DataFrame) -> DataFrame:
 
     Returns (doc_id, digest, n_points, keep_id, keep_points, group_size, member).
     """
-    n = bucket_count(history, history.count())
+    n = bucket_count(history, history.count() + incoming.count())
     index = build_index(winners(history), n)
     groups = probe(index, winners(incoming), n)
-    found = groups.select(F.col("digest"), F.col("doc_id").alias("keep_id"), F.col("n_points").alias("keep_points"), F.col("copies").alias("group_size"), "member")
+    found = groups.select(F.col("digest"), F.when(F.col("known"), F.col("doc_id")).alias("keep_id"), F.col("n_points").alias("keep_points"), F.col("copies").alias("group_size"), "member")
     return history.unionByName(incoming).join(found.hint("shuffle_merge"), "digest")
 
 

@@ -1,7 +1,7 @@
 """Operator 5, packing of token sequences by linear grouping.
 
 Documents are tokenised and ended by one id; only longer ones than a sequence are cut, with the
-short piece first.  Pieces are dealt by hash to shards of about ``SHARD`` pieces; a shard is
+short piece first.  Pieces are dealt by place to shards of about ``SHARD`` pieces; a shard is
 packed in one task, alike at any input size, and leaves at most a few sequences part filled:
 
 1. Pieces longer than ``LARGE`` are sorted and split into ``GROUPS`` groups of equal cardinality;
@@ -25,7 +25,6 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,16 +37,22 @@ GROUPS = 64
 LARGE = CAPACITY // 8
 END = 0
 _MEMO = 300_000
+RUN = 256
+#: The characters that the pattern's \\s stands for.
+_WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _SPECIAL = {"<|endoftext|>": 50256}  # a fixed value of the public vocabulary
 _loaded: dict[tuple[str, str], "Encoder"] = {}
 
 
 class Encoder:
-    """Ids of texts as packed unsigned 32-bit values, the ranks and pattern of the byte-level BPE.
+    """Ids of texts as packed unsigned 32-bit values, from the ranks and pattern of the byte-level BPE.
 
     A text is cut where a single space follows a character that is no white space; the pattern
     never joins what stands on both sides of such a cut, so parts can be encoded one by one and
-    frequent parts are remembered.  Texts with other runs of spaces are encoded whole.
+    frequent parts are remembered.  Texts with other runs of spaces are encoded whole, but for runs
+    of over ``RUN`` characters: the pattern takes all of a run but its last character as one piece
+    (all of it at the end of a text), which is merged by itself, as matching it would go beyond the
+    pattern engine's stack.
     """
 
     def __init__(self, ranks: str, pattern: str) -> None:
@@ -59,23 +64,49 @@ class Encoder:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=table, special_tokens=_SPECIAL)
         self.odd = re.compile(r"\s |<\|endoftext\|>")
+        self.runs = re.compile(f"[{_WHITE}]{{{RUN},}}")
         self.memo: dict[str, bytes] = {}
 
     def part(self, text: str) -> bytes:
         found = self.memo.get(text)
         if found is None:
-            found = np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
+            found = self.ordinary(text)
             if len(self.memo) < _MEMO and len(text) < 64:
                 self.memo[text] = found
         return found
 
+    def ordinary(self, text: str) -> bytes:
+        """Ids of a text without special tokens."""
+        if len(text) < RUN:
+            return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
+        out, at = [], 0
+        for m in self.runs.finditer(text):
+            end = m.end() - (m.end() < len(text))
+            if m.start() > at:
+                out.append(self.encoding.encode_ordinary(text[at : m.start()]))
+            out.append(self.encoding._encode_single_piece(text[m.start() : end]))
+            at = end
+        if at < len(text):
+            out.append(self.encoding.encode_ordinary(text[at:]))
+        return b"".join(np.array(x, "<u4").tobytes() for x in out)
+
     def encode(self, text: str) -> bytes:
         if self.odd.search(text):
-            return np.array(self.encoding.encode(text, allowed_special="all"), "<u4").tobytes()
+            parts = [text]
+            for name, number in _SPECIAL.items():  # special tokens are looked for before anything else
+                parts = [p for part in parts for p in ([part] if isinstance(part, int) else _between(part.split(name), number))]
+            return b"".join(np.array([p], "<u4").tobytes() if isinstance(p, int) else self.ordinary(p) for p in parts)
         first, *rest = text.split(" ")
         return b"".join([self.part(first), *(self.part(" " + p) for p in rest)])
 
 
+def _between(parts: list[str], number: int) -> list[str | int]:
+    out: list[str | int] = []
+    for k, p in enumerate(parts):
+        out += [number, p] if k else [p]
+    return out
+
+
 def encoder(ranks: str, pattern: str) -> Encoder:
     if (ranks, pattern) not in _loaded:
         _loaded[ranks, pattern] = Encoder(ranks, pattern)
@@ -200,14 +231,18 @@ def pack(length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def pack_pieces(found: DataFrame, shards: int) -> DataFrame:
     """``found`` with sequence_id and offset."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
-        sequence, offset = pack(pdf["length"].to_numpy())
-        return pdf.assign(sequence_id=(np.int64(pdf["shard"].iloc[0]) << 32) + sequence, offset=offset).drop(columns="shard")
+    def run(table: pa.Table) -> pa.Table:
+        column = lambda c: table.column(c).to_numpy()
+        order = np.lexsort((column("ids_crc32"), column("piece"), table.column("doc_id").fill_null(0).to_numpy(), -column("length")))
+        sequence, offset = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        sequence[order], offset[order] = pack(column("length")[order])
+        sequence += np.int64(table.column("shard")[0].as_py()) << 32
+        return table.drop_columns("shard").append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
-    shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int")
+    # by place in the written table, so that a row that is repeated many times is dealt to all shards
+    shard = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int")
     dealt = found.withColumn("shard", shard)
-    return dealt.groupBy("shard").applyInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return dealt.groupBy("shard").applyInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def packed(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:

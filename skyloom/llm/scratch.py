@@ -4,17 +4,23 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_made: list[str] = []
+_made: ContextVar[list[str] | None] = ContextVar("tables of the run at hand", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests), a folder of our own."""
+    """The folder in spark.checkpoint.dir; in local mode only, where that is unset, a folder of our own."""
     have = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not have:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         have = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", have)
     return have
@@ -24,23 +30,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again; survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    made = _made.get()
+    if made is not None:
+        made.append(path)
     df.write.option("compression", "zstd").parquet(path)
-    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def mark() -> int:
-    """A place in the list of written tables, for ``drop_since``."""
-    return len(_made)
-
-
-def drop_since(spark: SparkSession, place: int) -> None:
-    """Deletes the tables written since ``mark``; only once what reads them has been written itself."""
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _made[place:]:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
-    del _made[place:]
+@contextmanager
+def dropped(spark: SparkSession) -> Iterator[list[str]]:
+    """The tables that this thread writes inside are deleted at the end; results must have been written
+    or read whole by then."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield made
+    finally:
+        _made.reset(token)
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in made:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
 
 
 def base(docs: DataFrame, *columns: str) -> DataFrame:
@@ -50,9 +60,3 @@ def base(docs: DataFrame, *columns: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def hinted(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
-    """A written table of a few numbers a row, for the small side of a join: broadcast while it has
-    at most ``rows`` rows, else shuffled like the other side."""
-    return F.broadcast(df) if df.count() <= rows else df.hint("shuffle_merge")

@@ -19,11 +19,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import base, hinted, written
+from .scratch import base, written
 
 LIMIT = 1 << 20
 STEP = 8
 BITS = 60
+SALTS = 1024  # groups in which rows of one hash are numbered
 
 
 def placed(docs: DataFrame) -> DataFrame:
@@ -43,7 +44,7 @@ def directory(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
     while depth <= BITS:
         depths = range(depth, min(depth + STEP, BITS + 1))
         level = F.explode(F.array(*[F.lit(d) for d in depths]))
-        here = rows if heavy is None else rows.join(hinted(heavy.select(F.col("prefix").alias("root"))), F.substring("bits", 1, depth - 1) == F.col("root"), "left_semi")
+        here = rows if heavy is None else rows.join(heavy.select(F.col("prefix").alias("root")).hint("shuffle_merge"), F.substring("bits", 1, depth - 1) == F.col("root"), "left_semi")
         # one sum per prefix of the longest depth, then the shorter ones from those sums
         cells = here.groupBy(F.substring("bits", 1, depths[-1]).alias("cell")).agg(F.sum("n_bytes").alias("n_bytes"))
         sums = cells.withColumn("depth", level).groupBy(F.expr("substring(cell, 1, depth)").alias("prefix"), "depth").agg(F.sum("n_bytes").alias("shard_bytes"))
@@ -66,19 +67,25 @@ def sharded(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     shard_id is the prefix in binary digits ("*" where one shard holds all), with a slice number
     where rows of one whole hash had to be cut.
     """
-    rows = written(placed(docs), "placed")
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    rows = written(placed(docs).withColumn("salt", salt), "placed")
     found = written(directory(rows, limit), "directory")
     spread = [r.depth for r in found.select("depth").distinct().orderBy("depth").collect()]  # at most BITS + 1 numbers
     keys = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.substring("bits", 1, d).alias("prefix")) for d in spread]).cast("array<struct<depth:int,prefix:string>>"))
-    tried = rows.withColumn("key", keys).select("doc_id", "n_bytes", "bits", F.col("key.depth").alias("depth"), F.col("key.prefix").alias("prefix"))
-    joined = tried.join(hinted(found), ["depth", "prefix"])
+    tried = rows.withColumn("key", keys).select("doc_id", "n_bytes", "salt", F.col("key.depth").alias("depth"), F.col("key.prefix").alias("prefix"))
+    joined = tried.join(found.hint("shuffle_merge"), ["depth", "prefix"])
     name = F.when(F.col("prefix") == "", F.lit("*")).otherwise(F.col("prefix"))
     light = joined.where(F.col("shard_bytes") <= limit).select("doc_id", "n_bytes", name.alias("shard_id"), "depth", "shard_bytes", F.lit(False).alias("oversize"))
     same = joined.where(F.col("shard_bytes") > limit)
     per = F.greatest(F.lit(1), F.expr(f"{limit} div greatest(n_bytes, 1)"))
-    # rows of one hash are equal, so slices of equal counts have equal weights
-    rank = F.row_number().over(Window.partitionBy("prefix").orderBy("doc_id")) - 1
-    cut = same.withColumn("slice", F.floor(rank / per))
-    weight = F.sum("n_bytes").over(Window.partitionBy("prefix", "slice"))
-    heavy = cut.withColumn("weight", weight).select("doc_id", "n_bytes", F.concat_ws(":", name, F.col("slice").cast("string")).alias("shard_id"), "depth", F.col("weight").alias("shard_bytes"), (F.col("n_bytes") > limit).alias("oversize"))
+    # rows of one hash are equal, so slices of equal counts have equal weights; they are numbered within
+    # each salt, after the rows of the salts before it
+    counts = same.groupBy("prefix", "salt").agg(F.count(F.lit(1)).alias("rows"))
+    by_salt = Window.partitionBy("prefix").orderBy("salt")
+    before = F.sum("rows").over(by_salt) - F.col("rows")
+    offsets = counts.select("prefix", "salt", before.alias("before"), F.sum("rows").over(Window.partitionBy("prefix")).alias("all"))
+    rank = F.col("before") + F.row_number().over(Window.partitionBy("prefix", "salt").orderBy("doc_id")) - 1
+    cut = same.join(offsets.hint("shuffle_merge"), ["prefix", "salt"]).withColumn("per", per).withColumn("slice", F.floor(rank / F.col("per")))
+    weight = F.col("n_bytes") * F.least(F.col("per"), F.col("all") - F.col("slice") * F.col("per"))
+    heavy = cut.withColumn("weight", weight.cast("long")).select("doc_id", "n_bytes", F.concat_ws(":", name, F.col("slice").cast("string")).alias("shard_id"), "depth", F.col("weight").alias("shard_bytes"), (F.col("n_bytes") > limit).alias("oversize"))
     return light.unionByName(heavy)

@@ -36,6 +36,16 @@ def test_exact_edge_cases(spark):
     assert len(twice) == 3 and all(r.group_size == 3 and r.keep_id == 1 for r in twice)
 
 
+def test_exact_extreme_ids(spark):
+    low, high = -(2**63), 2**63 - 1
+    rows = [(low, "a"), (high, "a "), (high - 1, "a "), (None, "b"), (high, "b"), (high - 1, "b"), (low, " c"), (low + 1, " c"), (2**53 + 1, "d"), (None, "d" * 3)]
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(table(spark, rows)).collect()}
+    assert got == {
+        (low, high - 1, 3, False), (high, high - 1, 3, False), (high - 1, high - 1, 3, True), (None, high - 1, 3, False), (high, high - 1, 3, False), (high - 1, high - 1, 3, True),
+        (low, low, 2, True), (low + 1, low, 2, False), (2**53 + 1, 2**53 + 1, 1, True), (None, None, 1, True),
+    }
+
+
 def test_perfect_hash():
     words = np.random.default_rng(3).integers(0, 1 << 63, (5000, 4)).astype(np.uint64)
     levels, slot = exact_dedup.build_hash(words)

@@ -54,15 +54,45 @@ def test_empty_and_null_rows(spark):
             stage(spark, spark.createDataFrame(rows, schema), DATA).collect()
 
 
+def test_repeated_ids_are_judged_by_their_text(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    w = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, w, "en", "s", 1), (5, w + " end", "en", "s", 1), (5, "a text of its own", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, schema)
+    assert sorted(r.text for r in corpus_pipeline.near(spark, docs, DATA).collect()) == sorted([w, "a text of its own"])
+    rows = [(1, "a b", "en", "s", 1), (1, "a  b", "en", "s", 1), (1, "a b", "en", "s", 1), (2, "ab", "en", "s", 1), (None, "n", "en", "s", 1), (None, "n ", "en", "s", 1)]
+    assert sorted(r.text for r in corpus_pipeline.exact(spark, spark.createDataFrame(rows, schema), DATA).collect()) == ["a  b", "n "]
+
+
+def test_extreme_ids_and_long_white_space(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(-(2**63), "the one and the other" + " " * 2_000_000 + "end", "en", "s", 1), (2**63 - 1, "der eine und der andere" + "\n" * 2_000_000, "de", "s", 1), (None, "the next one", "en", "s", 1), (3, " \t\n" * 700_000, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, schema)
+    for _name, stage in corpus_pipeline.STAGES[1:]:
+        docs = stage(spark, docs, DATA)
+    assert {r.doc_id for r in docs.collect()} >= {-(2**63), 2**63 - 1, None}
+
+
 def test_run_leaves_only_its_stages(spark):
     import os
 
     from skyloom.llm import scratch
 
-    place = scratch.mark()
-    out = corpus_pipeline.run(spark, DATA)
-    assert out.where("length > 0").count() > 0 and out.columns[:2] == ["doc_id", "piece"]
-    left = scratch._made[place:]
-    assert len(left) == 1 and os.path.isdir(left[0])
-    scratch.drop_since(spark, place)
-    assert not os.path.isdir(left[0])
+    with scratch.dropped(spark) as made:
+        out = corpus_pipeline.run(spark, DATA)
+        assert out.where("length > 0").count() > 0 and out.columns[:2] == ["doc_id", "piece"]
+        assert len(made) == 1 and os.path.isdir(made[0])
+    assert not os.path.isdir(made[0])
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    import pytest
+
+    from skyloom.llm import scratch
+
+    class Stub:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077", "getConf": staticmethod(lambda: {})})
+
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        scratch.shared_dir(Stub())
