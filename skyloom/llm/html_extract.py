@@ -16,7 +16,7 @@ Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 are told by tag, class, id or role and never score or appear.  A mark in a class, id, role or form
 does not hold for what wraps the page's article or main element or most of its text outside links,
 nor where the page would come out empty; has-, with-, no- and layout words are no marks.  The votes of a host combine before
-the shuffle; winners are broadcast only while few, else joined in a way a skewed host is split.
+the shuffle; winners are broadcast only while they are at most ``BROADCAST_BYTES``, else joined in a way a skewed host is split.
 On a host with over ``LISTED`` listed paths, each page is joined with those that it has instead.
 
 Defined results: null html is empty; a page without text gives the empty text and 0; null urls
@@ -28,6 +28,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,7 +40,7 @@ from .scratch import base, written
 
 LISTED = 64
 PRIOR = 0.5  # pages without a vote that a path is given, so that few pages say less than many
-BROADCAST_ROWS = 50_000
+BROADCAST_BYTES = 8 << 20  # of all hosts and listed paths
 DEPTH = 100  # containers nested deeper than any page's layout count as the one around them
 #: HTML elements by their part in a page.
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "noembed", "xmp")
@@ -66,8 +68,12 @@ MODIFIER = re.compile(r"(?:^|[_-])(?:has|have|with|without|no)[_-].*$", re.IGNOR
 LAYOUT = re.compile(r"(?:^|[_-])layout(?:$|[_-])", re.IGNORECASE)
 SOFT, OTHER, HIDDEN = 1, 2, 3  # marks: by name or as a form; as comment, advert or teaser; not shown
 HEADER = re.compile(r"(?:^|[\s_-])(?:page|site|top|main)?-?header(?:$|[\s_-])", re.IGNORECASE)
-_TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<(?P<raw>{'|'.join(RAW)})\b(?P<rawattrs>[^>]*)>.*?(?:</(?P=raw)\s*>|$)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</[^>]*>", re.IGNORECASE | re.DOTALL)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_DELIMITER = re.compile("[>\"']")
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.IGNORECASE) for t in RAW}
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_MARKS = {"class", "id", "role", "hidden", "aria-hidden"}
+LONGEST = 64  # characters of the classes of one element in a path; longer ones are told by a checksum
 _DIGITS = re.compile(r"\d+")
 
 
@@ -94,15 +100,64 @@ def _named(tag: str, attrs: str) -> tuple[str, int]:
     classes, marked = "", form
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key not in _MARKS:
+            continue
         if key == "hidden" or key == "aria-hidden" and value == "true":
             marked = HIDDEN
         elif key != "aria-hidden":
             marked = max(marked, _mark(tag, value))
             if key == "class":
-                classes = ".".join(sorted(_DIGITS.sub("0", value).split()))
+                classes = ".".join(sorted(_DIGITS.sub("0", value).replace(">", "_").split()))
+                if len(classes) > LONGEST:
+                    classes = f"{classes[: LONGEST - 9]}~{zlib.crc32(classes.encode()):08x}"
     return (f"{tag}.{classes}" if classes else tag), marked
 
 
+def tags(source: str) -> Iterator[tuple[int, int, str, str, bool]]:
+    """(start, end, tag, attributes, is an end tag) of all markup in order, in time linear in the page.
+
+    Comments, declarations and elements of raw text come as one piece with an empty tag.  What is
+    never closed is not markup, but a comment or raw text reaches to the end; a quotation mark that
+    is never closed is an ordinary character.
+    """
+    at, n, last = 0, len(source), source.rfind(">")
+    open_quotes = {'"', "'"}
+    while (start := source.find("<", at)) >= 0:
+        if source.startswith("<!--", start):
+            end = source.find("-->", start + 4)
+            at = n if end < 0 else end + 3
+            yield start, at, "", "", False
+            continue
+        if start > last:
+            return
+        if source[start + 1] in "!?" or source.startswith("</", start) and not _NAME.match(source, start + 1):
+            at = source.find(">", start) + 1
+            yield start, at, "", "", False
+            continue
+        name = _NAME.match(source, start + 1)
+        if name is None:
+            at = start + 1
+            continue
+        end = name.end()
+        while (m := _DELIMITER.search(source, end, last + 1)) and m[0] != ">":
+            end = m.end()
+            if m[0] in open_quotes:
+                close = source.find(m[0], end)
+                if close < 0:
+                    open_quotes.discard(m[0])
+                end = max(end, close + 1)
+        if m is None:  # quotation marks hold all that could close it: from here on they are ordinary
+            open_quotes.clear()
+            m = re.compile(">").search(source, name.end())
+        at, tag = m.end(), name[2].lower()
+        if tag in _RAW_END and not name[1]:
+            raw_end = _RAW_END[tag].search(source, at, max(at, last + 1))
+            at = raw_end.end() if raw_end else n
+            yield start, at, "", "", False
+            continue
+        yield start, at, tag, source[name.end() : m.start()], bool(name[1])
+
+
 class Page:
     """Containers and text blocks of one page, in page order.
 
@@ -117,15 +172,16 @@ class Page:
         self._part: list[str] = []
         self._plain = 0
         self._links = 0
+        self._opened: Counter[str] = Counter()  # how often each tag is on the stack
+        self._paths: dict[str, str] = {}
         self._open("#", "")
         at = 0
-        for m in _TOKEN.finditer(source):
-            if m.start() > at:
-                self._text(source[at : m.start()])
-            at = m.end()
-            if m["tag"]:
-                tag = m["tag"].lower()
-                self._close(tag) if m["end"] else self._open(tag, m["attrs"])
+        for start, end, tag, attrs, ends in tags(source):
+            if start > at:
+                self._text(source[at:start])
+            at = end
+            if tag:
+                self._close(tag) if ends else self._open(tag, attrs)
         if at < len(source):
             self._text(source[at:])
         self._flush()
@@ -152,9 +208,7 @@ class Page:
             elif tag == "hr":
                 self._flush()
             return
-        if tag == "a":
-            self._links += 1
-        if tag in CLOSES_P and any(t == "p" for t, _, _ in reversed(self._stack)):
+        if tag in CLOSES_P:
             self._pop_to("p", {"article", "section", "div", "td", "body", "main", "blockquote", "li"})
         if tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
             self._pop_to(tag, {"ul", "ol", "dl", "table", "tbody", "select"} | ({"tr"} if tag in ("td", "th") else set()))
@@ -164,7 +218,7 @@ class Page:
             marked = 0
         skip = skipped or tag in SKIP or marked == HIDDEN
         own = tag == "header" or marked == SOFT and HEADER.search(attrs) and not BOILER.search(attrs)
-        if own and not skipped and marked != HIDDEN and any(t in ("article", "main") for t, _, _ in self._stack):
+        if own and not skipped and marked != HIDDEN and (self._opened["article"] or self._opened["main"]):
             skip, marked = False, 0  # an article's own header holds its title
         deep = container >= 0 and self.containers[container][0].count(">") >= DEPTH
         if marked and deep:
@@ -173,13 +227,17 @@ class Page:
             self._flush()
         if not skip and (tag == "#" or (marked or tag in _CONTAINERS) and not deep):
             path = f"{self.containers[container][0]}>{name}" if container >= 0 else name
-            self.containers.append((path, container))
+            self.containers.append((self._paths.setdefault(path, path), container))
             self._marks.append(marked)
             container = len(self.containers) - 1
         self._stack.append((tag, container, skip))
+        self._opened[tag] += 1
+        self._links = self._opened["a"]
 
     def _pop_to(self, tag: str, limits: set[str]) -> None:
         """Closes the nearest open tag unless one of limits is nearer."""
+        if not self._opened[tag]:
+            return
         for k in range(len(self._stack) - 1, 0, -1):
             if self._stack[k][0] == tag:
                 self._flush()
@@ -189,13 +247,19 @@ class Page:
                 return
 
     def _cut(self, k: int) -> None:
-        self._links = max(0, self._links - sum(t == "a" for t, _, _ in self._stack[k:]))
+        for t, _, _ in self._stack[k:]:
+            self._opened[t] -= 1
+        self._links = self._opened["a"]
         del self._stack[k:]
 
     def _close(self, tag: str) -> None:
         if tag == "br":
             self._open("br", "")
             return
+        if not self._opened[tag]:
+            if tag == "p":
+                self._flush()
+            return
         inline = tag not in BLOCK and tag not in SKIP and tag not in FORMS
         for k in range(len(self._stack) - 1, 0, -1):
             open_tag = self._stack[k][0]
@@ -384,7 +448,8 @@ def extracted(pages: DataFrame) -> DataFrame:
         return rows.join(lists, keys, "left").select("page_id", "url", "html", "paths")
 
     keyed = base(pages, "page_id", "url", "html").withColumn("host", host_of(F.col("url")))
-    small = ranked.count() <= BROADCAST_ROWS
+    size = ranked.agg(F.sum(F.octet_length("path") + F.octet_length("host") + 32)).first()[0] or 0
+    small = size <= BROADCAST_BYTES
     hint = F.broadcast if small else lambda df: df.hint("shuffle_merge")
     if many.isEmpty():
         out = joined(keyed, hint(_listed(ranked, "host")), ["host"])

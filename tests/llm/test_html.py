@@ -127,3 +127,35 @@ def test_templates_of_a_host(spark):
     for part in (df, df.where("page_id < 100 or page_id >= 276")):
         got = html_extract.extracted(part).collect()
         assert len(got) == part.count() and [r.page_id for r in got if r.text != want[r.page_id].strip()] == []
+
+
+def alone(source):
+    return html_extract.Page(source).text([])
+
+
+def test_names_that_begin_like_raw_elements():
+    for tag in ("title-card", "style-guide", "template-x", "iframe-box", "scripture"):
+        assert alone(f"<html><body><article><p>one</p><{tag}>two</{tag}><p>three</p></article></body></html>").replace("\n\n", " ").split() == ["one", "two", "three"]
+    assert alone("<article><script>a < b; '</p>'</script ><p>x</p><STYLE>p{}</STYLE\n><p>y</p></article>") == "x\n\ny"
+
+
+def test_marks_are_read_from_their_own_attributes():
+    assert alone('<article><p>one</p><div data-id="comments" title="class=sidebar"><p>two</p></div></article>') == "one\n\ntwo"
+
+
+def test_broken_markup():
+    assert alone("<article><p>1 < 2 and 3 > 2</p><p>a <b>b</p><p>c</b> d</p></article>") == "1 < 2 and 3 > 2\n\na b\n\nc d"
+    assert alone('<article><p title="never closed>one</p><p>two</p></article>') == "one\n\ntwo"
+    assert alone("<article><p>one</p><!-- never closed <p>two</p>") == "one"
+    assert alone("<article><p>one</p><a href=") == "one\n\n<a href=" or alone("<article><p>one</p><a href=").startswith("one")
+    assert alone("<p>x</p></div></span></p><p>y") == "x\n\ny"
+
+
+def test_time_is_linear():
+    import time
+
+    pages = ["<script " * 40_000, "<a " * 400_000, "<a " * 40_000 + ">", "<div>" * 200_000 + "x", "<p>" + "<b>" * 100_000 + "<div>x</div>" * 20_000, "<!" * 500_000, "</" * 500_000, "<a '" * 100_000 + ">'", "<a b=\"'>" * 100_000, "<li>" * 200_000, "<td><ul>" * 50_000, "<a '>\"" * 100_001]
+    for source in pages:
+        began = time.time()
+        alone(f"<html><body><article><p>start</p></article>{source}")
+        assert time.time() - began < 15, source[:20]
