@@ -1,11 +1,13 @@
 """Operator 2, language identification by compression with per-language dictionaries.
 
-Each language is a raw-content zstandard dictionary of ``DICTIONARY`` bytes, cut from at most
-``SAMPLE`` labelled texts (drawn by hash, at most ``EXCERPT`` characters each, from a place that
-depends on the hash), for at most ``LANGUAGES`` labels.  That bounded sample is all that is fitted.  A text is reduced to its
-letters in lower case, cut into blocks so that the dictionary keeps its weight in long texts,
-and every block is compressed with every dictionary; the language with the smallest total wins.
-The margin is the saving over the second language; a text is rejected below ``MARGIN``.
+Each label is a raw-content zstandard dictionary of at most ``DICTIONARY`` bytes, cut from at most
+``SAMPLE`` of its texts (drawn by a hash of id and text; of each at most ``EXCERPT`` characters,
+from a place that depends on the hash; long texts fill a dictionary with about 110 of them).  That
+bounded sample is all that is fitted.  All dictionaries together are at most ``TOTAL`` bytes: with
+over 292 labels each gets less, none is left out.  A text is reduced to its letters in lower case,
+cut into blocks so that the dictionary keeps its weight in long texts, and every block is
+compressed with every dictionary; the language with the smallest total wins.  The margin is the
+saving over the second language; a text is rejected below ``MARGIN``.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0 and is rejected;
 so is everything when no labelled text was given.  Rows with null text or label teach nothing.
@@ -29,7 +31,8 @@ from .scratch import base
 DICTIONARY = 112 << 10
 SAMPLE = 600
 EXCERPT = 1024
-LANGUAGES = 200  # most labels that are learned, the most frequent ones
+TOTAL = 32 << 20
+LABELS = 50_000  # label counts that are broadcast; more are shuffled
 BLOCK = 1024
 SHORT = 256
 LEVELS = ((6, 4), (12, 3))
@@ -47,17 +50,25 @@ def letters(text: str) -> bytes:
 
 def learn(docs: DataFrame) -> dict[str, bytes]:
     """The dictionary of each label, from a bounded sample of the labelled rows (doc_id, text, lang)."""
-    rows = base(docs, "doc_id", "text", "lang").where("text is not null and lang is not null")
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 40))
+    drawn = F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1 << 40))
+    rows = base(docs, "doc_id", "text", "lang").where("text is not null and lang is not null").withColumn("draw", drawn)
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n")).cache()
+    labels = counts.count()
+    if not labels:
+        return {}
+    most = min(DICTIONARY, max(256, TOTAL // labels))
     share = F.least(F.lit(1.0), F.lit(2.0 * SAMPLE) / F.col("n"))
-    start = 1 + F.pmod(F.xxhash64("doc_id", F.lit("start")), F.greatest(F.lit(1), F.char_length("text") - EXCERPT + 1)).cast("int")
-    some = rows.join(F.broadcast(counts), "lang").where(draw < share * (1 << 40)).select("lang", draw.alias("draw"), F.substring(F.col("text"), start, F.lit(EXCERPT)).alias("part"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "part"))
+    start = 1 + F.pmod(F.xxhash64("doc_id", "text", F.lit("start")), F.greatest(F.lit(1), F.char_length("text") - EXCERPT + 1)).cast("int")
+    small = F.broadcast(counts) if labels <= LABELS else counts.hint("shuffle_merge")
+    some = rows.join(small, "lang").where(F.col("draw") < share * (1 << 40)).select("lang", "draw", F.substring(F.col("text"), start, F.lit(EXCERPT)).alias("part"))
+    by_draw = Window.partitionBy("lang").orderBy("draw", "part")
+    first = some.withColumn("place", F.row_number().over(by_draw)).where(F.col("place") <= SAMPLE)
+    before = F.sum(F.octet_length("part")).over(Window.partitionBy("lang").orderBy("place")) - F.octet_length("part")
     pools: dict[str, list[bytes]] = {}
-    for row in some.withColumn("place", place).where(F.col("place") <= SAMPLE).orderBy("lang", "place").collect():
+    for row in first.withColumn("before", before).where(F.col("before") < 2 * most).orderBy("lang", "place").toLocalIterator():
         pools.setdefault(row.lang, []).append(letters(row.part))
-    return {lang: b" ".join(p for p in parts if p)[:DICTIONARY] for lang, parts in pools.items()}
+    counts.unpersist()
+    return {lang: b" ".join(p for p in parts if p)[:most] for lang, parts in pools.items()}
 
 
 def _compressors(dictionaries: dict[str, bytes]) -> dict[str, tuple[zstandard.ZstdCompressor, ...]]:
