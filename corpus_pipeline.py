@@ -10,12 +10,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyloom.llm import exact_dedup, language_id, near_dedup, packing, substring_dedup
 from skyloom.llm.queries import PATTERN, RANKS
-from skyloom.llm.scratch import drop_since, mark, shared_dir
+from skyloom.llm.scratch import dropped, shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -26,30 +26,34 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each set of exact copies: the document that the operator keeps, once."""
+    """One row of each set of exact copies: the document that the operator keeps, once; of rows that
+    repeat its doc_id and text but for white space, one with most code points."""
     keep = exact_dedup.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("keep_id"), F.col("text_sha256").alias("keep_digest")).distinct()
     digest = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), exact_dedup.SPACES, ""), 256)
     rows = docs.select(*COLUMNS, digest.alias("digest"))
     stay = rows.join(keep.hint("shuffle_merge"), (F.col("digest") == F.col("keep_digest")) & F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
-    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1 and doc_id is not null").select("doc_id")
+    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select(F.col("doc_id").alias("again"))
     if not repeated.isEmpty():
-        once = stay.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "digest"])
-        stay = stay.join(repeated, "doc_id", "left_anti").unionByName(once)
+        same = F.col("doc_id").eqNullSafe(F.col("again"))
+        first = F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy(F.char_length(F.coalesce("text", F.lit(""))).desc(), *COLUMNS[1:]))
+        once = stay.join(repeated, same, "left_semi").withColumn("place", first).where("place = 1").drop("place")
+        stay = stay.join(repeated, same, "left_anti").unionByName(once)
     return stay.select(*COLUMNS)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates (five words, 0.8); rows
-    that repeat a doc_id with other texts go or stay together."""
-    gone = near_dedup.near_dedup(docs).where("not kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone.hint("shuffle_merge"), "doc_id", "left_anti").select(*COLUMNS)
+    """The document with the smallest id of each group of near duplicates (five words, 0.8); each row
+    is judged by its own text, also where rows repeat a doc_id."""
+    gone = near_dedup.near_dedup(docs).where("not kept").select("doc_id", "rid").distinct()
+    rows = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("rid"))
+    return rows.join(gone.hint("shuffle_merge"), ["doc_id", "rid"], "left_anti").select(*COLUMNS)
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of passages that a smaller document has; emptied ones go."""
-    found = substring_dedup.cut(docs).where("n_removed > 0").select("rid", "cut_text").dropDuplicates(["rid"])
+    found = substring_dedup.cuts(docs).select("doc_id", "rid", "cut_text")
     rows = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("rid"))
-    joined = rows.join(found.hint("shuffle_merge"), "rid", "left")
+    joined = rows.join(found.hint("shuffle_merge"), ["doc_id", "rid"], "left")
     text = F.coalesce("cut_text", "text")
     n_chars = F.when(F.col("cut_text").isNull(), F.col("n_chars")).otherwise(F.char_length("cut_text").cast("long"))
     return joined.where("cut_text is null or cut_text <> ''").select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars"))
@@ -77,8 +81,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         path = f"{shared_dir(spark).rstrip('/')}/pipeline/{name}-{uuid.uuid4().hex}"
-        place = mark()
-        stage(spark, docs, sf_dir).write.parquet(path)
-        drop_since(spark, place)
+        with dropped(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
