@@ -69,17 +69,28 @@ def gather(targets: DataFrame, source: DataFrame, values: list[str]) -> DataFram
 
     A missing or absent source with weight makes the sum missing.
     """
-    flat = targets.select(*KEYS, F.explode("sources").alias("s")).select(*KEYS, F.col("s.sy").alias("sy"), F.col("s.sx").alias("sx"), F.col("s.w").alias("w")).where("w > 0")
+    flat = targets.select(*KEYS, F.explode("sources").alias("s")).select(*KEYS, F.col("s.sy").alias("sy"), F.col("s.sx").alias("sx"), F.col("s.w").alias("w"))
+    return weighted(flat, source, values)
+
+
+def weighted(flat: DataFrame, source: DataFrame, values: list[str]) -> DataFrame:
+    """The same for targets with one row a source: (scene_id, y, x, sy, sx, w)."""
+    flat = flat.where("w > 0")
     have = source.select("scene_id", F.col("y").alias("sy"), F.col("x").alias("sx"), *values)
     joined = flat.join(have, ["scene_id", "sy", "sx"], "left")
     whole = [F.when(F.count(v) == F.count(F.lit(1)), F.sum(F.col("w") * F.col(v))).alias(v) for v in values]
     return joined.groupBy(*KEYS).agg(*whole)
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt to all tasks before each is exploded into many; a fixed number, so that they stay apart."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def grid(scenes: DataFrame, height: int, width: int) -> DataFrame:
     """Every (scene_id, y, x) of a height x width grid."""
     rows = scenes.select("scene_id", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y"))
-    return rows.select("scene_id", "y", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"))
+    return spread(rows, "scene_id", "y").select("scene_id", "y", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"))
 
 
 def enlarge(source: DataFrame, scenes: DataFrame, factor: int, height: int, width: int, values: list[str], as_bytes: bool = False) -> DataFrame:

@@ -23,6 +23,7 @@ DIFFERENCES = {
     "airmass": ((8, 10, 12, 13), ("C08-C10", -26.2, 0.6), ("C12-C13", -43.2, 6.7), ("273.15-C08", 29.25, 64.65)),
     "so2": ((9, 10, 11, 13), ("C09-C10", -4.0, 2.0), ("C13-C11", -4.0, 5.0), ("C13", 233.0, 300.0)),
 }
+LIGHT_WIDTHS = (2500, 5424, 8987)  # fixed values: raster widths that there is a picture of night lights for
 NIGHT_SHARE = 0.1  # percent of night pixels from which the night side is blended in
 #: Sines of the elevations at which night and twilight end.
 NIGHT_END, TWILIGHT_END = 0.08715574274765817, 0.25881904510252074
@@ -77,6 +78,16 @@ def night(wide: DataFrame, table: DataFrame, lights: DataFrame | None = None) ->
     return palette.by_threshold(wide.select(*KEYS, F.col("c13").alias("value")), table, lights).select(*KEYS, "r", "g", "b")
 
 
+def lights_for(pixels: DataFrame, lights: DataFrame, rasters: DataFrame) -> DataFrame:
+    """(scene_id, y, x, r, g, b): the background of each pixel, by the width of its scene's raster.
+
+    lights(width, y, x, r, g, b) has one picture for each of LIGHT_WIDTHS; rasters(scene_id, width);
+    scenes of another width have no background.
+    """
+    wide = rasters.where(F.col("width").isin(*LIGHT_WIDTHS)).select("scene_id", "width")
+    return pixels.select(*KEYS).join(wide, "scene_id").join(lights.select("width", "y", "x", "r", "g", "b"), ["width", "y", "x"]).select(*KEYS, "r", "g", "b")
+
+
 def daynight_mask(df: DataFrame, threshold: float = 263.15) -> DataFrame:
     """Adds mask (255 night .. 0 day) and is_day to rows with c13, lat, lon and the ephemeris.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BINS = 256
+SALTS = 32
 
 
 def block_mean(wide: DataFrame, value: str, out: str) -> DataFrame:
@@ -34,7 +35,9 @@ def equalise(image: DataFrame, channels: tuple[str, ...], level: Column | str =
     table = table.select("scene_id", "_level", F.floor(F.lit(255.0) * F.sum("n").over(w.orderBy("_level")) / F.sum("n").over(w)).cast("int").alias("to"))
     # one array of BINS numbers a scene: all channels look up in the same joined row
     arrays = table.groupBy("scene_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_level", "to"))), lambda s: s["to"]).alias("_to"))
-    out = base.drop("_level").join(arrays, "scene_id")
+    # a scene's pixels are dealt to SALTS tasks, each with its own copy of the array
+    arrays = arrays.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    out = base.drop("_level").withColumn("_salt", F.pmod("y", F.lit(SALTS))).join(arrays, ["scene_id", "_salt"])
     return out.withColumns({c: F.element_at("_to", F.col(c) + 1) for c in channels}).select(*image.columns)
 
 

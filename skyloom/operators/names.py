@@ -89,6 +89,29 @@ def load_clips(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CLIPS).csv(path, mode="PERMISSIVE").where("key is not null and lower(key) not like '%clave%' and lower(key) <> 'key'")
 
 
+def clip_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(n, line) of a CSV file of clips; n rises with the place in the file."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return spark.read.text(path).select(place.alias("n"), F.col("value").alias("line"))
+
+
+def find_clips(lines: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, found, region, ul_x, ul_y, lr_x, lr_y) of each key: the first of the lines (n, line) that has it.
+
+    A first line with the word clave is a header.  Empty fields are skipped; numbers that are missing
+    or do not start with one are 0.  A key without a line has found false and NULL for the rest.
+    """
+    fields = F.filter(F.split(F.regexp_replace("line", r"[\r\n]+$", ""), ","), lambda x: x != "")
+    text = lambda k: F.try_element_at("fields", F.lit(k))
+    number = lambda k: F.coalesce(F.regexp_extract(text(k), r"^\s*([-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?)", 1).try_cast("double"), F.lit(0.0))
+    top = lines.agg(F.min("n")).scalar()
+    rows = lines.where(~(F.col("line").contains("clave") & (F.col("n") == top))).withColumn("fields", fields)
+    clip = F.struct(text(2).alias("region"), *[number(k).alias(c) for k, c in ((3, "ul_x"), (4, "ul_y"), (5, "lr_x"), (6, "lr_y"))])
+    first = rows.where(text(1).isNotNull()).groupBy(text(1).alias("key")).agg(F.min_by(clip, "n").alias("clip"))
+    out = keys.select("key").join(first, "key", "left")
+    return out.select("key", F.col("clip").isNotNull().alias("found"), *[F.col(f"clip.{c}").alias(c) for c in ("region", "ul_x", "ul_y", "lr_x", "lr_y")])
+
+
 def list_clips(clips: DataFrame) -> DataFrame:
     return clips.withColumn("usable", F.expr("ul_x is not null and ul_y is not null and lr_x is not null and lr_y is not null")).orderBy("key")
 
@@ -112,6 +135,12 @@ def operations(df: DataFrame) -> Column:
     return F.concat_ws("__", *parts)
 
 
+def product_type(command: Column, mode: Column) -> Column:
+    """The type in an automatic name: gray, pseudo, an RGB mode of its own or rgb, else the command."""
+    own = mode.isNotNull() & ~mode.isin("", "truecolor", "composite")
+    return F.when(command == "gray", "gray").when(command == "pseudocolor", "pseudo").when(command == "rgb", F.when(own, mode).otherwise("rgb")).otherwise(F.coalesce(command, F.lit("")))
+
+
 def automatic_name(df: DataFrame, extension: str, prefix: str = "sky") -> DataFrame:
     """Adds name: prefix, satellite, sector, time, type, band and operations, those that there are."""
     sat = F.when(F.col("satellite") == "unknown", "GXX").otherwise(F.coalesce("satellite", F.lit("GXX")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LAST_THRESHOLD = 254
+MOST_ENTRIES = 511  # fixed value: colours of a file that count
 WARM_LIMIT = 263.15  # fixed value: warmest cloud in kelvin; warmer pixels show the background
 
 
@@ -33,14 +34,18 @@ def to_rgb(image: DataFrame, palette: DataFrame) -> DataFrame:
 def by_threshold(pixels: DataFrame, table: DataFrame, lights: DataFrame | None = None) -> DataFrame:
     """Night colours: the entry t with lo(t) <= value < lo(t+1); below all and above the last it is entry 254.
 
-    table(idx, lo, r, g, b, a) has 257 rows at most and is broadcast as one array; missing pixels are
+    table(idx, lo, r, g, b, a) has 257 rows at most, lo rising with idx; it is read as one array; missing pixels are
     black; where lights(scene_id, y, x, r, g, b) is given, warm pixels show it through.
     """
-    steps = F.broadcast(table.agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "lo"))), lambda s: s["lo"]).alias("lows")))
-    value, lows = F.col("value"), F.col("lows")
-    at = F.size(F.filter(lows, lambda lo: lo <= value)) - 1
+    lows = table.agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "lo"))), lambda s: s["lo"]).alias("lows")).scalar()
+    value = F.col("value")
+    pixels = pixels.withColumn("_lows", lows)
+    # halving search: how many of the rising thresholds are at most the value
+    halves = F.array(*[F.lit(1 << k) for k in range(8, -1, -1)])
+    least = lambda at, step: F.try_element_at("_lows", at + step) <= value
+    at = F.aggregate(halves, F.lit(0), lambda at, step: F.when(least(at, step), at + step).otherwise(at)) - 1
     inside = (at >= 0) & (at <= LAST_THRESHOLD)
-    out = pixels.crossJoin(steps).withColumn("idx", F.when(value.isNull(), None).when(inside, at).otherwise(F.lit(LAST_THRESHOLD))).drop("lows")
+    out = pixels.withColumn("idx", F.when(value.isNull(), None).when(inside, at).otherwise(F.lit(LAST_THRESHOLD))).drop("_lows")
     colours = F.broadcast(table.select("idx", *[F.col(c).alias(f"p_{c}") for c in "rgba"]))
     out = out.join(colours, "idx", "left")
     whole = {c: F.coalesce((F.col(f"p_{c}") * 255).cast("int"), F.lit(0)) for c in "rgb"}
@@ -115,7 +120,53 @@ def palette_meta(entries: DataFrame) -> DataFrame:
     return facts.join(units, "file", "left")
 
 
-def indexed(samples: int, has_foreground: bool, has_nan: bool) -> tuple[int, int | None, int | None]:
-    """(size, index of the foreground, index of the missing colour) of an index palette of ``samples`` colours."""
-    total = min(256, samples + has_foreground + has_nan)
-    return total, (total - 2 if has_foreground else None), (total - 1 if has_nan else None)
+def index_meta(entries: DataFrame) -> DataFrame:
+    """(file, discrete, samples, size, foreground_at, missing_at, vmin, vmax, …) of each file's index palette.
+
+    samples: the entries of a discrete file, 256 of a continuous one.  size adds an entry for F and one
+    for N, 256 at most; F has the last but one place and N the last.  A file with fewer than two
+    colours has no palette.
+    """
+    listed = _listed(entries)
+    facts = listed.groupBy("file").agg((F.max_by("kind", "i") == "discrete").alias("discrete"), F.count(F.lit(1)).alias("n_entries"), F.min_by("value", "i").alias("vmin"), F.max_by("value", "i").alias("vmax"), F.max_by(F.struct("r", "g", "b"), "i").alias("end"))
+    special = entries.where(F.col("kind").isin("B", "F", "N")).groupBy("file").agg(*[F.max_by(F.when(F.col("kind") == k, F.struct("r", "g", "b")), F.when(F.col("kind") == k, F.col("n"))).alias(k) for k in "BFN"])
+    out = facts.where("n_entries >= 2").join(special, "file", "left")
+    out = out.withColumn("samples", F.when(F.col("discrete"), F.col("n_entries")).otherwise(F.lit(256)).cast("int"))
+    out = out.withColumn("size", F.least(F.lit(256), F.col("samples") + F.col("F").isNotNull().cast("int") + F.col("N").isNotNull().cast("int")))
+    return out.withColumns({"foreground_at": F.when(F.col("F").isNotNull(), F.col("size") - 2), "missing_at": F.when(F.col("N").isNotNull(), F.col("size") - 1)})
+
+
+def _listed(entries: DataFrame) -> DataFrame:
+    """(file, i, kind, value, r, g, b): a file's colours one by one; a continuous line has two, and a
+    discrete line's value is also the end of the colour before it."""
+    c = F.col
+    one = F.struct(c("lo").alias("value"), "r", "g", "b")
+    two = F.struct(c("hi").alias("value"), c("r1").alias("r"), c("g1").alias("g"), c("b1").alias("b"))
+    flat = entries.where(c("kind").isin("continuous", "discrete")).select("file", "n", "kind", "lo", F.posexplode(F.when(c("kind") == "continuous", F.array(one, two)).otherwise(F.array(one))).alias("k", "e"))
+    w = Window.partitionBy("file").orderBy("n", "k")
+    later = F.lead(F.when(c("kind") == "discrete", c("lo"))).over(w)
+    return flat.select("file", (F.row_number().over(w) - 1).alias("i"), "kind", F.coalesce(later, c("e.value")).alias("value"), "e.r", "e.g", "e.b").where(c("i") < MOST_ENTRIES)
+
+
+def index_palette(entries: DataFrame) -> DataFrame:
+    """(file, idx, r, g, b): the index palette of each file, for ``to_rgb``.
+
+    A discrete file's colours keep their order; a continuous one is sampled at 256 even steps from its
+    first to its last value.  F and N take their places after that; places without a colour show F,
+    else B, else black.
+    """
+    c = F.col
+    rows = index_meta(entries).withColumn("idx", F.explode(F.sequence(F.lit(0), c("size") - 1)))
+    rows = rows.withColumn("value", F.when(~c("discrete") & (c("vmax") > c("vmin")), c("vmin") + (c("vmax") - c("vmin")) * c("idx") / 255.0))
+    listed = _listed(entries)
+    halves = [listed.where(c("i") % 2 == k).select("file", F.floor(c("i") / 2).alias("k"), c("value").alias(f"v{k}"), F.struct("r", "g", "b").alias(f"c{k}")) for k in (0, 1)]
+    pairs = halves[0].join(halves[1], ["file", "k"])
+    found = rows.select("file", "idx", "value").join(pairs, "file").where("value >= v0 and value < v1").groupBy("file", "idx").agg(F.min_by(F.struct("v0", "v1", "c0", "c1"), "k").alias("pair"))
+    plain = listed.select("file", c("i").alias("idx"), F.struct("r", "g", "b").alias("own"))
+    out = rows.join(found, ["file", "idx"], "left").join(plain, ["file", "idx"], "left")
+    t = (c("value") - c("pair.v0")) / (c("pair.v1") - c("pair.v0"))
+    empty = F.struct(*[F.lit(0).alias(x) for x in "rgb"])
+    mixed = F.struct(*[(c(f"pair.c0.{x}") + t * (c(f"pair.c1.{x}") - c(f"pair.c0.{x}"))).cast("int").alias(x) for x in "rgb"])
+    sample = F.when(c("discrete"), F.when(c("idx") < c("samples"), c("own"))).when(c("value") == c("vmax"), c("end")).when(c("pair").isNotNull(), mixed).when((c("vmax") > c("vmin")) | (c("idx") == 0), empty)
+    colour = F.when(c("idx") == c("foreground_at"), c("F")).when(c("idx") == c("missing_at"), c("N")).otherwise(F.coalesce(sample, c("F"), c("B"), empty))
+    return out.withColumn("colour", colour).select("file", "idx", *[c(f"colour.{x}").alias(x) for x in "rgb"])

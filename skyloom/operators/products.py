@@ -10,6 +10,9 @@ from . import algebra, composite, enhance, measure, palette
 from .align import KEYS, to_wide
 
 
+STRIP = 256  # rows of a scene that one task writes
+
+
 def gray(pixels: DataFrame, expression: str, invert: bool = False, gamma: float = 1.0, minmax: tuple[float, float] | None = None, histogram: bool = False, clahe: tuple[int, int, float, int, int] | None = None, last: int = 255, missing: int = 0, alpha: bool = False) -> DataFrame:
     """8-bit view of a band or band expression: gamma, quantiser, histogram, tiled histogram, in that order.
 
@@ -42,6 +45,16 @@ def pseudocolor(pixels: DataFrame, expression: str, colours: DataFrame, **option
     return palette.to_rgb(image, colours).select(*KEYS, "r", "g", "b")
 
 
+def pseudocolor_of_file(pixels: DataFrame, expression: str, entries: DataFrame, file: str, **options) -> DataFrame:
+    """The same in the index palette of one file of parsed colour lines: missing pixels show its N."""
+    some = entries.where(F.col("file") == file)
+    meta = palette.index_meta(some).select("size", "missing_at").first()  # one row of two numbers
+    if meta is None:
+        raise ValueError(f"{file} has no palette")
+    places = {} if meta.missing_at is None else {"last": meta["size"] - 1, "missing": meta.missing_at}
+    return pseudocolor(pixels, expression, palette.index_palette(some), **places, **options)
+
+
 def rgb(pixels: DataFrame, recipe: str, **options) -> DataFrame:
     """A difference recipe by name, from long pixels."""
     found = composite.RECIPES[recipe]
@@ -59,8 +72,9 @@ def padded_size(n: int) -> int:
 
 
 def write_image(image: DataFrame, path: str) -> None:
-    """Image rows as Parquet, a folder for each scene."""
-    image.repartition("scene_id").sortWithinPartitions(*KEYS).write.partitionBy("scene_id").parquet(path)
+    """Image rows as Parquet, a folder for each scene and in it a file for each strip of rows."""
+    strip = F.expr(f"y div {STRIP}")
+    image.repartition("scene_id", strip).sortWithinPartitions(*KEYS).write.partitionBy("scene_id").parquet(path)
 
 
 def write_sidecar(metadata: DataFrame, path: str) -> None:

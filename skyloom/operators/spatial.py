@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .align import KEYS, gather
+from .align import KEYS, spread, weighted
 
 RAD = math.pi / 180
 HEIGHT = 35786023.0  # fixed value: usual height of a geostationary satellite in metres
@@ -141,7 +141,8 @@ def source_positions(planned: DataFrame) -> DataFrame:
     planned: rows of ``plan`` with gt and proj.
     """
     c, p = F.col, lambda k: F.col("proj")[k]
-    cells = planned.withColumn("y", F.explode(F.sequence(F.lit(0), c("out_h") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0), c("out_w") - 1)))
+    rows = planned.withColumn("y", F.explode(F.sequence(F.lit(0), c("out_h") - 1)))
+    cells = spread(rows, "scene_id", "y").withColumn("x", F.explode(F.sequence(F.lit(0), c("out_w") - 1)))
     lat = c("lat_max") - (c("y") + 0.5) * ((c("lat_max") - c("lat_min")) / c("out_h"))
     lon = c("lon_min") + (c("x") + 0.5) * ((c("lon_max") - c("lon_min")) / c("out_w"))
     out = cells.withColumns({"_a2": p("semi_major") * p("semi_major"), "_b2": p("semi_minor") * p("semi_minor"), "_h": p("semi_major") + p("sat_height"), "_lat": lat * RAD, "_dl": lon * RAD - p("lon_origin") * RAD})
@@ -169,10 +170,13 @@ def reproject_nearest(image: DataFrame, planned: DataFrame, height: int, width:
 def reproject_bilinear(image: DataFrame, planned: DataFrame, height: int, width: int, values: list[str], nodata: int = 0) -> DataFrame:
     """The same by the four pixels around each cell's source position, rounded half up, within 0..255."""
     at = source_positions(planned)
-    r0, c0 = F.floor("row").cast("int"), F.floor("col").cast("int")
-    corners = F.array(*[F.struct((r0 + dy).alias("sy"), (c0 + dx).alias("sx"), (((F.col("row") - r0) if dy else (1 - (F.col("row") - r0))) * ((F.col("col") - c0) if dx else (1 - (F.col("col") - c0)))).alias("w")) for dy in (0, 1) for dx in (0, 1)])
-    inside = at.where(_inside(width, height)).withColumn("sources", corners)
-    sums = gather(inside, image, values).select(*KEYS, *[F.when(F.col(v).isNotNull(), F.least(F.greatest(F.floor(F.col(v) + 0.5).cast("int"), F.lit(0)), F.lit(255))).alias(v) for v in values])
+    # the corners are exploded as numbers, so that a cell's position is computed once for all four
+    corners = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (0, 1) for dx in (0, 1)]))
+    flat = at.where(_inside(width, height)).select(*KEYS, "row", "col", corners.alias("d"))
+    dr, dc = F.col("row") - F.floor("row"), F.col("col") - F.floor("col")
+    w = F.when(F.col("d.dy") == 1, dr).otherwise(1 - dr) * F.when(F.col("d.dx") == 1, dc).otherwise(1 - dc)
+    flat = flat.select(*KEYS, (F.floor("row").cast("int") + F.col("d.dy")).alias("sy"), (F.floor("col").cast("int") + F.col("d.dx")).alias("sx"), w.alias("w"))
+    sums = weighted(flat, image, values).select(*KEYS, *[F.when(F.col(v).isNotNull(), F.least(F.greatest(F.floor(F.col(v) + 0.5).cast("int"), F.lit(0)), F.lit(255))).alias(v) for v in values])
     return at.select(*KEYS).join(sums, list(KEYS), "left").select(*KEYS, *[F.coalesce(v, F.lit(nodata)).alias(v) for v in values])
 
 

@@ -194,6 +194,38 @@ def a10(spark, sf):
     return names.list_clips(clips(spark, sf))
 
 
+_CSV = """csv AS (SELECT CAST(s_suppkey AS BIGINT) AS n, 'k' || CAST(s_suppkey % 37 AS VARCHAR) AS key, CASE WHEN s_suppkey % 9 = 4 THEN NULL ELSE 'r' || CAST(s_suppkey AS VARCHAR) END AS region,
+ s_suppkey % 40 - 130.5::DOUBLE AS a, 40.25::DOUBLE - s_suppkey % 20 AS b, CASE WHEN s_suppkey % 7 <> 3 THEN s_suppkey % 70 - 110.0::DOUBLE END AS c, -10.0::DOUBLE - s_suppkey % 15 AS d FROM supplier)"""
+
+
+def clip_csv(spark, sf):
+    """Lines of a clip file with a header that suppliers stand for; keys repeat, some fields are empty or no numbers."""
+    k = F.col("s_suppkey")
+    text = lambda c: c.cast("string")
+    fields = [F.concat(F.lit("k"), text(k % 37)), F.when(k % 9 == 4, F.lit("")).otherwise(F.concat(F.lit("r"), text(k))), text(k % 40 - F.lit(130.5)), text(F.lit(40.25) - k % 20), F.when(k % 7 != 3, text(k % 70 - F.lit(110.0))).otherwise(F.lit("x")), text(F.lit(-10.0) - k % 15)]
+    suppliers = grids.table(spark, sf, "supplier")
+    head = suppliers.agg(F.lit(0).cast("long").alias("n"), F.lit("clave,region,ul_x,ul_y,lr_x,lr_y").alias("line"))
+    return head.unionByName(suppliers.select(k.cast("long").alias("n"), F.concat_ws(",", *fields).alias("line")))
+
+
+@query("a9_clip_by_key", f"""WITH {_CSV}, f AS (SELECT key, arg_min(struct_pack(n, region, a, b, c, d), n) AS v FROM csv GROUP BY key), q AS (SELECT DISTINCT 'k' || CAST(c_nationkey * 2 AS VARCHAR) AS key FROM customer)
+ SELECT q.key, v IS NOT NULL AS found, CASE WHEN v.region IS NULL THEN printf('%.1f', v.a) ELSE v.region END AS region, CASE WHEN v.region IS NULL THEN v.b ELSE v.a END AS ul_x,
+  CASE WHEN v.region IS NULL THEN coalesce(v.c, v.b - v.b) ELSE v.b END AS ul_y, CASE WHEN v.region IS NULL THEN v.d ELSE coalesce(v.c, v.b - v.b) END AS lr_x, CASE WHEN v.region IS NULL THEN v.d - v.d ELSE v.d END AS lr_y
+ FROM q LEFT JOIN f USING (key)""")
+def a9(spark, sf):
+    keys = grids.table(spark, sf, "customer").select(F.concat(F.lit("k"), (F.col("c_nationkey") * 2).cast("string")).alias("key")).distinct()
+    return names.find_clips(clip_csv(spark, sf), keys)
+
+
+@query("a22_product_type", """WITH c AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'gray' WHEN 1 THEN 'pseudocolor' WHEN 2 THEN 'info' ELSE 'rgb' END AS command, CASE o_orderkey % 6 WHEN 0 THEN 'ash' WHEN 1 THEN 'truecolor' WHEN 2 THEN 'composite' WHEN 3 THEN '' WHEN 4 THEN 'night' END AS mode FROM orders)
+ SELECT o_orderkey, CASE WHEN command = 'pseudocolor' THEN 'pseudo' WHEN command <> 'rgb' THEN command WHEN mode IN ('ash', 'night') THEN mode ELSE 'rgb' END AS type FROM c""")
+def a22_type(spark, sf):
+    k = F.col("o_orderkey")
+    command = F.when(k % 5 == 0, "gray").when(k % 5 == 1, "pseudocolor").when(k % 5 == 2, "info").otherwise("rgb")
+    mode = F.when(k % 6 == 0, "ash").when(k % 6 == 1, "truecolor").when(k % 6 == 2, "composite").when(k % 6 == 3, "").when(k % 6 == 4, "night")
+    return grids.table(spark, sf, "orders").select("o_orderkey", names.product_type(command, mode).alias("type"))
+
+
 _LINE = """lines AS (SELECT 'f' || CAST(p_partkey // 8 AS VARCHAR) AS file, CAST(p_partkey % 8 AS INT) AS n, CASE WHEN p_partkey % 8 = 0 THEN '# UNIT = K' WHEN p_partkey % 8 = 7 THEN 'N 1 2 ' || CAST(p_size AS VARCHAR)
  WHEN (p_partkey // 8) % 2 = 0 THEN CAST(p_partkey % 8 AS VARCHAR) || ' ' || CAST(p_partkey % 256 AS VARCHAR) || ' ' || CAST(p_size AS VARCHAR) || ' 9 ; label'
  ELSE CAST(p_partkey % 8 AS VARCHAR) || ' 10 20 ' || CAST(p_size AS VARCHAR) || ' ' || CAST(p_partkey % 8 + 1 AS VARCHAR) || ' 30 40 50' END AS line FROM part)"""
@@ -210,10 +242,12 @@ def colour_lines(spark, sf):
     return grids.table(spark, sf, "part").select(F.concat(F.lit("f"), F.expr("cast(p_partkey div 8 as string)")).alias("file"), (k % 8).cast("int").alias("n"), line.alias("line"))
 
 
-@query("a11_palette_lines", f"""WITH {_LINE} SELECT file, n, CASE WHEN line LIKE '#%' THEN 'unit' WHEN line LIKE 'N %' THEN 'N' WHEN line LIKE '%label' THEN 'discrete' ELSE 'continuous' END AS kind,
- CASE WHEN line NOT LIKE '#%' AND line NOT LIKE 'N%' THEN CAST(split_part(line, ' ', 1) AS DOUBLE) END AS lo, CASE WHEN line NOT LIKE '#%' THEN CAST(split_part(line, ' ', 4) AS INT) END AS b FROM lines""")
+@query("a11_palette_lines", f"""WITH {_LINE}, k AS (SELECT *, CASE WHEN line LIKE '#%' THEN 'unit' WHEN line LIKE 'N %' THEN 'N' WHEN line LIKE '%label' THEN 'discrete' ELSE 'continuous' END AS kind, string_split(line, ' ') AS p FROM lines)
+ SELECT file, n, kind, CASE WHEN kind IN ('discrete', 'continuous') THEN CAST(p[1] AS DOUBLE) END AS lo, CASE WHEN kind = 'continuous' THEN CAST(p[5] AS DOUBLE) END AS hi,
+  {', '.join(f"CASE WHEN kind <> 'unit' THEN CAST(p[{k}] AS INT) END AS {c}" for k, c in ((2, 'r'), (3, 'g'), (4, 'b')))}, {', '.join(f"CASE WHEN kind = 'continuous' THEN CAST(p[{k}] AS INT) END AS {c}" for k, c in ((6, 'r1'), (7, 'g1'), (8, 'b1')))},
+  CASE WHEN kind = 'unit' THEN 'K' END AS unit FROM k""")
 def a11(spark, sf):
-    return palette.parse_lines(colour_lines(spark, sf)).select("file", "n", "kind", "lo", "b")
+    return palette.parse_lines(colour_lines(spark, sf))
 
 
 @query("a11_h4_palette_meta", f"""WITH {_LINE}, c AS (SELECT file, n, line LIKE '%label' AS disc, CAST(split_part(line, ' ', 1) AS DOUBLE) AS lo, CASE WHEN line NOT LIKE '%label' THEN CAST(split_part(line, ' ', 5) AS DOUBLE) END AS hi FROM lines WHERE n BETWEEN 1 AND 6),
@@ -224,6 +258,46 @@ def a11m(spark, sf):
     return palette.palette_meta(palette.parse_lines(colour_lines(spark, sf)))
 
 
+def palette_lines(spark, sf):
+    """Lines of colour files with F, B and N that parts stand for."""
+    k, f, size = F.col("p_partkey"), F.expr("p_partkey div 10"), F.col("p_size").cast("string")
+    text = lambda c: c.cast("string")
+    n = k % 10
+    colour = F.when(f % 2 == 0, F.concat(text(n), F.lit(" "), text(k % 256), F.lit("/"), size, F.lit("/9 ; label"))).otherwise(F.concat(text(n), F.lit(" 10/20/"), size, F.lit(" "), text(n + 1), F.lit(" 30/40/50")))
+    line = (
+        F.when(n == 0, "# UNIT = K").when(n <= 6, colour).when((n == 7) & (f % 3 != 0), F.concat(F.lit("N 1 2 "), size))
+        .when((n == 8) & (f % 4 < 2), F.concat(F.lit("F 200 100 "), size)).when((n == 9) & (f % 5 == 0), F.lit("B 5 6 7")).otherwise("#")
+    )
+    return grids.table(spark, sf, "part").select(F.concat(F.lit("q"), text(f)).alias("file"), n.cast("int").alias("n"), line.alias("line"))
+
+
+_PALETTE = """pf AS (SELECT p_partkey // 10 AS f, CAST(max(CASE WHEN p_partkey % 10 = 7 AND (p_partkey // 10) % 3 <> 0 THEN p_size END) AS INT) AS nb, CAST(max(CASE WHEN p_partkey % 10 = 8 AND (p_partkey // 10) % 4 < 2 THEN p_size END) AS INT) AS fb,
+   coalesce(bool_or(p_partkey % 10 = 9 AND (p_partkey // 10) % 5 = 0), false) AS hb FROM part GROUP BY 1 HAVING count(*) FILTER (p_partkey % 10 BETWEEN 1 AND 6) = 6),
+ pm AS (SELECT *, CASE WHEN f % 2 = 0 THEN 6 ELSE 256 END AS samples, CAST(least(256, CASE WHEN f % 2 = 0 THEN 6 ELSE 256 END + (nb IS NOT NULL)::INT + (fb IS NOT NULL)::INT) AS INT) AS size FROM pf),
+ pi AS (SELECT *, 1 + 6.0::DOUBLE * idx / 255 AS v FROM (SELECT *, unnest(range(0, size)) AS idx FROM pm)),
+ pc AS (SELECT pi.*, CASE WHEN f % 2 = 0 THEN a.p_partkey % 256 ELSE trunc(10 + (v - floor(v)) * 20) END AS r0, CASE WHEN f % 2 = 0 THEN a.p_size ELSE trunc(20 + (v - floor(v)) * 20) END AS g0,
+   CASE WHEN f % 2 = 0 THEN CASE WHEN a.p_partkey IS NOT NULL THEN 9 END ELSE trunc(a.p_size + (v - floor(v)) * (50 - a.p_size)) END AS b0 FROM pi LEFT JOIN part a ON a.p_partkey = f * 10 + CASE WHEN f % 2 = 0 THEN CASE WHEN idx < 6 THEN idx + 1 END ELSE CASE WHEN v < 7 THEN floor(v) END END),
+ pal AS (SELECT 'q' || CAST(f AS VARCHAR) AS file, CAST(idx AS INT) AS idx,
+   CAST(CASE WHEN fb IS NOT NULL AND idx = size - 2 THEN 200 WHEN nb IS NOT NULL AND idx = size - 1 THEN 1 WHEN f % 2 = 1 AND v = 7 THEN 30 ELSE coalesce(r0, CASE WHEN fb IS NOT NULL THEN 200 WHEN hb THEN 5 ELSE 0 END) END AS INT) AS r,
+   CAST(CASE WHEN fb IS NOT NULL AND idx = size - 2 THEN 100 WHEN nb IS NOT NULL AND idx = size - 1 THEN 2 WHEN f % 2 = 1 AND v = 7 THEN 40 ELSE coalesce(g0, CASE WHEN fb IS NOT NULL THEN 100 WHEN hb THEN 6 ELSE 0 END) END AS INT) AS g,
+   CAST(CASE WHEN fb IS NOT NULL AND idx = size - 2 THEN fb WHEN nb IS NOT NULL AND idx = size - 1 THEN nb WHEN f % 2 = 1 AND v = 7 THEN 50 ELSE coalesce(b0, CASE WHEN fb IS NOT NULL THEN fb WHEN hb THEN 7 ELSE 0 END) END AS INT) AS b FROM pc)"""
+
+
+@query("h3_index_palette", f"WITH {_PALETTE} SELECT * FROM pal")
+def h3(spark, sf):
+    return palette.index_palette(palette.parse_lines(palette_lines(spark, sf)))
+
+
+@query("h3_index_meta", f"WITH {_PALETTE} SELECT 'q' || CAST(f AS VARCHAR) AS file, f % 2 = 0 AS discrete, size, CASE WHEN fb IS NOT NULL THEN CAST(size - 2 AS INT) END AS foreground_at, CASE WHEN nb IS NOT NULL THEN CAST(size - 1 AS INT) END AS missing_at, 1.0::DOUBLE + (f % 2 = 0)::INT AS vmin, 7.0::DOUBLE - (f % 2 = 0)::INT AS vmax FROM pm")
+def h3_meta(spark, sf):
+    return palette.index_meta(palette.parse_lines(palette_lines(spark, sf))).select("file", "discrete", "size", "foreground_at", "missing_at", "vmin", "vmax")
+
+
+@query("p10_h3_palette_file", f"{PX}, {_PALETTE}, gv AS (SELECT scene_id, y, x, max(value) AS value FROM px WHERE band = 13 GROUP BY ALL), gm AS (SELECT scene_id, min(value) AS lo, max(value) AS hi FROM gv GROUP BY 1), gi AS (SELECT scene_id, y, x, coalesce(CAST(trunc(255 * ((value - lo) / (hi - lo))) AS INT), 255) AS v FROM gv JOIN gm USING (scene_id)) SELECT scene_id, y, x, coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b FROM gi LEFT JOIN (SELECT * FROM pal WHERE file = 'q5') ON v = idx")
+def p10_file(spark, sf):
+    return products.pseudocolor_of_file(pixels(spark, sf, [13]), "C13", palette.parse_lines(palette_lines(spark, sf)), "q5")
+
+
 @query("a12_scene_scan", f"{PX} SELECT scene_id, band, y, x, round(value, 6) AS value FROM px WHERE band IN (2, 13)")
 def a12(spark, sf):
     return pixels(spark, sf, [2, 13]).select("scene_id", "band", "y", "x", *r6("value"))
@@ -542,6 +616,19 @@ def p2(spark, sf):
     return composite.night(every(spark, sf), night_table(spark, sf), lights(spark, sf))
 
 
+@query("a15_lights_by_width", """WITH px AS (SELECT DISTINCT 's' || CAST(c_custkey % 8 AS VARCHAR) AS scene_id, CAST((c_custkey // 8) % 32 AS INT) AS y, CAST((c_custkey // 256) % 32 AS INT) AS x FROM customer),
+ ra AS (SELECT DISTINCT 's' || CAST(n_nationkey % 8 AS VARCHAR) AS scene_id, CASE n_nationkey % 4 WHEN 0 THEN 2500 WHEN 1 THEN 5424 WHEN 2 THEN 8987 ELSE 1000 END AS width FROM nation),
+ li AS (SELECT CASE p_partkey % 4 WHEN 0 THEN 2500 WHEN 1 THEN 5424 WHEN 2 THEN 8987 ELSE 1000 END AS width, CAST((p_partkey // 4) % 32 AS INT) AS y, CAST((p_partkey // 128) % 32 AS INT) AS x, CAST(max(p_partkey % 256) AS INT) AS r, CAST(max(p_size) AS INT) AS g, CAST(min(p_size) AS INT) AS b FROM part GROUP BY ALL)
+ SELECT scene_id, y, x, r, g, b FROM px JOIN ra USING (scene_id) JOIN li USING (width, y, x) WHERE width <> 1000""")
+def a15(spark, sf):
+    k, n, p = F.col("c_custkey"), F.col("n_nationkey"), F.col("p_partkey")
+    width = lambda c: F.when(c % 4 == 0, 2500).when(c % 4 == 1, 5424).when(c % 4 == 2, 8987).otherwise(1000)
+    px = grids.table(spark, sf, "customer").select(F.concat(F.lit("s"), (k % 8).cast("string")).alias("scene_id"), F.expr("cast((c_custkey div 8) % 32 as int)").alias("y"), F.expr("cast((c_custkey div 256) % 32 as int)").alias("x")).distinct()
+    rasters = grids.table(spark, sf, "nation").select(F.concat(F.lit("s"), (n % 8).cast("string")).alias("scene_id"), width(n).alias("width")).distinct()
+    pictures = grids.table(spark, sf, "part").groupBy(width(p).alias("width"), F.expr("cast((p_partkey div 4) % 32 as int)").alias("y"), F.expr("cast((p_partkey div 128) % 32 as int)").alias("x")).agg(F.max((p % 256).cast("int")).alias("r"), F.max(F.col("p_size").cast("int")).alias("g"), F.min(F.col("p_size").cast("int")).alias("b"))
+    return composite.lights_for(px, pictures, rasters)
+
+
 _MASK = """mk AS (SELECT *, CASE WHEN coalesce(c13 < 200, false) THEN 1 WHEN se0 IS NULL OR se0 >= 0.25881904510252074 THEN 0 WHEN se0 < 0.08715574274765817 THEN 1 ELSE 1 - (se0 - 0.08715574274765817::DOUBLE) * (1 / (0.25881904510252074::DOUBLE - 0.08715574274765817::DOUBLE)) END AS wt FROM sun)"""
 
 
@@ -848,26 +935,29 @@ def a16(spark, sf):
     return products.alpha_by_index(every(spark, sf).select(*KEYS, P.quantise_channel(F.col("c02"), 0.0, 1.0).alias("v"), P.validity(F.col("c01")).alias("a")))
 
 
-@query("a18_tags", f"{PARSED} SELECT name, CAST(6 - (start_ts IS NULL)::INT * 2 - (variable IS NULL)::INT AS INT) AS n_tags, strftime(start_ts, '%Y-%m-%dT%H:%M:%SZ') AS scan_time FROM p")
+@query("a18_tags", f"""{PARSED} SELECT name, concat_ws(';', 'datetime=' || strftime(start_ts, '%Y:%m:%d %H:%M:%S'), 'product=' || variable, 'satellite=' || satellite, 'scan_time=' || strftime(start_ts, '%Y-%m-%dT%H:%M:%SZ'), 'sector=' || sector, 'tool=skyloom') AS tags FROM p""")
 def a18(spark, sf):
     df = parsed(spark, sf).withColumns({"band": F.lit(None).cast("int"), "product": F.col("variable")})
-    tags = names.tags(df)
-    return df.select("name", F.size(tags).alias("n_tags"), F.try_element_at(tags, F.lit("scan_time")).alias("scan_time"))
+    pairs = F.array_sort(F.map_entries(names.tags(df)))
+    return df.select("name", F.array_join(F.transform(pairs, lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("tags"))
 
 
-@query("a20_a21_sidecar", f"{PX}, m AS (SELECT scene_id, band, min(value) AS lo, max(value) AS hi FROM px GROUP BY ALL) SELECT scene_id, count(*) AS n_channels, min('C' || lpad(CAST(band AS VARCHAR), 2, '0')) AS first_name, CAST(count(*) FILTER (band >= 7) AS BIGINT) AS n_kelvin FROM m GROUP BY 1")
+@query("a20_a21_sidecar", f"""{PX}, m AS (SELECT scene_id, band, min(value) AS lo, max(value) AS hi FROM px GROUP BY ALL)
+ SELECT scene_id, string_agg('C' || lpad(CAST(band AS VARCHAR), 2, '0') || ' ' || CASE WHEN band >= 7 THEN 'brightness_temperature K' ELSE 'reflectance 1' END, ';' ORDER BY band) AS channels, round(sum(lo), 6) AS lows, round(sum(hi), 6) AS highs FROM m GROUP BY 1""")
 def a20(spark, sf):
     meta = names.channel_metadata(measure.grid_stats(pixels(spark, sf), "scene_id", "band")).withColumn("crs", F.lit(None).cast("string"))
     docs = meta.select("scene_id", names.sidecar(meta).alias("json"))
-    back = docs.withColumn("d", F.from_json("json", "scene_id string, channels array<struct<band: int, name: string, unit: string>>"))
-    return back.select("scene_id", F.size("d.channels").cast("long").alias("n_channels"), F.col("d.channels")[0]["name"].alias("first_name"), F.size(F.filter("d.channels", lambda c: c["unit"] == "K")).cast("long").alias("n_kelvin"))
+    fact = "band: int, name: string, quantity: string, min: double, max: double, unit: string"
+    back = docs.withColumn("c", F.from_json("json", f"scene_id string, channels array<struct<{fact}>>")["channels"])
+    total = lambda part: F.round(F.aggregate(F.transform("c", lambda x: x[part]), F.lit(0.0), lambda a, b: a + b), 6)
+    return back.select("scene_id", F.array_join(F.transform("c", lambda x: F.concat_ws(" ", x["name"], x["quantity"], x["unit"])), ";").alias("channels"), total("min").alias("lows"), total("max").alias("highs"))
 
 
-@query("a17_georeferences", f"{WIDE}, {_RGB} SELECT scene_id, CAST(max(y) + 1 AS INT) AS height, CAST(max(x) + 1 AS INT) AS width, -0.16::DOUBLE AS x0, 'geostationary' AS crs, CAST(3 AS INT) AS channels, CAST(0 AS INT) AS nodata FROM i GROUP BY 1")
+@query("a17_georeferences", f"{WIDE}, {_RGB} SELECT scene_id, CAST(max(y) + 1 AS INT) AS height, CAST(max(x) + 1 AS INT) AS width, -0.16::DOUBLE AS gt0, 0.01::DOUBLE AS gt1, 0.0::DOUBLE AS gt2, 0.16::DOUBLE AS gt3, 0.0::DOUBLE AS gt4, -0.01::DOUBLE AS gt5, 'geostationary' AS crs, CAST(3 AS INT) AS channels, CAST(0 AS INT) AS nodata FROM i GROUP BY 1")
 def a17(spark, sf):
     df = extent(spark, sf).select("scene_id", F.col("gt").alias("transform"), spatial.crs_label(F.lit("unknown"), F.lit(False)).alias("crs"))
     out = products.georeferences(rgb_image(spark, sf), df, 0)
-    return out.select("scene_id", "height", "width", F.col("transform")[0].alias("x0"), "crs", "channels", "nodata")
+    return out.select("scene_id", "height", "width", *[F.col("transform")[k].alias(f"gt{k}") for k in range(6)], "crs", "channels", "nodata")
 
 
 @query("f3_table_check", f"{PX} SELECT band AS channel, count(*) AS n_values, count(*) = 2 * (SELECT count(DISTINCT y) * count(DISTINCT x) FROM px) AS complete FROM px GROUP BY 1")

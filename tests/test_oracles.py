@@ -13,7 +13,7 @@ DATA = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("supplier", "part", "orders", "lineitem", "events", "customer"):
+    for t in ("supplier", "part", "orders", "lineitem", "events", "customer", "nation"):
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     return con
 

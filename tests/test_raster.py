@@ -170,7 +170,6 @@ def test_palette_meta_of_discrete_lines(spark):
     df = spark.createDataFrame([("f", n, x) for n, x in enumerate(lines)], "file string, n int, line string")
     meta = palette.palette_meta(palette.parse_lines(df)).first()
     assert (meta.discrete, meta.n_entries, meta.vmin, meta.vmax, meta.unit) == (True, 6, 1.0, 5.0, "phase")
-    assert palette.indexed(6, True, True) == (8, 6, 7) and palette.indexed(256, True, True) == (256, 254, 255)
 
 
 def test_sinks(spark, tmp_path):
@@ -252,3 +251,53 @@ def test_all_points_and_clips(spark):
     cells = {(r.scene_id, r.y, r.x) for r in catalog.every(spark, sf).collect()}
     windows = sorted((k, s, y, x) for (k, s), (y0, x0, h, w) in want.items() for y in range(h) for x in range(w) if (s, y + y0, x + x0) in cells)
     assert sorted((r.key, r.scene_id, r.y, r.x) for r in catalog.QUERIES["g9_clip_native_all"](spark, sf).collect()) == windows
+
+
+def test_phase_palette(spark):
+    """Five phases: a discrete file with a missing colour, first value 1, last value 5, six colours."""
+    lines = ["# UNIT = phase", "0 0/0/255 ; clear", "1 10/20/30 ; a", "2 40/50/60 ; b", "3 70/80/90 ; c", "5 100/110/120 ; d", "N 1 2 3"]
+    entries = palette.parse_lines(spark.createDataFrame([("p", n, x) for n, x in enumerate(lines)], "file string, n int, line string"))
+    (meta,) = palette.index_meta(entries).collect()
+    assert (meta.vmin, meta.vmax, meta["size"], meta.missing_at, meta.foreground_at) == (1.0, 5.0, 6, 5, None)
+    assert [(r.idx, r.r) for r in palette.index_palette(entries).orderBy("idx").collect()] == [(0, 0), (1, 10), (2, 40), (3, 70), (4, 100), (5, 1)]
+
+
+def test_palettes_without_colours_or_range(spark):
+    lines = [("one", 0, "1 2/3/4"), ("none", 0, "N 1 2 3"), ("flat", 0, "5 1 2 3 5 4 5 6"), ("flat", 1, "F 7 8 9"), ("gap", 0, "0 0 0 0 1 100 100 100"), ("gap", 1, "2 200 200 200 3 50 50 50"), ("gap", 2, "B 9 9 9")]
+    got = {}
+    for r in palette.index_palette(palette.parse_lines(spark.createDataFrame(lines, "file string, n int, line string"))).collect():
+        got.setdefault(r.file, {})[r.idx] = r.r
+    assert set(got) == {"flat", "gap"} and len(got["flat"]) == 256 and got["flat"][0] == 0 and got["flat"][1] == got["flat"][254] == 7
+    assert got["gap"][0] == 0 and got["gap"][128] == 0 and got["gap"][255] == 50 and got["gap"][170] == 200
+
+
+def test_clip_by_key(spark, tmp_path):
+    (tmp_path / "clips.csv").write_text("clave,region,a,b,c,d\na,first,1,2,3,4\nb,,5,6,7,8\na,second,9,9,9,9\nc,r,x,1.5e1abc\n\n")
+    keys = spark.createDataFrame([("a",), ("b",), ("c",), ("clave",), ("z",)], "key string")
+    got = {r.key: tuple(r)[1:] for r in names.find_clips(names.clip_lines(spark, str(tmp_path)), keys).collect()}
+    assert got["a"] == (True, "first", 1.0, 2.0, 3.0, 4.0) and got["b"] == (True, "5", 6.0, 7.0, 8.0, 0.0) and got["c"] == (True, "r", 0.0, 15.0, 0.0, 0.0)
+    assert got["clave"][0] is got["z"][0] is False
+
+
+def test_written_scene_is_cut_in_strips(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(products, "STRIP", 4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so little is one task
+    image = spark.range(1024).selectExpr("'s0' as scene_id", "cast(id div 32 as int) as y", "cast(id % 32 as int) as x", "cast(id % 256 as int) as v")
+    products.write_image(image, str(tmp_path / "image"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "image").glob("scene_id=s0/*.parquet"))) > 1
+    assert spark.read.parquet(str(tmp_path / "image")).count() == 1024
+
+
+def test_night_colours_equal_a_plain_search(spark):
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 2, 200, 257):
+        lows = np.sort(rng.uniform(180, 300, n))
+        table = spark.createDataFrame([(i, float(x), i / 256, 0.0, 0.0, 1.0) for i, x in enumerate(lows)], "idx int, lo double, r double, g double, b double, a double")
+        values = [None, 100.0, 400.0, *map(float, rng.uniform(170, 310, 40)), *map(float, lows[:3])]
+        pixels = spark.createDataFrame([("s", 0, k, v) for k, v in enumerate(values)], "scene_id string, y int, x int, value double")
+        got = {r.x: r.r for r in palette.by_threshold(pixels, table).collect()}
+        for k, v in enumerate(values):
+            at = -1 if v is None else int((lows <= v).sum()) - 1
+            at = at if 0 <= at <= 254 else 254
+            assert got[k] == (0 if v is None or at >= n else int(at / 256 * 255)), (n, v)
