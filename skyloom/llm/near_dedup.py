@@ -13,8 +13,7 @@
    pair once the posterior probability that it reaches the threshold falls below ``miss``
    (uniform prior; after n agreeing-or-not hashes with m agreements the similarity is
    Beta(m+1, n-m+1)).
-4. The texts of the members of surviving pairs are joined back, once each, and every survivor is
-   verified on its words: shingles are told apart by the words themselves, not by hashes.  A
+4. The texts of candidates are fetched once, and every survivor is verified on its words: shingles are told apart by the words themselves, not by hashes.  A
    tile answers with links that connect the same documents as all of its verified pairs do (a
    star to the smallest of each of its components), so a large group of copies never expands
    into pairs.
@@ -312,11 +311,13 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, miss: f
     buckets = written(band_values(reps, bands).groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     members = band_values(reps, bands).join(buckets.hint("shuffle_merge"), ["band", "value"]).select("band", F.xxhash64("band", "value").alias("bucket"), "n", "node")
     members = written(members, "members")
+    # signatures and texts of all candidates are fetched once, for both rounds
+    known = written(reps.join(members.select("node").distinct().hint("shuffle_merge"), "node", "left_semi"), "candidates")
+    texts = written(texts_of(docs, known.select("doc_id", "rid")), "texts")
 
     def resolve(tiles: DataFrame) -> DataFrame:
-        signed = tiles.join(reps.hint("shuffle_merge"), "node")
-        alive = written(survivors(signed, least, hashes), "survivors")
-        return verified(alive, texts_of(docs, alive.select("doc_id", "rid").distinct()), words, similarity)
+        alive = written(survivors(tiles.join(known.hint("shuffle_merge"), "node"), least, hashes), "survivors")
+        return verified(alive, texts, words, similarity)
 
     tiles = members.where(F.col("n") <= TILE).select(F.col("bucket").alias("tile"), "band", F.lit(0).alias("side"), "node", F.col("node").alias("label"))
     large = members.where(F.col("n") > TILE)
