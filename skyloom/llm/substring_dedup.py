@@ -171,7 +171,8 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFram
     """(runs, texts): runs of n windows that also start in a smaller document, as (rid, doc_id, start,
     n, source_id, source_start), and the texts (doc_id, rid, text) of rows that have any."""
     rows = with_row_key(docs)
-    nodes = edges(rows, window, named=False).groupBy("node").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("node")
+    # small sides are written first: a join of two exchanges is one that an adaptive plan can split
+    nodes = written(edges(rows, window, named=False).groupBy("node").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("node"), "nodes")
     met = written(edges(rows, window).join(nodes.hint("shuffle_merge"), "node", "left_semi").distinct(), "met")
     found = met.groupBy("node", "edge").agg(F.min(F.struct("doc_id", "start")).alias("source"), F.max("doc_id").alias("last"))
     found = written(found, "edges")
@@ -186,9 +187,11 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFram
     columns = ["rid", "doc_id", "start", "n", F.col("source.doc_id").alias("source_id"), F.col("source.start").alias("source_start")]
     whole = written(paths.withColumn("n", F.coalesce(F.col("length"), F.col("n").cast("long"))).select(*columns), "spans")
     asked = met.where("branches > 1 and doc_id = source.doc_id").select("doc_id", "rid", "start", "n")
-    texts = written(texts_of(docs, asked.select("doc_id", "rid").union(whole.select("doc_id", "rid")).distinct()), "texts")
+    wanted = written(asked.select("doc_id", "rid").union(whole.select("doc_id", "rid")).distinct(), "wanted")
+    texts = written(texts_of(docs, wanted), "texts")
     single = written(windows_of(texts, asked, window), "windows")
     firsts = single.groupBy("name").agg(F.min(F.struct("doc_id", "start")).alias("source"), F.max("doc_id").alias("last")).where("source.doc_id < last").select("name", "source")
+    firsts = written(firsts, "firsts")
     again = single.join(firsts.hint("shuffle_merge"), "name").where("doc_id > source.doc_id").withColumn("n", F.lit(1).cast("long"))
     return whole.unionByName(again.select(*columns)), texts
 
