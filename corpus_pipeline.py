@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from skyloom.llm import exact_dedup, language_id, near_dedup, packing, substring_dedup
 from skyloom.llm.queries import PATTERN, RANKS
-from skyloom.llm.scratch import dropped, shared_dir
+from skyloom.llm.scratch import dropped, shared_dir, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -44,7 +44,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates (five words, 0.8); each row
     is judged by its own text, also where rows repeat a doc_id."""
-    gone = near_dedup.near_dedup(docs).where("not kept").select("doc_id", "rid").distinct()
+    gone = written(near_dedup.near_dedup(docs).where("not kept").select("doc_id", "rid").distinct(), "gone")
     rows = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("rid"))
     return rows.join(gone.hint("shuffle_merge"), ["doc_id", "rid"], "left_anti").select(*COLUMNS)
 
