@@ -71,7 +71,10 @@ def nearest_pixel(points: DataFrame, nav: DataFrame) -> DataFrame:
     pixels.  A point without coordinates, or a scene without a navigated pixel, gives no row.
     """
     small = lambda c: F.floor(F.col(c) / LEAF).cast("int")
-    pixels = nav.where("lat is not null and lon is not null").select(*KEYS, "lat", "lon", small("lat").alias("i"), small("lon").alias("j"))
+    # as a generated column a position is computed once a pixel and its filter stays here; else both
+    # would be pushed through the grouping that made the pixels, into each row of the source
+    seen = nav.select(*KEYS, F.explode(F.array(F.struct("lat", "lon"))).alias("p")).select(*KEYS, "p.lat", "p.lon")
+    pixels = seen.where("lat is not null and lon is not null").select(*KEYS, "lat", "lon", small("lat").alias("i"), small("lon").alias("j"))
     box = [f(F.col(c)).alias(n) for c, f, n in (("lat", F.min, "lat0"), ("lat", F.max, "lat1"), ("lon", F.min, "lon0"), ("lon", F.max, "lon1"))]
     leaves = pixels.groupBy("scene_id", "i", "j").agg(*box).withColumns({"bi": F.floor(F.col("i") / FINER), "bj": F.floor(F.col("j") / FINER)})
     large = leaves.groupBy("scene_id", "bi", "bj").agg(F.min("lat0").alias("lat0"), F.max("lat1").alias("lat1"), F.min("lon0").alias("lon0"), F.max("lon1").alias("lon1"))

@@ -815,12 +815,12 @@ def g3(spark, sf):
     return align.enlarge(df, df.select("scene_id").distinct(), 2, 32, 32, ["c13"]).select(*KEYS, *r6("c13"))
 
 
-_POINTS = "pts AS (SELECT CAST(s_suppkey AS VARCHAR) AS pid, s_suppkey % 81 - 40.0::DOUBLE AS plat, -s_suppkey % 120 - 15.0::DOUBLE AS plon FROM supplier WHERE s_suppkey < 60)"
+_POINTS = "pts AS (SELECT CAST(s_suppkey AS VARCHAR) AS pid, s_suppkey % 81 - 40.0::DOUBLE AS plat, -s_suppkey % 120 - 15.0::DOUBLE AS plon FROM supplier)"
 
 
-@query("c9_nearest_pixel", f"{WIDE}, {NAV}, {_POINTS}, dd AS (SELECT pid, scene_id, y, x, (lat - plat) * (lat - plat) + pow(CASE WHEN abs(lon - plon) > 180 THEN 360 - abs(lon - plon) ELSE abs(lon - plon) END, 2) AS d2 FROM nav, pts WHERE lat IS NOT NULL) SELECT pid, scene_id, y, x FROM (SELECT *, row_number() OVER (PARTITION BY pid, scene_id ORDER BY d2, y, x) AS k FROM dd) WHERE k = 1")
+@query("c9_nearest_pixel", f"{WIDE}, {NAV}, {_POINTS}, dd AS (SELECT pid, scene_id, y, x, (lat - plat) * (lat - plat) + pow(CASE WHEN abs(lon - plon) > 180 THEN 360 - abs(lon - plon) ELSE abs(lon - plon) END, 2) AS d2 FROM nav, pts WHERE lat IS NOT NULL) SELECT pid, scene_id, m.y AS y, m.x AS x FROM (SELECT pid, scene_id, min(struct_pack(d2, y, x)) AS m FROM dd GROUP BY ALL)")
 def c9(spark, sf):
-    return spatial.nearest_pixel(places(spark, sf).where("s_suppkey < 60"), navigated(spark, sf))
+    return spatial.nearest_pixel(places(spark, sf), navigated(spark, sf))
 
 
 def places(spark, sf):
@@ -829,40 +829,27 @@ def places(spark, sf):
     return grids.table(spark, sf, "supplier").select("s_suppkey", k.cast("string").alias("pid"), (k % 81 - F.lit(40.0)).alias("plat"), (-k % 120 - F.lit(15.0)).alias("plon"))
 
 
-@query("c9_nearest_pixel_all")
-def c9_all(spark, sf):
-    return spatial.nearest_pixel(places(spark, sf), navigated(spark, sf))
+QUERIES["c9_nearest_pixel_all"] = c9  # an earlier name
 
 
-_BOX = f"""{CLIPS_SQL}, c5 AS (SELECT * FROM cl WHERE ul_y IS NOT NULL AND key IN ('k1', 'k5')), ep AS (SELECT key, s / 20.0::DOUBLE AS t, e, ul_x, ul_y, lr_x, lr_y FROM c5, range(0, 21) a(s), range(0, 4) b(e)),
+_BOX = f"""{CLIPS_SQL}, c5 AS (SELECT * FROM cl WHERE ul_y IS NOT NULL), ep AS (SELECT key, s / 20.0::DOUBLE AS t, e, ul_x, ul_y, lr_x, lr_y FROM c5, range(0, 21) a(s), range(0, 4) b(e)),
  pt AS (SELECT key, t, e, CASE e WHEN 0 THEN ul_y WHEN 1 THEN lr_y ELSE lr_y + t * (ul_y - lr_y) END AS plat, CASE e WHEN 2 THEN ul_x WHEN 3 THEN lr_x ELSE ul_x + t * (lr_x - ul_x) END AS plon FROM ep),
  dd AS (SELECT key, t, e, scene_id, y, x, (lat - plat) * (lat - plat) + (CASE WHEN abs(lon - plon) > 180 THEN 360 - abs(lon - plon) ELSE abs(lon - plon) END) * (CASE WHEN abs(lon - plon) > 180 THEN 360 - abs(lon - plon) ELSE abs(lon - plon) END) AS d2 FROM nav, pt WHERE lat IS NOT NULL),
- nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key, t, e, scene_id ORDER BY d2, y, x) AS k FROM dd) WHERE k = 1),
+ nn AS (SELECT key, scene_id, m.y AS y, m.x AS x FROM (SELECT key, t, e, scene_id, min(struct_pack(d2, y, x)) AS m FROM dd GROUP BY ALL)),
  bx AS (SELECT key, scene_id, min(y) AS y0, min(x) AS x0, CAST(max(y) - min(y) + 1 AS INT) AS height, CAST(max(x) - min(x) + 1 AS INT) AS width FROM nn GROUP BY ALL)"""
 
 
-def two_clips(spark, sf):
-    return clips(spark, sf).where("ul_y is not null and key in ('k1', 'k5')")
-
-
 @query("g8_bounding_box", f"{WIDE}, {NAV}, {_BOX} SELECT * FROM bx")
 def g8(spark, sf):
-    return spatial.bounding_box(two_clips(spark, sf), navigated(spark, sf))
+    return spatial.bounding_box(clips(spark, sf), navigated(spark, sf))
 
 
-@query("g9_clip_native", f"{WIDE}, {NAV}, {_BOX} SELECT w.scene_id, CAST(w.y - y0 AS INT) AS y, CAST(w.x - x0 AS INT) AS x, round(c13, 6) AS c13 FROM w JOIN bx ON w.scene_id = bx.scene_id AND bx.key = 'k1' WHERE w.y BETWEEN y0 AND y0 + height - 1 AND w.x BETWEEN x0 AND x0 + width - 1")
+@query("g9_clip_native", f"{WIDE}, {NAV}, {_BOX} SELECT bx.key, w.scene_id, CAST(w.y - y0 AS INT) AS y, CAST(w.x - x0 AS INT) AS x, round(c13, 6) AS c13 FROM w JOIN bx ON w.scene_id = bx.scene_id WHERE w.y BETWEEN y0 AND y0 + height - 1 AND w.x BETWEEN x0 AND x0 + width - 1")
 def g9(spark, sf):
-    return spatial.clip_native(every(spark, sf), navigated(spark, sf), two_clips(spark, sf).where("key = 'k1'")).select(*KEYS, *r6("c13"))
-
-
-@query("g8_bounding_box_all")
-def g8_all(spark, sf):
-    return spatial.bounding_box(clips(spark, sf), navigated(spark, sf))
+    return spatial.clip_native(every(spark, sf), navigated(spark, sf), clips(spark, sf)).select("key", *KEYS, *r6("c13"))
 
 
-@query("g9_clip_native_all")
-def g9_all(spark, sf):
-    return spatial.clip_native(every(spark, sf), navigated(spark, sf), clips(spark, sf)).select("key", *KEYS, *r6("c13"))
+QUERIES |= {"g8_bounding_box_all": g8, "g9_clip_native_all": g9}  # earlier names
 
 
 def extent(spark, sf):
