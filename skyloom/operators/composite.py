@@ -63,8 +63,7 @@ def truecolor(wide: DataFrame, rayleigh: bool = False, sharpen: bool = False, st
         if correct:
             df = correct(df)
         else:
-            angles = F.col("sza"), F.col("vza"), F.col("raa")
-            df = df.withColumns({"b": G.rayleigh_analytic(F.col("b"), *angles, 0.47), "r": G.rayleigh_analytic(F.col("r"), *angles, 0.64)})
+            df = G.rayleigh_bands(df, {"b": 0.47, "r": 0.64})
     df = df.withColumn("g", P.synthetic_green(F.col("b"), F.col("r"), F.col("n")))
     if sharpen:
         df = enhance.sharpen_ratio(df, "r", "_ratio").withColumns({c: F.col(c) * F.col("_ratio") for c in "gb"})
