@@ -65,7 +65,7 @@ def learn(docs: DataFrame) -> dict[str, bytes]:
     first = some.withColumn("place", F.row_number().over(by_draw)).where(F.col("place") <= SAMPLE)
     before = F.sum(F.octet_length("part")).over(Window.partitionBy("lang").orderBy("place")) - F.octet_length("part")
     pools: dict[str, list[bytes]] = {}
-    for row in first.withColumn("before", before).where(F.col("before") < 2 * most).orderBy("lang", "place").toLocalIterator():
+    for row in first.withColumn("before", before).where(F.col("before") < 2 * most).orderBy("lang", "place").collect():  # at most about twice the dictionaries
         pools.setdefault(row.lang, []).append(letters(row.part))
     counts.unpersist()
     return {lang: b" ".join(p for p in parts if p)[:most] for lang, parts in pools.items()}

@@ -81,7 +81,7 @@ def _functions(hashes: int) -> tuple[np.ndarray, np.ndarray]:
 def document_sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray, bytes | None]]:
     """(row, sorted distinct shingle hashes, digest of the shingles) of each row of a batch."""
     at = 0
-    for part in W.chunks(batch, "text"):
+    for part in W.chunks(batch):
         w = W.split_words(part.column(part.schema.get_field_index("text")), lower=True)
         h = w.hashes()
         s = W.shingle_hashes(h, words)

@@ -36,7 +36,7 @@ SHARD = 30_000
 GROUPS = 64
 LARGE = CAPACITY // 8
 END = 0
-_MEMO = 300_000
+_MEMO = 100_000
 RUN = 256
 #: The characters that the pattern's \\s stands for.
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"

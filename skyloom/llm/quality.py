@@ -54,7 +54,7 @@ def statistics(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.chunks(batch, "text", 4 << 20):
+            for part in W.chunks(batch):
                 text = part.column(1)
                 data, offsets = W.text_bytes(text)
                 w = W.split_words(text)

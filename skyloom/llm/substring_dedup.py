@@ -102,7 +102,7 @@ def edges(rows: DataFrame, window: int = WINDOW, named: bool = True) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.chunks(batch, "text", 4 << 20):
+            for part in W.chunks(batch):
                 w = W.split_words(part.column(2))
                 found = stretches(w.hashes(), w.first, window)
                 row = pa.array(found["row"], pa.int64())
@@ -127,7 +127,7 @@ def windows_of(texts: DataFrame, asked: DataFrame, window: int = WINDOW) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.chunks(batch, "text", 4 << 20):
+            for part in W.chunks(batch):
                 w = W.split_words(part.column(2))
                 row, start = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for i, runs in enumerate(part.column(3).to_pylist()):
@@ -221,7 +221,7 @@ def plain(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.chunks(batch, "text", 8 << 20):
+            for part in W.chunks(batch):
                 w = W.split_words(part.column(2))
                 sha = [hashlib.sha256(w.bytes_of(a, b)[:-1]).hexdigest() for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(1), part.column(0), pa.array(np.diff(w.first), pa.int64()), pa.array(sha, pa.string())], names=["rid", "doc_id", "n_words", "sha256"])
@@ -235,7 +235,7 @@ def cuts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.chunks(batch, "text", 8 << 20):
+            for part in W.chunks(batch):
                 gone, text, sha = [], [], []
                 for t, runs in zip(part.column(2), part.column(3), strict=True):
                     words = t.as_py().encode().split()

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 
 SEGMENT = 1 << 18  # words hashed at a time
+CHUNK = 1 << 20  # bytes of text worked on at a time
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -109,7 +110,7 @@ def split_words(column: pa.Array, lower: bool = False) -> Words:
     return Words(data, np.concatenate([np.zeros(min(1, len(end)), np.int64), end[:-1] + 1]), end, first)
 
 
-def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
     """Slices of whole rows with at most ``limit`` bytes of text, or one longer row."""
     col = batch.column(batch.schema.get_field_index(column))
     _, offs = text_bytes(col)

@@ -147,3 +147,10 @@ def test_repeated_rows_are_packed_full(spark, monkeypatch):
     per = 2048 // got[0].length
     assert len(got) == 4000 and len({(r.sequence_id, r.offset) for r in got}) == 4000
     assert len({r.sequence_id >> 32 for r in got}) == 8 and len({r.sequence_id for r in got}) <= -(-4000 // per) + 8
+
+
+def test_language_of_very_long_texts(spark):
+    model = {"aa": b"one two three four five six seven eight", "bb": b"un deux trois quatre cinq six sept huit"}
+    rows = [(1, " " * 2_000_000 + "three four five seven"), (2, "\n" * 2_000_000), (3, "trois quatre cinq sept " * 40_000)]
+    got = {r.doc_id: r.lang_pred for r in language_id.classify(table(spark, rows), model).collect()}
+    assert got == {1: "aa", 2: "und", 3: "bb"}

@@ -71,3 +71,20 @@ def test_best_score_against_brute_force():
         total = sum(score[i] for i in ids if i >= 256) + use.floor * len([c for c in text if c not in "ab▁"])
         assert abs(total - best(text)) < 1e-9
         assert use.decode(ids) == text.replace("▁", " ")
+
+
+def test_very_long_texts(spark):
+    texts = [" " * 2_000_000, "\n" * 200_000 + "end", "x " * 300_000, " \t\n" * 100_000]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in pieces.digested(table(spark, rows), MODEL).collect()}
+    assert all(got[i].round_trip and got[i].n_ids > 0 for i, _ in rows)
+
+
+def test_a_row_repeated_by_the_thousand(spark):
+    rows = [(7, "x" * 100)] * 5000 + [(i, "y" * 50) for i in range(8, 40)]
+    got = sharding.sharded(table(spark, rows), 1000).collect()
+    weight = defaultdict(int)
+    for r in got:
+        weight[r.shard_id] += r.n_bytes
+    assert len(got) == len(rows) and max(weight.values()) <= 1000
+    assert sum(r.doc_id == 7 for r in got) == 5000 and sum(w == 1000 for w in weight.values()) == 500
