@@ -176,7 +176,7 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFram
     met = written(edges(rows, window).join(nodes.hint("shuffle_merge"), "node", "left_semi").distinct(), "met")
     found = met.groupBy("node", "edge").agg(F.min(F.struct("doc_id", "start")).alias("source"), F.max("doc_id").alias("last"))
     found = written(found, "edges")
-    branches = found.groupBy("node").agg(F.count(F.lit(1)).alias("branches"))
+    branches = written(found.groupBy("node").agg(F.count(F.lit(1)).alias("branches")), "branches")
     known = found.join(branches.hint("shuffle_merge"), "node").select("edge", "source", "last", "branches")
     met = written(met.drop("node").join(known.hint("shuffle_merge"), "edge"), "met")
     copies = met.where("source.doc_id < last").select("doc_id", "rid", "start", "n", "edge", "source")
