@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, language_id, lm_score, near_dedup, packing, pieces, quality, sharding, substring_dedup, whitening
+from . import exact_dedup, html_extract, language_id, lm_score, near_dedup, packing, periodic_runs, pieces, quality, sharding, substring_dedup, whitening
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -68,6 +68,10 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(documents(spark, sf_dir), rewrite=True, texts=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_language_id": op2_language_id,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLE = {
@@ -113,4 +118,19 @@ ORACLE = {
              u AS (SELECT k, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM t),
              g AS (SELECT u.k, count(*) AS n_words, count(x.j) AS n_removed, string_agg(word, ' ' ORDER BY u.j) FILTER (x.j IS NULL) AS kept FROM u LEFT JOIN x ON u.k = x.k AND u.j = x.j GROUP BY u.k)
         SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN g USING (k)""",
+    "op12_periodic_runs": """
+        WITH b AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS o,
+                   xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+                       lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, y: xor(x >> 1, (x & 1) * 3988292384)))) AS h FROM documents),
+             t AS (SELECT *, len(o) AS n, (h // 10) % len(o) AS a, 1 + (len(o) - (h // 10) % len(o)) // (3 + (h // 10) % 8) AS p FROM b WHERE len(o) > 0),
+             u AS (SELECT k, i, o[CASE WHEN h % 10 = 0 AND i >= a THEN a + (i - a) % p ELSE i END + 1] AS word FROM (SELECT *, unnest(range(n)) AS i FROM t)),
+             m AS (SELECT x.k, y.i - x.i AS q, y.i FROM u AS x JOIN u AS y ON x.k = y.k AND x.word = y.word AND x.i < y.i),
+             s AS (SELECT k, q, min(i) - q AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY k, q ORDER BY i) AS stretch FROM m) GROUP BY k, q, stretch),
+             r AS (SELECT k, start, length, min(q) AS period FROM s WHERE length >= greatest(24, 3 * q) GROUP BY k, start, length),
+             g AS (SELECT k, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS said FROM r GROUP BY k),
+             f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) AS nth FROM r) WHERE nth = 1),
+             d AS (SELECT DISTINCT k, unnest(range(start + period, start + length)) AS i FROM r),
+             c AS (SELECT u.k, string_agg(word, ' ' ORDER BY u.i) AS kept FROM u LEFT JOIN d ON u.k = d.k AND u.i = d.i WHERE d.i IS NULL GROUP BY u.k)
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(said, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+        FROM b LEFT JOIN g USING (k) LEFT JOIN f USING (k) LEFT JOIN c USING (k)""",
 }
