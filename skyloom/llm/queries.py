@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, language_id, lm_score, near_dedup, packing, periodic_runs, pieces, quality, sharding, substring_dedup, whitening
+from . import exact_dedup, html_extract, jaccard_join, language_id, lm_score, near_dedup, packing, periodic_runs, pieces, quality, sharding, substring_dedup, whitening
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -72,6 +72,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.periodic_runs(documents(spark, sf_dir), rewrite=True, texts=False)
 
 
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(documents(spark, sf_dir), words=5, similarity=0.8).drop("rid")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_language_id": op2_language_id,
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_embedding_whitening": op11_embedding_whitening,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_ngram_jaccard_join": op13_ngram_jaccard_join,
 }
 
 ORACLE = {
@@ -133,4 +138,14 @@ ORACLE = {
              c AS (SELECT u.k, string_agg(word, ' ' ORDER BY u.i) AS kept FROM u LEFT JOIN d ON u.k = d.k AND u.i = d.i WHERE d.i IS NULL GROUP BY u.k)
         SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(said, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
         FROM b LEFT JOIN g USING (k) LEFT JOIN f USING (k) LEFT JOIN c USING (k)""",
+    "op13_ngram_jaccard_join": """
+        WITH RECURSIVE t AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+             s AS (SELECT DISTINCT k, md5(array_to_string(w[i : i + 4], ' ')) AS h FROM (SELECT k, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM t WHERE len(w) > 0)),
+             n AS (SELECT k, count(*) AS n FROM s GROUP BY k),
+             p AS (SELECT a.k AS a, b.k AS b, count(*) AS common FROM s a JOIN s b ON a.h = b.h AND a.k < b.k GROUP BY ALL),
+             l AS (SELECT a, b FROM p JOIN n na ON na.k = a JOIN n nb ON nb.k = b WHERE 100 * common >= 80 * (na.n + nb.n - common)),
+             e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+             r AS (SELECT k, k AS o FROM t UNION SELECT r.k, e.b FROM r JOIN e ON r.o = e.a),
+             c AS (SELECT r.k, min(t.doc_id) AS component_id FROM r JOIN t ON t.k = r.o GROUP BY r.k)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM t JOIN c USING (k) LEFT JOIN n USING (k)""",
 }
