@@ -37,6 +37,12 @@ def navigate(df: DataFrame, wrap: bool = False) -> DataFrame:
     return out.withColumns({"lat": lat, "lon": lon}).drop(*[x for x in out.columns if x.startswith("_")])
 
 
+def plain_grid(df: DataFrame, height: int, width: int, lat_min: float, lat_max: float, lon_min: float, lon_max: float) -> DataFrame:
+    """Adds lat and lon to rows with y and x of a grid whose first and last rows and columns lie on the bounds."""
+    down, right = F.col("y") / F.lit(float(height - 1)), F.col("x") / F.lit(float(width - 1))
+    return df.withColumns({"lat": lat_max - down * (lat_max - lat_min), "lon": lon_min + right * (lon_max - lon_min)})
+
+
 def ephemeris(df: DataFrame, time: str = "start_ts") -> DataFrame:
     """Adds sun_sd, sun_cd (sine and cosine of declination) and sun_ha (hour angle base) to scene rows."""
     t0 = F.col(time)

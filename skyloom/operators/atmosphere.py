@@ -10,6 +10,8 @@ from ..functions.geometry import RAD
 #: Largest sun and view zenith of the table, start and end of the taper, cloud reflectance.
 SUN_MAX, VIEW_MAX, TAPER, NIGHT, CLOUD = 87.68, 70.53, 70.0, 88.0, 0.20
 AXES = ("s", "v", "a")
+#: Channels that there are tables for, and the most points of an axis.
+CHANNELS, MOST_POINTS = (1, 2, 3), 1000
 
 
 def cells(lut: DataFrame) -> DataFrame:
@@ -39,6 +41,33 @@ def table_is_complete(lut: DataFrame, axes: DataFrame) -> DataFrame:
     return have.join(size, "channel", "left").select("channel", "n_values", F.coalesce(F.col("n_values") == F.col("wanted"), F.lit(False)).alias("complete"))
 
 
+def read_table(headers: DataFrame, values: DataFrame) -> DataFrame:
+    """Stored tables with what is wrong with each: (table_id, channel, fault, lut).
+
+    headers(table_id, channel, n_s, n_v, n_a, and the axes' ends and steps) and values(table_id, place,
+    value), place counting from 0 with the azimuth running fastest.  fault is NULL or the first of: no channel
+    from 1 to 3, an axis without 1 to 1,000 points, too few or many values, a value that is missing or not
+    finite, one that stands twice.  lut: the cells (i_s, i_v, i_a, value) of a good table's values, one row
+    a value; a bad table has one row with NULL.
+    """
+    c = F.col
+    finite = c("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf"))
+    facts = values.groupBy("table_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(finite).alias("good"), F.count_distinct("place").alias("places"), F.min("place").alias("first"), F.max("place").alias("last"))
+    size = c("n_s").cast("long") * c("n_v") * c("n_a")
+    sound = F.lit(True)
+    for x in AXES:
+        sound = sound & F.coalesce(c(f"n_{x}").between(1, MOST_POINTS), F.lit(False))
+    fault = (
+        F.when(~F.coalesce(c("channel").isin(*CHANNELS), F.lit(False)), "channel").when(~sound, "axes").when(F.coalesce("n", F.lit(0)) != size, "size")
+        .when(c("good") != c("n"), "value").when((c("places") != c("n")) | (c("first") != 0) | (c("last") != size - 1), "place")
+    )
+    checked = headers.join(facts, "table_id", "left").withColumn("fault", fault)
+    bad = checked.where("fault is not null").select("table_id", "channel", "fault", F.lit(None).cast("struct<i_s: int, i_v: int, i_a: int, value: double>").alias("lut"))
+    good = checked.where("fault is null").select("table_id", "channel", "fault", "n_v", "n_a").join(values, "table_id")
+    cell = F.struct(F.expr("cast(place div (n_v * n_a) as int)").alias("i_s"), F.expr("cast(place div n_a % n_v as int)").alias("i_v"), F.expr("cast(place % n_a as int)").alias("i_a"), c("value").cast("double").alias("value"))
+    return bad.unionByName(good.select("table_id", "channel", "fault", cell.alias("lut")))
+
+
 def look_up(df: DataFrame, cell_table: DataFrame, channel: int, axes: dict[str, tuple[float, float, float]], out: str = "path") -> DataFrame:
     """Adds the table's trilinear value at (sec sza, sec vza, 180 - raa) to rows with sza, vza, raa.
 

@@ -13,6 +13,7 @@ VARIABLES = (("L1b", "Rad"), ("CMIP", "CMI"), ("ACHA", "HT"), ("ACHT", "TEMP"),
 FALLBACK = (16, 18, 17, 19)
 #: Sectors and the parts of a file name that tell them.
 SECTORS = (("m1", ("RadM1", "CMIPM1")), ("m2", ("RadM2", "CMIPM2")), ("conus", ("RadC-", "CMIPC-")), ("fd", ("RadF-", "CMIPF-")))
+VERSION = "3"
 #: Operations in the order of an output name, with their keys.
 OPERATIONS = (("invert", "inv"), ("rayleigh", "ray"), ("histogram", "histo"), ("clahe", "clahe"))
 
@@ -84,9 +85,20 @@ def siblings(catalog: DataFrame, anchors: DataFrame, bands: list[int], compat: b
     return out.select("anchor", "band", "path", complete.alias("complete"))
 
 
+def without_header(lines: DataFrame) -> DataFrame:
+    """lines (n, line) of a clip file less its first one, where that has the word clave."""
+    top = lines.agg(F.min("n")).scalar()
+    return lines.where(~(F.col("line").contains("clave") & (F.col("n") == top)))
+
+
+def clip_table(lines: DataFrame) -> DataFrame:
+    """Named boxes of the lines of a clip file: rows without a key go, bad numbers become NULL."""
+    return without_header(lines).select(F.from_csv("line", CLIPS).alias("c")).select("c.*").where("key is not null")
+
+
 def load_clips(spark: SparkSession, path: str) -> DataFrame:
-    """Named boxes of a CSV file; the header row and rows without a key go, bad numbers become NULL."""
-    return spark.read.schema(CLIPS).csv(path, mode="PERMISSIVE").where("key is not null and lower(key) not like '%clave%' and lower(key) <> 'key'")
+    """Named boxes of a CSV file, with or without a header."""
+    return clip_table(clip_lines(spark, path))
 
 
 def clip_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -104,8 +116,7 @@ def find_clips(lines: DataFrame, keys: DataFrame) -> DataFrame:
     fields = F.filter(F.split(F.regexp_replace("line", r"[\r\n]+$", ""), ","), lambda x: x != "")
     text = lambda k: F.try_element_at("fields", F.lit(k))
     number = lambda k: F.coalesce(F.regexp_extract(text(k), r"^\s*([-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?)", 1).try_cast("double"), F.lit(0.0))
-    top = lines.agg(F.min("n")).scalar()
-    rows = lines.where(~(F.col("line").contains("clave") & (F.col("n") == top))).withColumn("fields", fields)
+    rows = without_header(lines).withColumn("fields", fields)
     clip = F.struct(text(2).alias("region"), *[number(k).alias(c) for k, c in ((3, "ul_x"), (4, "ul_y"), (5, "lr_x"), (6, "lr_y"))])
     first = rows.where(text(1).isNotNull()).groupBy(text(1).alias("key")).agg(F.min_by(clip, "n").alias("clip"))
     out = keys.select("key").join(first, "key", "left")
@@ -116,11 +127,21 @@ def list_clips(clips: DataFrame) -> DataFrame:
     return clips.withColumn("usable", F.expr("ul_x is not null and ul_y is not null and lr_x is not null and lr_y is not null")).orderBy("key")
 
 
-def expand_template(pattern: str, df: DataFrame, out: str = "output") -> DataFrame:
-    """Adds the pattern with its tokens replaced by a parsed name's facts; unchanged without a stamp."""
+def name_satellite(name: Column) -> Column:
+    """The satellite in a template: the two digits after the first _G, GXX without them."""
+    digits = F.regexp_extract(name, r"^.*?_G(.{0,2})", 1)
+    return F.when(digits.rlike("^[0-9]{2}$"), F.concat(F.lit("G"), digits)).otherwise("GXX")
+
+
+def expand_template(pattern: str, df: DataFrame, out: str = "output", label: Column | None = None) -> DataFrame:
+    """Adds the pattern with its tokens replaced by a parsed name's facts; unchanged without a stamp.
+
+    label: what {PROD} stands for, nothing where it is left out or NULL; an unknown sector is empty.
+    """
     at = lambda fmt: F.date_format("start_ts", fmt)
     seconds = F.rpad(F.substring("stamp", 12, 2), 2, "0")
-    tokens = {"{YYYY}": at("yyyy"), "{YY}": at("yy"), "{MM}": at("MM"), "{DD}": at("dd"), "{hh}": at("HH"), "{mm}": at("mm"), "{ss}": seconds, "{TS}": at("yyyyDDDHHmm"), "{JJJ}": at("DDD"), "{CH}": F.col("channel"), "{SAT}": F.col("satellite"), "{SECTOR}": F.col("sector"), "{PROD}": F.coalesce("variable", F.lit(""))}
+    tokens = {"{YYYY}": at("yyyy"), "{YY}": at("yy"), "{MM}": at("MM"), "{DD}": at("dd"), "{hh}": at("HH"), "{mm}": at("mm"), "{ss}": seconds, "{TS}": at("yyyyDDDHHmm"), "{JJJ}": at("DDD"), "{CH}": F.col("channel")}
+    tokens |= {"{SAT}": name_satellite(F.col("name")), "{SECTOR}": F.when(F.col("sector") == "unknown", "").otherwise(F.coalesce("sector", F.lit(""))), "{PROD}": F.coalesce(F.lit("") if label is None else label, F.lit(""))}
     text = F.lit(pattern)
     for token, value in tokens.items():
         text = F.replace(text, F.lit(token), value)
@@ -136,18 +157,22 @@ def operations(df: DataFrame) -> Column:
 
 
 def product_type(command: Column, mode: Column) -> Column:
-    """The type in an automatic name: gray, pseudo, an RGB mode of its own or rgb, else the command."""
+    """The type in an automatic name: gray, pseudo, an RGB mode of its own or rgb, else the command; output without one."""
     own = mode.isNotNull() & ~mode.isin("", "truecolor", "composite")
-    return F.when(command == "gray", "gray").when(command == "pseudocolor", "pseudo").when(command == "rgb", F.when(own, mode).otherwise("rgb")).otherwise(F.coalesce(command, F.lit("")))
+    return F.when(command == "gray", "gray").when(command == "pseudocolor", "pseudo").when(command == "rgb", F.when(own, mode).otherwise("rgb")).otherwise(F.coalesce(F.nullif(command, F.lit("")), F.lit("output")))
 
 
 def automatic_name(df: DataFrame, extension: str, prefix: str = "sky") -> DataFrame:
-    """Adds name: prefix, satellite, sector, time, type, band and operations, those that there are."""
+    """Adds name: prefix, satellite, sector, time, type, band and operations, those that there are.
+
+    Rows have command and mode, from which the type follows; the names of RGB products have no band.
+    """
     sat = F.when(F.col("satellite") == "unknown", "GXX").otherwise(F.coalesce("satellite", F.lit("GXX")))
     when = F.coalesce(F.date_format("start_ts", "yyyyDDD_HHmm"), F.lit("NA"))
-    sec = F.when(F.col("sector") != "unknown", F.col("sector"))
-    ops = operations(df)
-    return df.withColumn("name", F.concat(F.concat_ws("_", F.lit(prefix), sat, sec, when, "type", "band_name", F.nullif(ops, F.lit(""))), F.lit(extension)))
+    sec = F.when(F.col("sector") != "unknown", F.nullif("sector", F.lit("")))
+    band = F.when(~F.col("command").eqNullSafe("rgb"), F.nullif("band_name", F.lit("")))
+    ops = F.nullif(operations(df), F.lit(""))
+    return df.withColumn("name", F.concat(F.concat_ws("_", F.lit(prefix), sat, sec, when, product_type(F.col("command"), F.col("mode")), band, ops), F.lit(extension)))
 
 
 def with_suffix(name: Column, suffix: str = "_geo", extension: str | None = None) -> Column:
@@ -162,22 +187,80 @@ def label_parts(label: Column) -> Column:
     return F.struct(short.alias("short"), F.when(label.contains(":"), F.substring(label, F.length(short) + 2, F.length(label))).otherwise(label).alias("long"))
 
 
-def quantity(band: Column) -> Column:
-    return F.when(band >= 7, F.struct(F.lit("brightness_temperature").alias("quantity"), F.lit("K").alias("unit"))).otherwise(F.struct(F.lit("reflectance").alias("quantity"), F.lit("1").alias("unit")))
+def quantity(band: Column, categorical: Column | None = None) -> Column:
+    """Quantity and unit of a channel; counts of a categorical one have no unit."""
+    known = lambda q, u: F.struct(F.lit(q).alias("quantity"), F.lit(u).alias("unit"))
+    counts = F.struct(F.lit("raw_counts").alias("quantity"), F.lit(None).cast("string").alias("unit"))
+    plain = F.when(band >= 7, known("brightness_temperature", "K")).otherwise(known("reflectance", "unitless"))
+    return plain if categorical is None else F.when(categorical, counts).otherwise(plain)
+
+
+def channel_fact(band: Column, low: Column, high: Column, variable: Column | None = None, categorical: Column | None = None) -> Column:
+    """Facts of a channel; one without a band number from 1 to 16 is named by its variable."""
+    name = F.when(band.between(1, 16), F.format_string("C%02d", band))
+    what = quantity(band, categorical)
+    return F.struct((name if variable is None else name.otherwise(variable)).alias("name"), what["quantity"].alias("quantity"), low.alias("min"), high.alias("max"), what["unit"].alias("unit"))
 
 
 def channel_metadata(stats: DataFrame) -> DataFrame:
-    """(scene_id, channels): an array of facts per scene from grid statistics per band, by band."""
-    fact = F.struct("band", F.format_string("C%02d", "band").alias("name"), quantity(F.col("band"))["quantity"].alias("quantity"), F.col("vmin").alias("min"), F.col("vmax").alias("max"), quantity(F.col("band"))["unit"].alias("unit"))
-    return stats.groupBy("scene_id").agg(F.array_sort(F.collect_list(fact)).alias("channels"))
+    """(scene_id, channels): an array of facts per scene from grid statistics per band, by band.
+
+    stats may have variable and categorical, for channels without a band or of codes.
+    """
+    more = {k: F.col(k) for k in ("variable", "categorical") if k in stats.columns}
+    fact = channel_fact(F.col("band"), F.col("vmin"), F.col("vmax"), **more)
+    ordered = F.array_sort(F.collect_list(F.struct("band", fact.alias("fact"))))
+    return stats.groupBy("scene_id").agg(F.transform(ordered, lambda c: c["fact"]).alias("channels"))
+
+
+def six_digits(v: Column) -> Column:
+    """A number with six significant digits and no trailing zeros, in powers of ten below 1e-4 and from 1e6 on.
+
+    Between these, a tie of the number's shortest decimal form goes to the even digit.
+    """
+    v = v.cast("double")
+    text = F.format_string("%.5e", v)
+    power = F.regexp_extract(text, "e([-+][0-9]+)$", 1).try_cast("int")
+    trimmed = lambda t: F.regexp_replace(F.regexp_replace(t, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    plain = F.lit(None).cast("string")
+    for k in range(-4, 6):
+        plain = F.when(power == k, trimmed(F.bround(v.try_cast("decimal(38,24)"), 5 - k).cast("string"))).otherwise(plain)
+    large = F.concat(trimmed(F.regexp_extract(text, "^([^e]*)e", 1)), F.regexp_extract(text, "(e.*)$", 1))
+    odd = F.when(F.isnan(v), "nan").when(v == float("inf"), "inf").when(v == float("-inf"), "-inf")
+    return F.when(v.isNull(), None).when(F.isnan(v) | (F.abs(v) == float("inf")), odd).otherwise(F.coalesce(plain, large))
 
 
 def tags(df: DataFrame, tool: str = "skyloom") -> Column:
-    """Tags of rows with satellite, sector, band, start_ts, product; those without a value are left out."""
-    pairs = {"tool": F.lit(tool), "satellite": F.col("satellite"), "sector": F.col("sector"), "band": F.when(F.col("band").isNotNull(), F.format_string("C%02d", "band")), "scan_time": F.date_format("start_ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), "datetime": F.date_format("start_ts", "yyyy:MM:dd HH:mm:ss"), "product": F.col("product")}
+    """Tags of rows with satellite, sector, band, start_ts, product; those without a value are left out.
+
+    An unknown sector is left out.  Rows with colormap_size (and colormap_min, colormap_max,
+    colormap_units) get the tags of their colours where that is not NULL.
+    """
+    pairs = {
+        "tool": F.lit(tool), "satellite": F.col("satellite"), "sector": F.when(F.col("sector") != "unknown", F.nullif("sector", F.lit(""))), "band": F.when(F.col("band").between(1, 16), F.format_string("C%02d", "band")),
+        "scan_time": F.date_format("start_ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), "datetime": F.date_format("start_ts", "yyyy:MM:dd HH:mm:ss"), "product": F.col("product"),
+    }
+    if "colormap_size" in df.columns:
+        coloured = {"min": six_digits(F.col("colormap_min")), "max": six_digits(F.col("colormap_max")), "size": F.col("colormap_size").cast("string"), "units": F.nullif("colormap_units", F.lit(""))}
+        pairs |= {f"colormap_{k}": F.when(F.col("colormap_size").isNotNull(), v) for k, v in coloured.items()}
     return F.map_filter(F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())
 
 
-def sidecar(df: DataFrame) -> Column:
-    """JSON of the metadata columns of a row; NULL parts are left out."""
-    return F.to_json(F.struct(*[F.col(c) for c in df.columns]))
+def sidecar(df: DataFrame, enhancements: tuple[str, ...] = (), tool: str = "skyloom") -> Column:
+    """JSON document of a row: tool, version, satellite, sector, timestamp, product, command, crs, bounds,
+    geometry, channels and enhancements (the named columns, each with its own type).
+
+    Columns that a row does not have, and parts that are NULL or empty, are left out; bounds make a
+    geometry, whose projection is the crs or empty.
+    """
+    column = lambda c, kind="string": F.col(c) if c in df.columns else F.lit(None).cast(kind)
+    text = lambda c: F.nullif(column(c), F.lit(""))
+    bounds = column("bounds", "array<double>")
+    geometry = F.when(bounds.isNotNull(), F.struct(F.coalesce(text("crs"), F.lit("")).alias("projection"), bounds.alias("bbox")))
+    parts = {"tool": F.lit(tool), "version": F.lit(VERSION), "satellite": text("satellite"), "sector": F.when(text("sector") != "unknown", text("sector")), "timestamp": F.date_format(column("start_ts", "timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")}
+    parts |= {"product": text("product"), "command": text("command"), "crs": text("crs"), "bounds": bounds, "geometry": geometry}
+    if "channels" in df.columns:
+        parts["channels"] = F.when(F.size("channels") > 0, F.col("channels"))
+    if enhancements:
+        parts["enhancements"] = F.when(F.coalesce(*[F.col(c).cast("string") for c in enhancements]).isNotNull(), F.struct(*enhancements))
+    return F.to_json(F.struct(*[v.alias(k) for k, v in parts.items()]))

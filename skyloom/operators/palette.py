@@ -78,7 +78,8 @@ def colour_of(values: DataFrame, pairs: DataFrame, background: tuple[int, int, i
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Colour-table lines (file, n, line) as entries (file, n, kind, lo, hi, r, g, b, r1, g1, b1, unit).
 
-    kind: continuous (eight numbers), discrete (four numbers), B, F, N or unit.
+    kind: continuous (eight numbers), discrete (four numbers), B, F, N or unit (one word).  Numbers may
+    also be joined by slashes, an extension.
     """
     line = F.trim("line")
     number = r"[-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?"
@@ -91,7 +92,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         .when((F.size(fields) >= 4) & line.rlike(f"^{number}"), "discrete")
     )
     at = lambda k: F.try_element_at(fields, F.lit(k)).try_cast("double")
-    out = lines.select("file", "n", kind.alias("kind"), F.trim(F.regexp_extract(line, r"=\s*(.*)$", 1)).alias("unit"), *[at(k).alias(f"f{k}") for k in range(1, 9)]).where("kind is not null")
+    out = lines.select("file", "n", kind.alias("kind"), F.nullif(F.regexp_extract(line, r"=\s*(\S+)", 1), F.lit("")).alias("unit"), *[at(k).alias(f"f{k}") for k in range(1, 9)]).where("kind is not null")
     c = F.col
     whole = lambda a: c(a).cast("int")
     return out.select(

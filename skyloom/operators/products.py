@@ -66,9 +66,19 @@ def alpha_by_index(image: DataFrame) -> DataFrame:
     return image.groupBy("scene_id", "v").agg(F.min("a").alias("a"))
 
 
-def padded_size(n: int) -> int:
-    """Entries of a stored palette: 2, 4, 16 or 256."""
-    return next(k for k in (2, 4, 16, 256) if n <= k)
+def stored_palette(colours: DataFrame, image: DataFrame | None = None) -> DataFrame:
+    """(idx, r, g, b) of a palette (idx, r, g, b) as it is stored: padded to 2, 4, 16 or 256 entries with the
+    last colour.  With an image (scene_id, v, a) a palette for each scene, with the least alpha of each
+    index as a, 255 where an index does not occur."""
+    padded = F.element_at(F.filter(F.array(*map(F.lit, (2, 4, 16, 256))), lambda k: k > F.col("top")), 1)
+    top = colours.agg(F.max("idx").alias("top")).where("top < 256")
+    entries = top.select("top", F.explode(F.sequence(F.lit(0), padded - 1)).alias("idx")).withColumn("from", F.least("idx", "top"))
+    full = entries.join(colours.select(F.col("idx").alias("from"), "r", "g", "b"), "from").select("idx", "r", "g", "b")
+    if image is None:
+        return full
+    scenes = image.select("scene_id").distinct().select("scene_id", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("idx"))
+    seen = alpha_by_index(image).select("scene_id", F.col("v").alias("idx"), "a")
+    return scenes.join(full, "idx").join(seen, ["scene_id", "idx"], "left").select("scene_id", "idx", "r", "g", "b", F.coalesce("a", F.lit(255)).alias("a"))
 
 
 def write_image(image: DataFrame, path: str) -> None:

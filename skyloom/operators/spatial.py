@@ -14,9 +14,9 @@ HEIGHT = 35786023.0  # fixed value: usual height of a geostationary satellite in
 HALF_DISK = 0.151872  # fixed value: half the full-disk field of view in radians
 LIMITS = (10, 10_000)
 EDGE_SAMPLES = 20
-LEAF = 0.3515625  # fixed value: degrees of a small cell of pixels; of a large one FINER times that
-FINER = 8
-SALTS = 32  # parts of the points, each with its own copy of the scenes' large cells
+LEAF = 0.0439453125  # fixed value: degrees of the smallest cells of pixels, 180 / FINER ** (LEVELS - 1)
+FINER, LEVELS = 8, 5  # a cell of the next level is FINER times as wide
+SALTS = 32  # parts of the points, each with its own copy of the scenes' largest cells
 
 
 def crop(pixels: DataFrame, y0: int, x0: int, height: int, width: int) -> DataFrame:
@@ -54,41 +54,49 @@ def _bounds() -> tuple[Column, Column]:
     return south * south + west * west, north * north + east * east
 
 
-def _nearer(pairs: DataFrame, cells: DataFrame, on: list[str], carried: list[str]) -> DataFrame:
-    """The cells that can hold the pixel nearest to a point: none farther than another cell is for certain."""
+def _nearer(pairs: DataFrame, cells: DataFrame, on: list[str]) -> DataFrame:
+    """The cells (i, j) that can hold the pixel nearest to a point: none farther than another cell is for certain."""
     least, most = _bounds()
     keys = ["plat", "plon", "scene_id"]
     limit = F.min("most").over(Window.partitionBy(*keys))
-    boxes = pairs.join(cells, on).select(*keys, *carried, least.alias("least"), most.alias("most"))
-    return boxes.withColumn("limit", limit).where("least <= limit").select(*keys, *carried)
+    boxes = pairs.join(cells, on).select(*keys, "i", "j", least.alias("least"), most.alias("most"))
+    return boxes.withColumn("limit", limit).where("least <= limit").select(*keys, "i", "j")
+
+
+def _boxes(pixels: DataFrame) -> list[DataFrame]:
+    """Bounds (lat0, lat1, lon0, lon1) of the pixels in each cell (scene_id, i, j), its parent being (pi, pj), by level."""
+    out = [pixels.groupBy("scene_id", "i", "j").agg(F.min("lat").alias("lat0"), F.max("lat").alias("lat1"), F.min("lon").alias("lon0"), F.max("lon").alias("lon1"))]
+    for _ in range(1, LEVELS):
+        up = out[-1].withColumns({"i": F.floor(F.col("i") / FINER).cast("int"), "j": F.floor(F.col("j") / FINER).cast("int")})
+        out.append(up.groupBy("scene_id", "i", "j").agg(F.min("lat0").alias("lat0"), F.max("lat1").alias("lat1"), F.min("lon0").alias("lon0"), F.max("lon1").alias("lon1")))
+    return [df.withColumns({"pi": F.floor(F.col("i") / FINER).cast("int"), "pj": F.floor(F.col("j") / FINER).cast("int")}) for df in out]
 
 
 def nearest_pixel(points: DataFrame, nav: DataFrame) -> DataFrame:
     """(pid, scene_id, y, x) of the pixel nearest to each point, by squared degrees; ties to the first.
 
-    points(pid, plat, plon) may be many: each place is held once against the boxes of its scene's
-    large cells, those that can be nearest against the small cells in them, and those against their
-    pixels.  A point without coordinates, or a scene without a navigated pixel, gives no row.
+    points(pid, plat, plon) may be many, and scenes large.  A place descends a pyramid of cells of each scene: it is
+    held against the few cells as wide as half the globe, and those that can be nearest are joined, by
+    equality, with the cells in them, level by level down to cells of a few pixels and to these.  Of each
+    level a few cells stay, so rows grow with places x scenes, not with the pixels.  A point without
+    coordinates, or a scene without a navigated pixel, gives no row.
     """
     small = lambda c: F.floor(F.col(c) / LEAF).cast("int")
     # as a generated column a position is computed once a pixel and its filter stays here; else both
     # would be pushed through the grouping that made the pixels, into each row of the source
     seen = nav.select(*KEYS, F.explode(F.array(F.struct("lat", "lon"))).alias("p")).select(*KEYS, "p.lat", "p.lon")
     pixels = seen.where("lat is not null and lon is not null").select(*KEYS, "lat", "lon", small("lat").alias("i"), small("lon").alias("j"))
-    box = [f(F.col(c)).alias(n) for c, f, n in (("lat", F.min, "lat0"), ("lat", F.max, "lat1"), ("lon", F.min, "lon0"), ("lon", F.max, "lon1"))]
-    leaves = pixels.groupBy("scene_id", "i", "j").agg(*box).withColumns({"bi": F.floor(F.col("i") / FINER), "bj": F.floor(F.col("j") / FINER)})
-    large = leaves.groupBy("scene_id", "bi", "bj").agg(F.min("lat0").alias("lat0"), F.max("lat1").alias("lat1"), F.min("lon0").alias("lon0"), F.max("lon1").alias("lon1"))
+    *finer, widest = _boxes(pixels)
     places = points.where("plat is not null and plon is not null").select(F.col("plat").cast("double").alias("plat"), F.col("plon").cast("double").alias("plon"))
     pairs = places.distinct().withColumn("salt", F.pmod(F.hash("plat", "plon"), F.lit(SALTS)))
-    salted = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    around = _nearer(pairs, salted, ["salt"], ["bi", "bj"])
-    close = _nearer(around, leaves, ["scene_id", "bi", "bj"], ["i", "j"])
+    around = _nearer(pairs, widest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["salt"])
+    for boxes in reversed(finer):
+        around = _nearer(around.select("plat", "plon", "scene_id", F.col("i").alias("pi"), F.col("j").alias("pj")), boxes, ["scene_id", "pi", "pj"])
     dlon = _wrapped(F.col("lon"), F.col("plon"))
     d = (F.col("lat") - F.col("plat")) * (F.col("lat") - F.col("plat")) + dlon * dlon
-    nearest = lambda *keys: lambda df, v: df.groupBy(*keys).agg(F.min(v).alias("m"))
-    found = nearest("plat", "plon", "scene_id")(close.join(pixels, ["scene_id", "i", "j"]), F.struct(d.alias("d"), "y", "x"))
+    found = around.join(pixels, ["scene_id", "i", "j"]).groupBy("plat", "plon", "scene_id").agg(F.min(F.struct(d.alias("d"), "y", "x")).alias("m"))
     named = points.select("pid", F.col("plat").cast("double").alias("plat"), F.col("plon").cast("double").alias("plon"))
-    near = nearest("pid", "scene_id")(named.join(found, ["plat", "plon"]), F.col("m"))
+    near = named.join(found, ["plat", "plon"]).groupBy("pid", "scene_id").agg(F.min("m").alias("m"))
     return near.select("pid", "scene_id", F.col("m.y").alias("y"), F.col("m.x").alias("x"))
 
 

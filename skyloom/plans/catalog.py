@@ -217,16 +217,16 @@ def a9(spark, sf):
     return names.find_clips(clip_csv(spark, sf), keys)
 
 
-@query("a22_product_type", """WITH c AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'gray' WHEN 1 THEN 'pseudocolor' WHEN 2 THEN 'info' ELSE 'rgb' END AS command, CASE o_orderkey % 6 WHEN 0 THEN 'ash' WHEN 1 THEN 'truecolor' WHEN 2 THEN 'composite' WHEN 3 THEN '' WHEN 4 THEN 'night' END AS mode FROM orders)
- SELECT o_orderkey, CASE WHEN command = 'pseudocolor' THEN 'pseudo' WHEN command <> 'rgb' THEN command WHEN mode IN ('ash', 'night') THEN mode ELSE 'rgb' END AS type FROM c""")
+@query("a22_product_type", """WITH c AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'gray' WHEN 1 THEN 'pseudocolor' WHEN 2 THEN 'info' WHEN 3 THEN '' ELSE 'rgb' END AS command, CASE o_orderkey % 6 WHEN 0 THEN 'ash' WHEN 1 THEN 'truecolor' WHEN 2 THEN 'composite' WHEN 3 THEN '' WHEN 4 THEN 'night' END AS mode FROM orders)
+ SELECT o_orderkey, CASE WHEN command = 'pseudocolor' THEN 'pseudo' WHEN command = '' THEN 'output' WHEN command <> 'rgb' THEN command WHEN mode IN ('ash', 'night') THEN mode ELSE 'rgb' END AS type FROM c""")
 def a22_type(spark, sf):
     k = F.col("o_orderkey")
-    command = F.when(k % 5 == 0, "gray").when(k % 5 == 1, "pseudocolor").when(k % 5 == 2, "info").otherwise("rgb")
+    command = F.when(k % 5 == 0, "gray").when(k % 5 == 1, "pseudocolor").when(k % 5 == 2, "info").when(k % 5 == 3, "").otherwise("rgb")
     mode = F.when(k % 6 == 0, "ash").when(k % 6 == 1, "truecolor").when(k % 6 == 2, "composite").when(k % 6 == 3, "").when(k % 6 == 4, "night")
     return grids.table(spark, sf, "orders").select("o_orderkey", names.product_type(command, mode).alias("type"))
 
 
-_LINE = """lines AS (SELECT 'f' || CAST(p_partkey // 8 AS VARCHAR) AS file, CAST(p_partkey % 8 AS INT) AS n, CASE WHEN p_partkey % 8 = 0 THEN '# UNIT = K' WHEN p_partkey % 8 = 7 THEN 'N 1 2 ' || CAST(p_size AS VARCHAR)
+_LINE = """lines AS (SELECT 'f' || CAST(p_partkey // 8 AS VARCHAR) AS file, CAST(p_partkey % 8 AS INT) AS n, CASE WHEN p_partkey % 8 = 0 THEN '# UNIT = K kelvin' WHEN p_partkey % 8 = 7 THEN 'N 1 2 ' || CAST(p_size AS VARCHAR)
  WHEN (p_partkey // 8) % 2 = 0 THEN CAST(p_partkey % 8 AS VARCHAR) || ' ' || CAST(p_partkey % 256 AS VARCHAR) || ' ' || CAST(p_size AS VARCHAR) || ' 9 ; label'
  ELSE CAST(p_partkey % 8 AS VARCHAR) || ' 10 20 ' || CAST(p_size AS VARCHAR) || ' ' || CAST(p_partkey % 8 + 1 AS VARCHAR) || ' 30 40 50' END AS line FROM part)"""
 
@@ -235,7 +235,7 @@ def colour_lines(spark, sf):
     k, size = F.col("p_partkey"), F.col("p_size").cast("string")
     text = lambda c: c.cast("string")
     line = (
-        F.when(k % 8 == 0, "# UNIT = K").when(k % 8 == 7, F.concat(F.lit("N 1 2 "), size))
+        F.when(k % 8 == 0, "# UNIT = K kelvin").when(k % 8 == 7, F.concat(F.lit("N 1 2 "), size))
         .when(F.expr("(p_partkey div 8) % 2") == 0, F.concat(text(k % 8), F.lit(" "), text(k % 256), F.lit(" "), size, F.lit(" 9 ; label")))
         .otherwise(F.concat(text(k % 8), F.lit(" 10 20 "), size, F.lit(" "), text(k % 8 + 1), F.lit(" 30 40 50")))
     )
@@ -311,18 +311,45 @@ def a13(spark, sf):
     return grids.table(spark, sf, "part").select("p_partkey", names.resolution_km(text).alias("km"), F.round(gt[0], 6).alias("x0"), F.round(gt[3], 6).alias("y0"))
 
 
-@query("a22_automatic_name", f"""{PARSED} SELECT p.name AS source, 'sky_' || CASE WHEN satellite = 'unknown' THEN 'GXX' ELSE satellite END || CASE WHEN sector <> 'unknown' THEN '_' || sector ELSE '' END || '_' || coalesce(strftime(start_ts, '%Y%j_%H%M'), 'NA') || '_gray_' || channel
- || CASE WHEN length(stamp) > 0 AND CAST(right(stamp, 1) AS INT) % 2 = 0 THEN '_inv__g1p5__geo' ELSE '_histo__clip' END || '.png' AS name FROM p""")
+_DIGIT = "CAST(nullif(right(stamp, 1), '') AS INT)"
+
+
+def digit():
+    """The last digit of a scene's stamp, NULL without one: what the options of these queries hang on."""
+    return F.right(F.col("stamp"), F.lit(1)).try_cast("int")
+
+
+@query("a22_automatic_name", f"""{PARSED}, o AS (SELECT *, {_DIGIT} AS d FROM p), c AS (SELECT *, CASE d % 5 WHEN 0 THEN 'gray' WHEN 1 THEN 'pseudocolor' WHEN 2 THEN 'info' WHEN 3 THEN '' WHEN 4 THEN 'rgb' END AS command, ['ash', 'truecolor', 'composite', '', 'night', 'so2', NULL][d % 7 + 1] AS mode FROM o)
+ SELECT name AS source, 'sky_' || CASE WHEN satellite = 'unknown' THEN 'GXX' ELSE satellite END || CASE WHEN sector <> 'unknown' THEN '_' || sector ELSE '' END || '_' || coalesce(strftime(start_ts, '%Y%j_%H%M'), 'NA') || '_'
+ || CASE WHEN command IS NULL OR command = '' THEN 'output_' || channel WHEN command = 'rgb' THEN CASE WHEN mode IN ('ash', 'night', 'so2') THEN mode ELSE 'rgb' END WHEN command = 'pseudocolor' THEN 'pseudo_' || channel ELSE command || '_' || channel END
+ || CASE WHEN d % 3 = 0 THEN '_inv__g1p5__geo' WHEN d % 3 = 1 THEN '' ELSE '_histo__clip' END || '.png' AS name FROM c""")
 def a22(spark, sf):
-    even = F.coalesce(F.expr("cast(right(stamp, 1) as int) % 2 = 0"), F.lit(False))
-    df = parsed(spark, sf).withColumns({"source": F.col("name"), "type": F.lit("gray"), "band_name": F.col("channel"), "invert": even, "rayleigh": F.lit(False), "histogram": ~even, "clahe": F.lit(False), "gamma": F.when(even, 1.5).otherwise(1.0), "clip": ~even, "stretch": F.lit(False), "geo": even})
+    d = digit()
+    one, none = F.coalesce(d % 3 == 0, F.lit(False)), F.coalesce(d % 3 == 1, F.lit(False))
+    other = ~one & ~none
+    command = F.when(d % 5 == 0, "gray").when(d % 5 == 1, "pseudocolor").when(d % 5 == 2, "info").when(d % 5 == 3, "").when(d % 5 == 4, "rgb")
+    mode = F.when(d % 7 == 0, "ash").when(d % 7 == 1, "truecolor").when(d % 7 == 2, "composite").when(d % 7 == 3, "").when(d % 7 == 4, "night").when(d % 7 == 5, "so2")
+    df = parsed(spark, sf).withColumns({"source": F.col("name"), "command": command, "mode": mode, "band_name": F.col("channel"), "invert": one, "rayleigh": F.lit(False), "histogram": other, "clahe": F.lit(False), "gamma": F.when(one, 1.5).otherwise(1.0), "clip": other, "stretch": F.lit(False), "geo": one})
     return names.automatic_name(df, ".png").select("source", "name")
 
 
-@query("a23_name_template", f"""{PARSED} SELECT name, CASE WHEN start_ts IS NULL THEN '{{SAT}}_{{YYYY}}{{MM}}{{DD}}_{{JJJ}}_{{hh}}{{mm}}{{ss}}_{{CH}}_{{SECTOR}}_{{OPS}}'
- ELSE satellite || '_' || strftime(start_ts, '%Y%m%d_%j_%H%M') || substr(stamp, 12, 2) || '_' || channel || '_' || sector || '_{{OPS}}' END AS output FROM p""")
+@query("a23_name_template", f"""{PARSED}, g AS (SELECT *, split_part(substr(name, strpos(name, '_G') + 2), '_', 1) AS tail FROM p) SELECT name, CASE WHEN stamp IS NULL THEN '{{SAT}}_{{YYYY}}{{MM}}{{DD}}_{{JJJ}}_{{hh}}{{mm}}{{ss}}_{{CH}}_{{SECTOR}}_{{PROD}}_{{OPS}}'
+ ELSE CASE WHEN contains(name, '_G') THEN 'G' || substr(tail, 1, 2) ELSE 'GXX' END || '_' || strftime(start_ts, '%Y%m%d_%j_%H%M') || substr(stamp, 12, 2) || '_' || channel || '_' || CASE WHEN sector = 'unknown' THEN '' ELSE sector END || '_' || CASE WHEN channel = 'C01' THEN '' ELSE 'L-' || channel END || '_{{OPS}}' END AS output FROM g""")
 def a23(spark, sf):
-    return names.expand_template("{SAT}_{YYYY}{MM}{DD}_{JJJ}_{hh}{mm}{ss}_{CH}_{SECTOR}_{OPS}", parsed(spark, sf)).select("name", "output")
+    label = F.when(F.col("channel") != "C01", F.concat(F.lit("L-"), "channel"))
+    return names.expand_template("{SAT}_{YYYY}{MM}{DD}_{JJJ}_{hh}{mm}{ss}_{CH}_{SECTOR}_{PROD}_{OPS}", parsed(spark, sf), label=label).select("name", "output")
+
+
+@query("a10_clip_file", """WITH c AS (SELECT CASE WHEN s_suppkey % 11 = 3 THEN 'enclave' || CAST(s_suppkey AS VARCHAR) WHEN s_suppkey % 13 = 5 THEN 'key' WHEN s_suppkey % 17 = 6 THEN 'clave' ELSE 'k' || CAST(s_suppkey AS VARCHAR) END AS key, s_name AS region, s_suppkey % 40 - 130.5::DOUBLE AS ul_x,
+ CASE WHEN s_suppkey % 7 <> 3 THEN 40.25::DOUBLE - s_suppkey % 20 END AS ul_y, s_suppkey % 70 - 110.0::DOUBLE AS lr_x, -10.0::DOUBLE - s_suppkey % 15 AS lr_y FROM supplier) SELECT *, ul_y IS NOT NULL AS usable FROM c""")
+def a10_file(spark, sf):
+    k = F.col("s_suppkey")
+    text = lambda c: c.cast("string")
+    key = F.when(k % 11 == 3, F.concat(F.lit("enclave"), text(k))).when(k % 13 == 5, "key").when(k % 17 == 6, "clave").otherwise(F.concat(F.lit("k"), text(k)))
+    fields = [key, F.col("s_name"), text(k % 40 - F.lit(130.5)), F.when(k % 7 != 3, text(F.lit(40.25) - k % 20)).otherwise("north"), text(k % 70 - F.lit(110.0)), text(F.lit(-10.0) - k % 15)]
+    suppliers = grids.table(spark, sf, "supplier")
+    head = suppliers.agg(F.lit(0).cast("long").alias("n"), F.lit("clave,region,ul_x,ul_y,lr_x,lr_y").alias("line"))
+    return names.list_clips(names.clip_table(head.unionByName(suppliers.select(k.cast("long").alias("n"), F.concat_ws(",", *fields).alias("line")))))
 
 
 @query("a24_a25_suffix_label", f"{NAMES} SELECT name, regexp_replace(name, '\\.nc$', '') || '_geo.tif' AS geo, split_part(name, '-', 1) AS short, CASE WHEN contains(name, '-') THEN substr(name, length(split_part(name, '-', 1)) + 2) ELSE name END AS long FROM f")
@@ -453,7 +480,7 @@ def e2(spark, sf):
 
 @query("e3_plain_grid", f"{WIDE} SELECT scene_id, y, x, round(40 - y / 31.0::DOUBLE * 60, 6) AS lat, round(-120 + x / 31.0::DOUBLE * 80, 6) AS lon FROM w")
 def e3(spark, sf):
-    return every(spark, sf).select(*KEYS, F.round(F.lit(40.0) - F.col("y") / F.lit(31.0) * 60, 6).alias("lat"), F.round(F.lit(-120.0) + F.col("x") / F.lit(31.0) * 80, 6).alias("lon"))
+    return G.plain_grid(every(spark, sf), grids.SIDE, grids.SIDE, -20.0, 40.0, -120.0, -40.0).select(*KEYS, *r6("lat", "lon"))
 
 
 @query("e4_ephemeris", f"WITH {EPH} SELECT scene_id, round(sd, 6) AS sun_sd, round(cd, 6) AS sun_cd, round(ha, 6) AS sun_ha FROM eph")
@@ -829,9 +856,6 @@ def places(spark, sf):
     return grids.table(spark, sf, "supplier").select("s_suppkey", k.cast("string").alias("pid"), (k % 81 - F.lit(40.0)).alias("plat"), (-k % 120 - F.lit(15.0)).alias("plon"))
 
 
-QUERIES["c9_nearest_pixel_all"] = c9  # an earlier name
-
-
 _BOX = f"""{CLIPS_SQL}, c5 AS (SELECT * FROM cl WHERE ul_y IS NOT NULL), ep AS (SELECT key, s / 20.0::DOUBLE AS t, e, ul_x, ul_y, lr_x, lr_y FROM c5, range(0, 21) a(s), range(0, 4) b(e)),
  pt AS (SELECT key, t, e, CASE e WHEN 0 THEN ul_y WHEN 1 THEN lr_y ELSE lr_y + t * (ul_y - lr_y) END AS plat, CASE e WHEN 2 THEN ul_x WHEN 3 THEN lr_x ELSE ul_x + t * (lr_x - ul_x) END AS plon FROM ep),
  dd AS (SELECT key, t, e, scene_id, y, x, (lat - plat) * (lat - plat) + (CASE WHEN abs(lon - plon) > 180 THEN 360 - abs(lon - plon) ELSE abs(lon - plon) END) * (CASE WHEN abs(lon - plon) > 180 THEN 360 - abs(lon - plon) ELSE abs(lon - plon) END) AS d2 FROM nav, pt WHERE lat IS NOT NULL),
@@ -849,9 +873,6 @@ def g9(spark, sf):
     return spatial.clip_native(every(spark, sf), navigated(spark, sf), clips(spark, sf)).select("key", *KEYS, *r6("c13"))
 
 
-QUERIES |= {"g8_bounding_box_all": g8, "g9_clip_native_all": g9}  # earlier names
-
-
 def extent(spark, sf):
     """Rows for ``spatial.plan`` of each scene: the whole disk's extent is clipped to the Americas."""
     bounds = navigated(spark, sf).groupBy("scene_id").agg(F.min("lat").alias("lat_min"), F.max("lat").alias("lat_max"), F.min("lon").alias("lon_min"), F.max("lon").alias("lon_max"))
@@ -922,24 +943,69 @@ def a16(spark, sf):
     return products.alpha_by_index(every(spark, sf).select(*KEYS, P.quantise_channel(F.col("c02"), 0.0, 1.0).alias("v"), P.validity(F.col("c01")).alias("a")))
 
 
-@query("a18_tags", f"""{PARSED} SELECT name, concat_ws(';', 'datetime=' || strftime(start_ts, '%Y:%m:%d %H:%M:%S'), 'product=' || variable, 'satellite=' || satellite, 'scan_time=' || strftime(start_ts, '%Y-%m-%dT%H:%M:%SZ'), 'sector=' || sector, 'tool=skyloom') AS tags FROM p""")
+@query("a16_stored_palette", f"""{WIDE}, i AS (SELECT scene_id, {_q('c02', 0, 1)} AS v, CASE WHEN c01 IS NULL THEN 0 ELSE 255 END AS a FROM w), {_RAINBOW}, z AS (SELECT max(idx) AS top FROM rb),
+ e AS (SELECT CAST(unnest(range(0, CASE WHEN top < 2 THEN 2 WHEN top < 4 THEN 4 WHEN top < 16 THEN 16 ELSE 256 END)) AS INT) AS idx, top FROM z)
+ SELECT s.scene_id, e.idx, r, g, b, CAST(coalesce(m.a, 255) AS INT) AS a FROM e JOIN rb ON rb.idx = least(e.idx, top) CROSS JOIN (SELECT DISTINCT scene_id FROM i) s LEFT JOIN (SELECT scene_id, v, min(a) AS a FROM i GROUP BY ALL) m ON m.scene_id = s.scene_id AND m.v = e.idx""")
+def a16_palette(spark, sf):
+    image = every(spark, sf).select(*KEYS, P.quantise_channel(F.col("c02"), 0.0, 1.0).alias("v"), P.validity(F.col("c01")).alias("a"))
+    return products.stored_palette(rainbow_table(spark, sf), image)
+
+
+_UNKNOWN = "CASE WHEN sector <> 'unknown' THEN sector END"
+
+
+@query("a18_tags", f"""{PARSED} SELECT name, concat_ws(';', 'datetime=' || strftime(start_ts, '%Y:%m:%d %H:%M:%S'), 'product=' || variable, 'satellite=' || satellite, 'scan_time=' || strftime(start_ts, '%Y-%m-%dT%H:%M:%SZ'), 'sector=' || {_UNKNOWN}, 'tool=skyloom') AS tags FROM p""")
 def a18(spark, sf):
     df = parsed(spark, sf).withColumns({"band": F.lit(None).cast("int"), "product": F.col("variable")})
+    return df.select("name", tag_text(df))
+
+
+def tag_text(df):
     pairs = F.array_sort(F.map_entries(names.tags(df)))
-    return df.select("name", F.array_join(F.transform(pairs, lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("tags"))
+    return F.array_join(F.transform(pairs, lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("tags")
+
+
+@query("a18_colormap_tags", f"""{PARSED}, o AS (SELECT *, {_DIGIT} AS d, CAST(substr(channel, 2, 2) AS INT) AS b FROM p),
+ v AS (SELECT *, [NULL, 1e-7, 1e6, 123456.5, 250, -0.000123456, 0, 1.5, 999999.5, -2.5e-5][d + 1] AS lo, [1e20, 3, 0.1, 100000, NULL, 99.25, 65536, 1234567.0, 0.3, 17.25][d + 1]::DOUBLE + b AS hi, CASE WHEN d <> 7 THEN 2 + d * b END AS size, ['K', '', NULL][d % 3 + 1] AS units FROM o)
+ SELECT name, concat_ws(';', CASE WHEN b BETWEEN 1 AND 16 THEN 'band=' || channel END, CASE WHEN size IS NOT NULL THEN 'colormap_max=' || printf('%.6g', hi) END, CASE WHEN size IS NOT NULL THEN 'colormap_min=' || printf('%.6g', lo::DOUBLE) END, 'colormap_size=' || size,
+ CASE WHEN size IS NOT NULL THEN 'colormap_units=' || nullif(units, '') END, 'satellite=' || satellite, 'sector=' || {_UNKNOWN}, 'tool=skyloom') AS tags FROM v""")
+def a18_colormap(spark, sf):
+    d, b = digit(), F.substring("channel", 2, 2).cast("int")
+    pick = lambda *values: F.try_element_at(F.array(*[F.lit(v).cast("double") for v in values]), d + 1)
+    low = pick(None, 1e-7, 1e6, 123456.5, 250, -0.000123456, 0, 1.5, 999999.5, -2.5e-5)
+    high = pick(1e20, 3, 0.1, 100000, None, 99.25, 65536, 1234567.0, 0.3, 17.25) + b
+    units = F.when(d % 3 == 0, "K").when(d % 3 == 1, "")
+    df = parsed(spark, sf).withColumns({"band": b, "product": F.lit(None).cast("string"), "start_ts": F.lit(None).cast("timestamp"), "colormap_min": low, "colormap_max": high, "colormap_size": F.when(d != 7, 2 + d * b), "colormap_units": units})
+    return df.select("name", tag_text(df))
 
 
 @query("a20_a21_sidecar", f"""{PX}, m AS (SELECT scene_id, band, min(value) AS lo, max(value) AS hi FROM px GROUP BY ALL)
- SELECT scene_id, string_agg('C' || lpad(CAST(band AS VARCHAR), 2, '0') || ' ' || CASE WHEN band >= 7 THEN 'brightness_temperature K' ELSE 'reflectance 1' END, ';' ORDER BY band) AS channels, round(sum(lo), 6) AS lows, round(sum(hi), 6) AS highs FROM m GROUP BY 1""")
+ SELECT scene_id, string_agg('C' || lpad(CAST(band AS VARCHAR), 2, '0') || ' ' || CASE WHEN band >= 7 THEN 'brightness_temperature K' ELSE 'reflectance unitless' END, ';' ORDER BY band) AS channels, round(sum(lo), 6) AS lows, round(sum(hi), 6) AS highs FROM m GROUP BY 1""")
 def a20(spark, sf):
-    meta = names.channel_metadata(measure.grid_stats(pixels(spark, sf), "scene_id", "band")).withColumn("crs", F.lit(None).cast("string"))
+    meta = names.channel_metadata(measure.grid_stats(pixels(spark, sf), "scene_id", "band"))
     docs = meta.select("scene_id", names.sidecar(meta).alias("json"))
-    fact = "band: int, name: string, quantity: string, min: double, max: double, unit: string"
-    back = docs.withColumn("c", F.from_json("json", f"scene_id string, channels array<struct<{fact}>>")["channels"])
+    fact = "name: string, quantity: string, min: double, max: double, unit: string"
+    back = docs.withColumn("c", F.from_json("json", f"channels array<struct<{fact}>>")["channels"])
     total = lambda part: F.round(F.aggregate(F.transform("c", lambda x: x[part]), F.lit(0.0), lambda a, b: a + b), 6)
     return back.select("scene_id", F.array_join(F.transform("c", lambda x: F.concat_ws(" ", x["name"], x["quantity"], x["unit"])), ";").alias("channels"), total("min").alias("lows"), total("max").alias("highs"))
 
 
+@query("a20_sidecar_document", f"""{PARSED}, o AS (SELECT *, {_DIGIT} AS d, CAST(substr(channel, 2, 2) AS INT) AS band FROM p),
+ q AS (SELECT *, CASE d % 4 WHEN 0 THEN 'gray' WHEN 1 THEN 'rgb' WHEN 2 THEN '' END AS command, CASE WHEN d % 3 = 0 THEN 'geostationary' END AS crs, CASE WHEN d % 2 = 0 THEN '[' || CAST(d - 10.5::DOUBLE AS VARCHAR) || ',5.25,' || CAST(d + 10.5::DOUBLE AS VARCHAR) || ',20.0]' END AS box,
+   CASE WHEN band BETWEEN 1 AND 16 THEN channel ELSE variable END AS ch, concat_ws(',', CASE WHEN d IN (1, 2) THEN '"gamma":1.5' END, CASE WHEN d % 2 = 0 THEN '"invert":' || CAST(d = 4 AS VARCHAR) END, CASE WHEN d = 3 THEN '"mode":"ash"' END, CASE WHEN d < 6 THEN '"tiles":' || d END) AS extra FROM o)
+ SELECT name, '{{"tool":"skyloom","version":"3","satellite":"' || satellite || '"' || coalesce(',"sector":"' || {_UNKNOWN} || '"', '') || coalesce(',"timestamp":"' || strftime(start_ts, '%Y-%m-%dT%H:%M:00Z') || '"', '') || coalesce(',"product":"' || variable || '"', '') || coalesce(',"command":"' || nullif(command, '') || '"', '')
+ || coalesce(',"crs":"' || crs || '"', '') || coalesce(',"bounds":' || box || ',"geometry":{{"projection":"' || coalesce(crs, '') || '","bbox":' || box || '}}', '')
+ || coalesce(',"channels":[{{"name":"' || ch || '","quantity":"' || CASE WHEN variable = 'Phase' THEN 'raw_counts' WHEN band >= 7 THEN 'brightness_temperature' ELSE 'reflectance' END || '","min":' || CAST(band / 2.0::DOUBLE AS VARCHAR) || ',"max":' || CAST(band + 0.25::DOUBLE AS VARCHAR)
+   || CASE WHEN variable = 'Phase' THEN '' WHEN band >= 7 THEN ',"unit":"K"' ELSE ',"unit":"unitless"' END || '}}]', '') || CASE WHEN extra <> '' THEN ',"enhancements":{{' || extra || '}}' ELSE '' END || '}}' AS document FROM q""")
+def a20_document(spark, sf):
+    d, b = digit(), F.substring("channel", 2, 2).cast("int")
+    command = F.when(d % 4 == 0, "gray").when(d % 4 == 1, "rgb").when(d % 4 == 2, "")
+    fact = names.channel_fact(b, b / F.lit(2.0), b + F.lit(0.25), F.col("variable"), F.col("variable") == "Phase")
+    df = parsed(spark, sf).withColumns({"product": F.col("variable"), "command": command, "crs": F.when(d % 3 == 0, "geostationary"), "bounds": F.when(d % 2 == 0, F.array(d - F.lit(10.5), F.lit(5.25), d + F.lit(10.5), F.lit(20.0))), "channels": F.filter(F.array(fact), lambda x: x["name"].isNotNull())})
+    df = df.withColumns({"gamma": F.when(d.isin(1, 2), 1.5), "invert": F.when(d % 2 == 0, d == 4), "mode": F.when(d == 3, "ash"), "tiles": F.when(d < 6, d)})
+    return df.select("name", names.sidecar(df, ("gamma", "invert", "mode", "tiles")).alias("document"))
+
+
 @query("a17_georeferences", f"{WIDE}, {_RGB} SELECT scene_id, CAST(max(y) + 1 AS INT) AS height, CAST(max(x) + 1 AS INT) AS width, -0.16::DOUBLE AS gt0, 0.01::DOUBLE AS gt1, 0.0::DOUBLE AS gt2, 0.16::DOUBLE AS gt3, 0.0::DOUBLE AS gt4, -0.01::DOUBLE AS gt5, 'geostationary' AS crs, CAST(3 AS INT) AS channels, CAST(0 AS INT) AS nodata FROM i GROUP BY 1")
 def a17(spark, sf):
     df = extent(spark, sf).select("scene_id", F.col("gt").alias("transform"), spatial.crs_label(F.lit("unknown"), F.lit(False)).alias("crs"))
@@ -956,6 +1022,28 @@ def f3(spark, sf):
     return atmosphere.table_is_complete(lut, axes)
 
 
+_TABLES = """hd AS (SELECT CAST(p_partkey AS BIGINT) AS table_id, CAST(p_partkey % 5 AS INT) AS channel, p_partkey // 5 % 9 AS kind FROM part),
+ va AS (SELECT table_id, place, CASE WHEN place = 5 AND kind = 6 THEN 'NaN'::DOUBLE ELSE table_id / 4.0::DOUBLE + place END AS value FROM (SELECT *, unnest(range(0, CASE kind WHEN 4 THEN 11 WHEN 5 THEN 13 ELSE 12 END)) AS place FROM hd))"""
+
+
+@query("f3_table_reader", f"""WITH {_TABLES}, f AS (SELECT *, CASE WHEN channel NOT BETWEEN 1 AND 3 THEN 'channel' WHEN kind IN (1, 2, 3) THEN 'axes' WHEN kind IN (4, 5) THEN 'size' WHEN kind = 6 THEN 'value' WHEN kind = 7 THEN 'place' END AS fault FROM hd)
+ SELECT table_id, channel, fault, CAST(NULL AS INT) AS i_s, CAST(NULL AS INT) AS i_v, CAST(NULL AS INT) AS i_a, CAST(NULL AS DOUBLE) AS value FROM f WHERE fault IS NOT NULL
+ UNION ALL SELECT table_id, channel, fault, CAST(place // 6 AS INT), CAST(place // 2 % 3 AS INT), CAST(place % 2 AS INT), value FROM f JOIN va USING (table_id) WHERE fault IS NULL""")
+def f3_reader(spark, sf):
+    return atmosphere.read_table(*stored_tables(spark, sf)).select("table_id", "channel", "fault", "lut.*")
+
+
+def stored_tables(spark, sf):
+    """Tables that parts stand for, good ones and ones with each fault."""
+    k = F.col("p_partkey").cast("long")
+    rows = grids.table(spark, sf, "part").select(k.alias("table_id"), (k % 5).cast("int").alias("channel"), F.expr("p_partkey div 5 % 9").alias("kind"))
+    kind = F.col("kind")
+    headers = rows.select("table_id", "channel", F.when(kind == 1, 0).when(kind == 2, 1001).otherwise(2).alias("n_s"), F.lit(3).alias("n_v"), F.when(kind != 3, 2).alias("n_a"))
+    values = rows.withColumn("place", F.explode(F.sequence(F.lit(0), F.when(kind == 4, 10).when(kind == 5, 12).otherwise(11))))
+    value = F.when((F.col("place") == 5) & (kind == 6), F.lit(float("nan"))).otherwise(F.col("table_id") / F.lit(4.0) + F.col("place"))
+    return headers, values.select("table_id", F.when((kind == 7) & (F.col("place") == 3), 4).otherwise(F.col("place")).alias("place"), value.alias("value"))
+
+
 ORACLE["p7_daynite"] = f"""{WIDE}, {VIEW}, {_DAY}, dc AS (SELECT scene_id, y, x, {_q('(' + _stretch_sql('rr') + ')', 0, 1)} AS r, {_q('(' + _stretch_sql('(bb * 0.465 + rr * 0.465 + n0 * 0.07)') + ')', 0, 1)} AS g, {_q('(' + _stretch_sql('bb') + ')', 0, 1)} AS b FROM day),
  {_NIGHT}, nc AS (SELECT nq.scene_id, nq.y, nq.x, {_NIGHT_RGB} FROM nq LEFT JOIN tb ON nq.t = tb.idx LEFT JOIN li ON nq.scene_id = li.scene_id AND nq.y = li.y AND nq.x = li.x), {_MASK.replace('c13 < 200', 'c13 < 263.15')},
  sh AS (SELECT scene_id, CASE WHEN count(*) FILTER (wt >= 0.5) = 0 THEN 100 ELSE 100.0::DOUBLE * count(*) FILTER (wt < 0.5) / count(*) END AS share FROM mk GROUP BY 1)

@@ -239,7 +239,7 @@ def test_all_points_and_clips(spark):
     sf = "/root/testdata/sf0.01"  # 100 suppliers
     nav = arrays(catalog.navigated(spark, sf))
     points = [(r.pid, r.plat, r.plon) for r in catalog.places(spark, sf).collect()]
-    got = {(r.pid, r.scene_id): (r.y, r.x) for r in catalog.QUERIES["c9_nearest_pixel_all"](spark, sf).collect()}
+    got = {(r.pid, r.scene_id): (r.y, r.x) for r in catalog.QUERIES["c9_nearest_pixel"](spark, sf).collect()}
     assert len(got) == len(points) * len(nav) and got == brute_nearest(points, nav)
     clips = [r for r in catalog.clips(spark, sf).collect() if r.ul_y is not None]
     edges = [((c.key, s, e), p, q) for c in clips for s in range(21) for e, (p, q) in enumerate([(c.ul_y, c.ul_x + s / 20 * (c.lr_x - c.ul_x)), (c.lr_y, c.ul_x + s / 20 * (c.lr_x - c.ul_x)), (c.lr_y + s / 20 * (c.ul_y - c.lr_y), c.ul_x), (c.lr_y + s / 20 * (c.ul_y - c.lr_y), c.lr_x)])]
@@ -247,10 +247,10 @@ def test_all_points_and_clips(spark):
     for (pid, scene), at in brute_nearest(edges, nav).items():
         hits.setdefault((pid[0], scene), []).append(at)
     want = {k: (min(y for y, _ in v), min(x for _, x in v), max(y for y, _ in v) - min(y for y, _ in v) + 1, max(x for _, x in v) - min(x for _, x in v) + 1) for k, v in hits.items()}
-    assert {(r.key, r.scene_id): (r.y0, r.x0, r.height, r.width) for r in catalog.QUERIES["g8_bounding_box_all"](spark, sf).collect()} == want
+    assert {(r.key, r.scene_id): (r.y0, r.x0, r.height, r.width) for r in catalog.QUERIES["g8_bounding_box"](spark, sf).collect()} == want
     cells = {(r.scene_id, r.y, r.x) for r in catalog.every(spark, sf).collect()}
     windows = sorted((k, s, y, x) for (k, s), (y0, x0, h, w) in want.items() for y in range(h) for x in range(w) if (s, y + y0, x + x0) in cells)
-    assert sorted((r.key, r.scene_id, r.y, r.x) for r in catalog.QUERIES["g9_clip_native_all"](spark, sf).collect()) == windows
+    assert sorted((r.key, r.scene_id, r.y, r.x) for r in catalog.QUERIES["g9_clip_native"](spark, sf).collect()) == windows
 
 
 def test_phase_palette(spark):
