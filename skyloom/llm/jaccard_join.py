@@ -11,18 +11,22 @@ Distance is 1 - |a & b| / |a | b|, a metric; documents link within RADIUS = 1 -
 3. Pivots: the documents with one such shingle elect the smallest of them as pivot, and each is a
    member of its pivots' regions.  So all that can link meets around a pivot, and no region is
    larger than the documents that share a shingle.
-4. Regions of at most ``TILE`` documents and ``TILE_BYTES`` bytes are joined at once on whole sets,
+4. A member leaves a region that holds no other one of a size within the radius (the sizes are the
+   distances to the empty set as a pivot).  A set's shingles are also counted in classes by hash, about one for eight.  The sum of absolute differences of two
+   sets' counts is a distance that is never above the size of their symmetric difference, so a
+   member whose counts are too far from those of all others of its region leaves it, unread.
+5. Regions of at most ``TILE`` documents and ``TILE_BYTES`` bytes are joined at once on whole sets,
    told by the words of their texts: each document in turn is a pivot whose distances link what is
    within the radius and spare the pairs whose distances to it differ by more (triangle inequality).
-5. Larger regions are divided by pivots of their own into Voronoi cells; a document is also
+6. Larger regions are divided by pivots of their own into Voronoi cells; a document is also
    replicated to every cell whose pivot is at most 2 * RADIUS further than its nearest, which is
    where the triangle inequality lets partners be.  Cells whose documents all are connected already
    are done (a group of thousands of near copies ends here); the others are regions again,
    recursively.
-6. Where a division doesn't pay (unlike documents, all equally far from all pivots), the documents
+7. Where a division doesn't pay (unlike documents, all equally far from all pivots), the documents
    outside the region's largest component meet slices of all its documents: rows grow with
    (documents outside) x (slices), never as pairs.  This is exact, too.
-7. Components of the links are found in Spark and given to all documents.
+8. Components of the links are found in Spark and given to all documents.
 
 Nothing is left to chance: hashes and orders decide where documents meet, links are told by words.
 
@@ -34,6 +38,7 @@ two texts of any length are compared with each other; empty tables give empty re
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,11 +54,12 @@ from .rows import texts_of, with_row_key
 from .scratch import written
 
 BLOCK = 16 << 20  # bytes of text in which frequent shingles are looked for
-OFTEN = 8  # times a block that make a shingle frequent
+OFTEN = 3  # different texts of a block that make a shingle frequent
 LISTED = 1 << 20
 TILE, TILE_BYTES = 256, 4 << 20
 SLICE, GROUP = 1024, 256
 PIVOTS = 16
+COUNTS, COUNTED = (256, 1 << 16), 1024  # least and most classes of shingles; documents of a region whose counts are compared
 DEPTH = 4  # divisions of a region by pivots
 WINDOWS = 8  # pivots of a small region whose distances are kept
 
@@ -67,15 +73,23 @@ def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
             often = times >= OFTEN
             return pa.RecordBatch.from_arrays([pa.array(value[often].view(np.int64)), pa.array(times[often])], names=["token", "times"])
 
-        held, size = [], 0
+        held, size, seen = [], 0, set()
         for batch in batches:
             for part in W.chunks(batch):
                 w = W.split_words(part.column(0), lower=True)
-                held.append(W.shingle_hashes(w.hashes(), words))
-                size += len(w.data)
-                if size >= BLOCK:
+                h = w.hashes()
+                shingles, n = W.shingle_hashes(h, words), np.diff(w.first)
+                sums = np.concatenate([[0], np.cumsum(h)])[w.first].astype(np.uint64)  # modulo 2**64
+                new = []
+                for k, key in enumerate((sums[1:] - sums[:-1]).tolist()):
+                    if key not in seen:
+                        seen.add(key)
+                        new.append(shingles[w.first[k] : max(w.first[k], w.first[k + 1] - words + 1)])
+                held.extend(new)
+                size += 8 * int(n.sum())
+                if size >= BLOCK * 2:
                     yield found(held)
-                    held, size = [], 0
+                    held, size, seen = [], 0, set()
         if held:
             yield found(held)
 
@@ -85,13 +99,14 @@ def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def documents_sets(docs: DataFrame, words: int, num: int, den: int, listed: np.ndarray) -> DataFrame:
-    """(doc_id, rid, n_shingles, n_bytes, node, prefix, plain): the first shingles of each set, ``plain`` of them unlisted."""
+    """(doc_id, rid, n_shingles, n_bytes, node, prefix, plain, counts): the first shingles of each set, ``plain`` of them
+    unlisted, and how many it has of each class."""
     shared = docs.sparkSession.sparkContext.broadcast(listed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = shared.value
         for batch in batches:
-            sizes, digests, prefixes, plain = [], [], [], []
+            sizes, digests, prefixes, plain, counts = [], [], [], [], []
             for _, found, digest in document_sets(batch, words):
                 n = len(found)
                 take = n - -(-num * n // den) + 1 if n else 0
@@ -100,12 +115,14 @@ def documents_sets(docs: DataFrame, words: int, num: int, den: int, listed: np.n
                 sizes.append(n)
                 digests.append(digest)
                 plain.append(len(early))
+                classes = min(max(COUNTS[0], 1 << max(0, n // 8 - 1).bit_length()), COUNTS[1])
+                counts.append(np.minimum(np.bincount((found % np.uint64(classes)).astype(np.int64), minlength=classes), 255).astype(np.uint8).tobytes())
                 prefixes.append(np.concatenate([early, found[late][: take - len(early)]]).tobytes())
             n_bytes = np.diff(W.text_bytes(batch.column(2))[1])
-            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.binary()), pa.array(plain, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "rid", "n_shingles", "n_bytes", "node", "prefix", "plain"])
+            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.binary()), pa.array(plain, pa.int32()), pa.array(counts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "rid", "n_shingles", "n_bytes", "node", "prefix", "plain", "counts"])
 
-    return with_row_key(docs).mapInArrow(run, "doc_id long, rid long, n_shingles long, n_bytes long, node binary, prefix binary, plain int")
+    return with_row_key(docs).mapInArrow(run, "doc_id long, rid long, n_shingles long, n_bytes long, node binary, prefix binary, plain int, counts binary")
 
 
 def regions_of(sets: DataFrame) -> DataFrame:
@@ -149,6 +166,54 @@ def regions_of(sets: DataFrame) -> DataFrame:
     return pairs.unionByName(pairs.select("region", F.col("region").alias("id")).distinct())
 
 
+def of_like_size(members: DataFrame, num: int, den: int) -> DataFrame:
+    """(region, id, n) of members(region, id, n_shingles) whose region holds another one of a size that allows a
+    link, by classes of sizes; n: how many the region has."""
+    half = F.floor(2 * F.log(F.col("n_shingles").cast("double")) / math.log(den / num)).cast("int")  # sizes two classes apart can link
+    rows = members.select("region", "id", half.alias("half"))
+    counts = written(rows.groupBy("region", "half").agg(F.count(F.lit(1)).alias("m")), "counts")
+    around = counts.select("region", "m", F.explode(F.sequence(F.col("half") - 3, F.col("half") + 3)).alias("half"))
+    full = around.groupBy("region", "half").agg(F.sum("m").alias("m")).where("m > 1").join(counts.select("region", "half", F.col("m").alias("own")).hint("shuffle_merge"), ["region", "half"])
+    sizes = full.groupBy("region").agg(F.sum("own").alias("n"))
+    kept = rows.join(full.select("region", "half").hint("shuffle_merge"), ["region", "half"], "left_semi")
+    return written(kept.join(sizes.hint("shuffle_merge"), "region").select("region", "id", "n"), "like")
+
+
+def near_by_counts(members: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """Members' rows without those whose counts are too far from all others' of their region; regions of more
+    than COUNTED documents stay whole."""
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame | None:
+        size, alive = pdf["n_shingles"].to_numpy(), np.zeros(len(pdf), bool)
+        order = np.argsort(size, kind="stable")
+        classes = np.array([len(c) for c in pdf["counts"]])
+        count: dict[int, np.ndarray] = {}  # of the rows with so many classes or twice as many, which are added up in pairs
+        for c in np.unique(classes).tolist():
+            count[c] = np.zeros((len(pdf), c), np.int16)
+            for k in np.flatnonzero((classes == c) | (classes == 2 * c)).tolist():
+                count[c][k] = np.frombuffer(pdf["counts"].iloc[k], np.uint8).astype(np.int16).reshape(-1, c).sum(axis=0)
+        last = np.searchsorted(num * size[order], den * size[order], "right")  # sizes that allow a link
+        for i in range(len(pdf) - 1):
+            other = order[i + 1 : last[i]]
+            if len(other):
+                both = size[other] + size[order[i]]
+                own = count[classes[order[i]]]
+                most = (both - np.abs(own[other] - own[order[i]]).sum(axis=1, dtype=np.int64)) // 2  # of the intersection
+                near = other[den * most >= num * (both - most)]
+                if len(near):
+                    alive[near] = alive[order[i]] = True
+        return pdf.loc[alive, ["region", "node", "doc_id", "rid", "n_bytes"]] if alive.any() else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pdf in _by_tile(batches, work):
+            yield pa.RecordBatch.from_pandas(pdf, preserve_index=False)
+
+    few = members.where(F.col("n") <= COUNTED).join(reps.hint("shuffle_merge"), "id").withColumn("tile", F.col("region"))
+    many = members.where(F.col("n") > COUNTED).join(reps.select("id", "node", "doc_id", "rid", "n_bytes").hint("shuffle_merge"), "id")
+    near = few.drop("id", "n").repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "region long, node binary, doc_id long, rid long, n_bytes long")
+    return near.unionByName(many.select("region", "node", "doc_id", "rid", "n_bytes"))
+
+
 class _Overlaps:
     """Sizes of intersections of one set with all sets of a tile."""
 
@@ -321,9 +386,10 @@ def jaccard_join(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
     sets = written(documents_sets(docs, words, num, den, frequent_shingles(with_row_key(docs), words)), "sets")
     known = sets.where("node is not null and doc_id is not null")
     members = written(regions_of(known), "members")
-    reps = known.groupBy("node").agg(F.min(F.struct("doc_id", "rid", "n_bytes")).alias("key")).select(F.xxhash64("node").alias("id"), "node", "key.*")
-    reps = written(reps, "representatives")
-    rows = written(members.join(reps.hint("shuffle_merge"), "id").select("region", "node", "doc_id", "rid", "n_bytes"), "rows")
+    reps = known.groupBy("node").agg(F.min(F.struct("doc_id", "rid", "n_bytes")).alias("key"), F.first("n_shingles").alias("n_shingles"), F.first("counts").alias("counts"))
+    reps = written(reps.select(F.xxhash64("node").alias("id"), "node", "key.*", "n_shingles", "counts"), "representatives")
+    like = of_like_size(members.join(reps.select("id", "n_shingles").hint("shuffle_merge"), "id"), num, den)
+    rows = written(near_by_counts(like, reps, num, den), "rows")
     texts = written(texts_of(docs, rows.select("doc_id", "rid").distinct()), "texts")
     labels = components(all_links(spark, rows, texts, words, num, den))
     grouped = reps.select("node", "doc_id").join(labels.hint("shuffle_merge"), "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("label"))
