@@ -45,6 +45,7 @@ DEPTH = 100  # containers nested deeper than any page's layout count as the one
 #: HTML elements by their part in a page.
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "noembed", "xmp")
 SKIP = {"nav", "header", "footer", "aside", "menu", "dialog", "button", "select", "head", "svg", "canvas", "object", "audio", "video", "map", "label", "input"} | set(RAW)
+INLINE = {"button", "select", "svg", "canvas", "object", "audio", "video", "map", "label"}  # of these, what stands within a line
 FORMS = {"form", "fieldset"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
@@ -209,7 +210,7 @@ class Page:
                 self._flush()
             return
         if tag in CLOSES_P:
-            self._pop_to("p", {"article", "section", "div", "td", "body", "main", "blockquote", "li"})
+            self._pop_to("p", {"article", "section", "div", "td", "body", "main", "blockquote", "li"} | INLINE)
         if tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
             self._pop_to(tag, {"ul", "ol", "dl", "table", "tbody", "select"} | ({"tr"} if tag in ("td", "th") else set()))
         _, container, skipped = self._stack[-1] if self._stack else ("", -1, False)
@@ -223,7 +224,13 @@ class Page:
         deep = container >= 0 and self.containers[container][0].count(">") >= DEPTH
         if marked and deep:
             skip = True
-        if tag in BLOCK or skip != skipped or marked and not skip:
+        inline = tag not in BLOCK and tag not in FORMS and (tag not in SKIP or tag in INLINE)
+        if marked and inline and not skip and (self._part or self._stack[-1][0] in LEAF):
+            skip, marked = True, 0  # a marked part of a line goes, and the line stays one
+        if inline and skip and not skipped:
+            if self._part:
+                self._part.append(" ")
+        elif not skipped and (tag in BLOCK or skip or marked):
             self._flush()
         if not skip and (tag == "#" or (marked or tag in _CONTAINERS) and not deep):
             path = f"{self.containers[container][0]}>{name}" if container >= 0 else name
@@ -240,7 +247,8 @@ class Page:
             return
         for k in range(len(self._stack) - 1, 0, -1):
             if self._stack[k][0] == tag:
-                self._flush()
+                if not self._stack[k - 1][2]:
+                    self._flush()
                 self._cut(k)
                 return
             if self._stack[k][0] in limits:
@@ -264,7 +272,8 @@ class Page:
         for k in range(len(self._stack) - 1, 0, -1):
             open_tag = self._stack[k][0]
             if open_tag == tag:
-                if not inline or self._stack[-1][1] != self._stack[k - 1][1] or any(t in BLOCK or t in SKIP for t, _, _ in self._stack[k:]):
+                apart = not inline or self._stack[-1][1] != self._stack[k - 1][1] or any(t in BLOCK or t in SKIP for t, _, _ in self._stack[k:])
+                if apart and not (tag in INLINE or self._stack[k][2] and inline or self._stack[k - 1][2]):
                     self._flush()
                 self._cut(k)
                 return

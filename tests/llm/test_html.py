@@ -110,7 +110,7 @@ def test_marked_wrappers():
     assert html_extract.Page("<body><nav>menu</nav><div class=comments><p>All there is.</p></div></body>").text([]) == "All there is."
     # marks hold where the article is outside of them
     assert html_extract.Page(f"<body><article><p>Short.</p></article><div class=sidebar><div>{story}</div></div><div class='comments'><article>{story}</article></div></body>").text([]) == "Short."
-    assert html_extract.Page("<body><article><p>Some <span class=ad>buy</span> text</p></article>").text([]) == "Some\n\ntext"
+    assert html_extract.Page("<body><article><p>Some <span class=ad>buy</span> text</p></article>").text([]) == "Some text"
 
 
 def test_templates_of_a_host(spark):
@@ -159,3 +159,16 @@ def test_time_is_linear():
         began = time.time()
         alone(f"<html><body><article><p>start</p></article>{source}")
         assert time.time() - began < 15, source[:20]
+
+
+def test_inline_elements_do_not_end_a_block():
+    """What is left out within a line leaves the line whole, with at most one space."""
+    filler = "<p>Long enough a paragraph for the article to be the article.</p>"
+    lines = {
+        "Press <svg viewBox='0 0 1 1'><path d='M0'/></svg> to go on": "Press to go on", "x<button>b</button>y": "x y", "x<button><div>b</div></button>y": "x y", "a <label>name<input></label> b": "a b",
+        "one <span class=social>share</span> two": "one two", "one <span hidden>x</span>two": "one two", "<span class=ad>buy</span> now": "now", "a<b>b</b>c <em class=lead>d</em>": "abc d",
+        "pick <select><option>1<option>2</select> it": "pick it", "a <a href=#>link</a>, b": "a link, b", "one <button>never closed": "one",
+    }
+    for line, want in lines.items():
+        got = html_extract.Page(f"<body><article>{filler}<p>{line}</p></article>").text([]).split("\n\n")
+        assert got[1:] == [want], line
