@@ -28,7 +28,8 @@ Distance is 1 - |a & b| / |a | b|, a metric; documents link within RADIUS = 1 -
    (documents outside) x (slices), never as pairs.  This is exact, too.
 8. Components of the links are found in Spark and given to all documents.
 
-Nothing is left to chance: hashes and orders decide where documents meet, links are told by words.
+Links are told by words.  Sizes, first shingles and counts are of 64-bit hashes of shingles; only two
+shingles of one document with one hash could change these.
 
 Defined results: null and empty texts have no shingles and are linked with nothing; texts with
 fewer words than a shingle are one shingle; null doc_ids come back as their own; every row has its
