@@ -48,13 +48,25 @@ def box_mean_image(image: DataFrame, factor: int, height: int, width: int, chann
 
 
 def pyramid(image: DataFrame, height: int, width: int, levels: int, channels: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
-    """The image and its halvings with a level column."""
-    out, now = image.select(*KEYS, *channels, F.lit(0).alias("level")), image
+    """The image and its halvings with a level column; each level halves the rounded one before it.
+
+    One shuffle whatever the levels: pixels are dealt by their quad-tree tile of the last level, within
+    which every halving is a grouping of neighbours.  A tile's list has less than 4/3 of its 4^levels pixels.
+    """
+    if levels and 2**levels > min(height, width):
+        raise ValueError("the shrunken image would be empty")
+    tile = ["scene_id", "_ty", "_tx"]
+    pixel = lambda level: F.struct("y", "x", *channels, F.lit(level).alias("level"))
+    now = image.select(F.expr(f"cast(y div {2**levels} as int)").alias("_ty"), F.expr(f"cast(x div {2**levels} as int)").alias("_tx"), *KEYS, *channels)
+    now = now.repartition(*tile).withColumn("_below", F.array(pixel(0)))
     for k in range(1, levels + 1):
-        now = box_mean_image(now, 2, height, width, channels)
-        height, width = height // 2, width // 2
-        out = out.unionByName(now.select(*KEYS, *channels, F.lit(k).alias("level")))
-    return out
+        up = now.groupBy(*tile, F.expr("cast(y div 2 as int)").alias("y"), F.expr("cast(x div 2 as int)").alias("x")).agg(
+            *[F.floor(F.avg(c) + 0.5).cast("int").alias(c) for c in channels], F.flatten(F.collect_list("_below")).alias("_below")
+        )
+        # blocks beyond the last whole one pass on what they hold, but have no pixel of this level
+        inside = (F.col("y") < height // 2**k) & (F.col("x") < width // 2**k)
+        now = up.withColumn("_below", F.when(inside, F.concat("_below", F.array(pixel(k)))).otherwise(F.col("_below")))
+    return now.select("scene_id", F.explode("_below").alias("p")).select("scene_id", "p.*")
 
 
 def _corners(position: str, target: int, source: int) -> list[tuple[Column, Column]]:

@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import RAD
+from . import palette
 
 #: Largest sun and view zenith of the table, start and end of the taper, cloud reflectance.
 SUN_MAX, VIEW_MAX, TAPER, NIGHT, CLOUD = 87.68, 70.53, 70.0, 88.0, 0.20
 AXES = ("s", "v", "a")
 #: Channels that there are tables for, and the most points of an axis.
 CHANNELS, MOST_POINTS = (1, 2, 3), 1000
+SPECTRUM_BITS = 20  # a spectrum has less than 2^20 wavelengths
 
 
 def cells(lut: DataFrame) -> DataFrame:
@@ -120,12 +122,14 @@ def from_spectra(spectra: DataFrame, targets: DataFrame) -> DataFrame:
 
     Linear between the wavelengths around the target, the end value beyond them.
     """
-    at = spectra.join(F.broadcast(targets.select("channel", F.col("wavelength").alias("want"))))
-    low, high = F.col("wavelength") <= F.col("want"), F.col("wavelength") >= F.col("want")
-    w, v = F.col("wavelength"), F.col("value")
-    ends = at.groupBy("channel", "want", "i_s", "i_v", "i_a").agg(
-        F.max(F.when(low, w)).alias("w0"), F.max_by(v, F.when(low, w)).alias("v0"), F.min(F.when(high, w)).alias("w1"), F.min_by(v, F.when(high, w)).alias("v1")
-    )
-    between = F.col("v0") + (F.col("want") - F.col("w0")) / F.when(F.col("w1") > F.col("w0"), F.col("w1") - F.col("w0")) * (F.col("v1") - F.col("v0"))
-    value = F.when(F.col("w0").isNull(), F.col("v1")).when(F.col("w1").isNull() | (F.col("w1") == F.col("w0")), F.col("v0")).otherwise(between)
-    return ends.select("channel", "i_s", "i_v", "i_a", value.alias("value"))
+    node = ["i_s", "i_v", "i_a"]
+    # a node's spectrum is one sorted array of points, searched by halving for each of the few targets
+    lines = spectra.groupBy(*node).agg(F.array_sort(F.collect_list(F.struct(F.col("wavelength").cast("double").alias("w"), F.col("value").alias("v")))).alias("_points"))
+    wanted = targets.agg(F.collect_list(F.struct("channel", F.col("wavelength").cast("double").alias("want")))).scalar()
+    at = lines.select(*node, "_points", F.explode(wanted).alias("_t")).select(*node, "_points", "_t.*")
+    n = palette.at_most(F.transform("_points", lambda p: p["w"]), F.col("want"), SPECTRUM_BITS)
+    ends = at.withColumn("_n", n).withColumns({"_lo": F.when(F.col("_n") > 0, F.try_element_at("_points", F.greatest("_n", F.lit(1)))), "_hi": F.try_element_at("_points", F.col("_n") + 1)})
+    w0, v0, w1, v1 = (F.col(c) for c in ("_lo.w", "_lo.v", "_hi.w", "_hi.v"))
+    between = v0 + (F.col("want") - w0) / (w1 - w0) * (v1 - v0)
+    value = F.when(w0.isNull(), v1).when(w1.isNull() | (w0 == F.col("want")), v0).otherwise(between)
+    return ends.select("channel", *node, value.alias("value"))

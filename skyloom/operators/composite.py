@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import pixelwise as P
+from ..sources import store
 from . import algebra, enhance, palette
 from .align import KEYS
 
@@ -111,9 +112,10 @@ def daynite(wide: DataFrame, table: DataFrame, lights: DataFrame | None = None)
     wide: c01, c02, c03, c13 with lat, lon, the angles and the ephemeris.
     """
     masked = daynight_mask(wide)
-    share = F.broadcast(day_share(masked))  # one row a scene
     dark = palette.by_threshold(masked.withColumn("value", F.col("c13")), table, lights).withColumnsRenamed({c: f"n_{c}" for c in "rgb"})
-    out = truecolor(dark, rayleigh=True, stretch=True, keep=("mask", "n_r", "n_g", "n_b")).join(share, "scene_id")
+    # both sides as bytes, written once and read for the share of day and for the image
+    sides = store.written(truecolor(dark, rayleigh=True, stretch=True, keep=("mask", "is_day", "n_r", "n_g", "n_b")))
+    out = store.with_facts(sides, day_share(sides))
     mix = 100 - F.col("day_percent") > NIGHT_SHARE
     return out.select(*KEYS, *[F.when(mix, P.blend(F.col(f"n_{c}"), F.col(c), F.col("mask"))).otherwise(F.col(c)).alias(c) for c in "rgb"])
 

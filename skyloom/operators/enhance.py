@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import store
+
 BINS = 256
-SALTS = 32
 
 
 def block_mean(wide: DataFrame, value: str, out: str) -> DataFrame:
@@ -22,43 +25,63 @@ def sharpen_ratio(wide: DataFrame, value: str, out: str = "ratio") -> DataFrame:
     return wide.withColumn(out, F.when(ratio.isNull() | (ratio < 0), F.lit(1.0)).otherwise(F.least(F.greatest(ratio, F.lit(0.5)), F.lit(1.5)))).drop("_mean")
 
 
+def _dense(counts: DataFrame, keys: tuple[str, ...], level: str) -> DataFrame:
+    """(keys, hist): the counts (keys, level, n) of each group as an array of BINS numbers; combined map-side."""
+    found = F.map_from_entries(F.collect_list(F.struct(level, "n")))
+    bins = F.sequence(F.lit(0), F.lit(BINS - 1))
+    return counts.groupBy(*keys).agg(found.alias("_found")).select(*keys, F.transform(bins, lambda k: F.coalesce(F.try_element_at("_found", k), F.lit(0).cast("long"))).alias("hist"))
+
+
+def _running(hist: Column, last: Callable[[Column], Column]) -> Column:
+    """``last`` of the running sums of an array of whole numbers."""
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<int>").alias("out"))
+    step = lambda acc, n: F.struct((acc["sum"] + n).alias("sum"), F.concat(acc["out"], F.array(last(acc["sum"] + n).cast("int"))).alias("out"))
+    return F.aggregate(hist, start, step, lambda acc: acc["out"])
+
+
+def _sum(hist: Column) -> Column:
+    return F.aggregate(hist, F.lit(0).cast("long"), lambda a, n: a + n)
+
+
 def equalise(image: DataFrame, channels: tuple[str, ...], level: Column | str = "v") -> DataFrame:
     """Histogram equalisation: the transfer of ``level`` (an 8-bit column) applied to every channel.
 
-    All pixels count.  The transfer of a scene is at most BINS rows.
+    All pixels count.  The image is written once and read twice; the transfer of a scene is one array.
     """
-    base = image.withColumn("_level", level if isinstance(level, Column) else F.col(level))
-    counts = base.groupBy("scene_id", "_level").agg(F.count(F.lit(1)).alias("n"))
-    every = counts.select("scene_id").distinct().select("scene_id", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))).alias("_level"))
-    w = Window.partitionBy("scene_id")
-    table = every.join(counts, ["scene_id", "_level"], "left").select("scene_id", "_level", F.coalesce("n", F.lit(0)).alias("n"))
-    table = table.select("scene_id", "_level", F.floor(F.lit(255.0) * F.sum("n").over(w.orderBy("_level")) / F.sum("n").over(w)).cast("int").alias("to"))
-    # one array of BINS numbers a scene: all channels look up in the same joined row
-    arrays = table.groupBy("scene_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_level", "to"))), lambda s: s["to"]).alias("_to"))
-    # a scene's pixels are dealt to SALTS tasks, each with its own copy of the array
-    arrays = arrays.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    out = base.drop("_level").withColumn("_salt", F.pmod("y", F.lit(SALTS))).join(arrays, ["scene_id", "_salt"])
+    image = store.written(image)
+    counts = image.groupBy("scene_id", (level if isinstance(level, Column) else F.col(level)).alias("_level")).agg(F.count(F.lit(1)).alias("n"))
+    tables = _dense(counts, ("scene_id",), "_level").withColumn("_n", _sum(F.col("hist")))
+    tables = tables.select("scene_id", _running(F.col("hist"), lambda s: F.floor(F.lit(255.0) * s / F.col("_n"))).alias("_to"))
+    out = store.with_facts(image, tables)
     return out.withColumns({c: F.element_at("_to", F.col(c) + 1) for c in channels}).select(*image.columns)
 
 
-def tile_transfers(image: DataFrame, value: str, height: int, width: int, tiles_y: int, tiles_x: int, limit: float) -> DataFrame:
-    """(scene_id, ty, tx, level, to): transfer of each tile after clipping its histogram."""
+def _transfer_arrays(image: DataFrame, value: str, height: int, width: int, tiles_y: int, tiles_x: int, limit: float) -> DataFrame:
+    """(scene_id, ty, tx, to): the transfer of each tile as an array, after clipping its histogram."""
     th, tw = height // tiles_y, width // tiles_x
     top = max(1, int(limit * th * tw / BINS))
     ty, tx = F.least(F.expr(f"cast(y div {th} as int)"), F.lit(tiles_y - 1)), F.least(F.expr(f"cast(x div {tw} as int)"), F.lit(tiles_x - 1))
     counts = image.groupBy("scene_id", ty.alias("ty"), tx.alias("tx"), F.col(value).alias("level")).agg(F.count(F.lit(1)).alias("n"))
-    every = counts.select("scene_id", "ty", "tx").distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))).alias("level"))
-    table = every.join(counts, ["scene_id", "ty", "tx", "level"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    w = Window.partitionBy("scene_id", "ty", "tx")
-    table = table.withColumns({"pixels": F.sum("n").over(w), "excess": F.sum(F.greatest(F.col("n") - top, F.lit(0))).over(w)})
-    clipped = F.least("n", F.lit(top)) + F.expr(f"excess div {BINS}") + F.when(F.col("level") < F.col("excess") % BINS, 1).otherwise(0)
-    table = table.withColumn("n", clipped)
-    cumulated = F.sum("n").over(w.orderBy("level"))
-    return table.select("scene_id", "ty", "tx", "level", F.floor(cumulated * (F.lit(255.0) / F.col("pixels")) + 0.5).cast("int").alias("to"))
+    keys = ("scene_id", "ty", "tx")
+    table = _dense(counts, keys, "level")
+    excess = F.aggregate("hist", F.lit(0).cast("long"), lambda a, n: a + F.greatest(n - top, F.lit(0)))
+    table = table.withColumns({"_n": _sum(F.col("hist")), "_excess": excess})
+    # an equal part of what is cut off goes to every level, the rest to the lowest ones
+    part, rest = F.expr(f"_excess div {BINS}"), F.col("_excess") % BINS
+    clipped = F.transform("hist", lambda n, k: F.least(n, F.lit(top)) + part + F.when(k < rest, 1).otherwise(0))
+    return table.withColumn("hist", clipped).select(*keys, _running(F.col("hist"), lambda s: F.floor(s * (F.lit(255.0) / F.col("_n")) + 0.5)).alias("to"))
+
+
+def tile_transfers(image: DataFrame, value: str, height: int, width: int, tiles_y: int, tiles_x: int, limit: float) -> DataFrame:
+    """(scene_id, ty, tx, level, to): transfer of each tile after clipping its histogram."""
+    return _transfer_arrays(image, value, height, width, tiles_y, tiles_x, limit).select("scene_id", "ty", "tx", F.posexplode("to").alias("level", "to"))
 
 
 def clahe(image: DataFrame, value: str, height: int, width: int, tiles_y: int = 4, tiles_x: int = 4, limit: float = 4.0) -> DataFrame:
-    """Equalisation per tile with a clipped histogram, bilinear between the four tiles around a pixel."""
+    """Equalisation per tile with a clipped histogram, bilinear between the four tiles around a pixel.
+
+    The image is written once and read twice."""
+    image = store.written(image)
     th, tw = height // tiles_y, width // tiles_x
     table = tile_transfers(image, value, height, width, tiles_y, tiles_x, limit)
     fy, fx = F.col("y") / F.lit(float(th)) - 0.5, F.col("x") / F.lit(float(tw)) - 0.5

@@ -31,6 +31,12 @@ def to_rgb(image: DataFrame, palette: DataFrame) -> DataFrame:
     return joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("r", "g", "b")})
 
 
+def at_most(rising: Column, value: Column, bits: int = 9) -> Column:
+    """How many numbers of a rising array of less than 2^bits are at most the value, by a halving search."""
+    halves = F.array(*[F.lit(1 << k) for k in range(bits - 1, -1, -1)])
+    return F.aggregate(halves, F.lit(0), lambda at, step: F.when(F.try_element_at(rising, at + step) <= value, at + step).otherwise(at))
+
+
 def by_threshold(pixels: DataFrame, table: DataFrame, lights: DataFrame | None = None) -> DataFrame:
     """Night colours: the entry t with lo(t) <= value < lo(t+1); below all and above the last it is entry 254.
 
@@ -40,10 +46,7 @@ def by_threshold(pixels: DataFrame, table: DataFrame, lights: DataFrame | None =
     lows = table.agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "lo"))), lambda s: s["lo"]).alias("lows")).scalar()
     value = F.col("value")
     pixels = pixels.withColumn("_lows", lows)
-    # halving search: how many of the rising thresholds are at most the value
-    halves = F.array(*[F.lit(1 << k) for k in range(8, -1, -1)])
-    least = lambda at, step: F.try_element_at("_lows", at + step) <= value
-    at = F.aggregate(halves, F.lit(0), lambda at, step: F.when(least(at, step), at + step).otherwise(at)) - 1
+    at = at_most(F.col("_lows"), value) - 1
     inside = (at >= 0) & (at <= LAST_THRESHOLD)
     out = pixels.withColumn("idx", F.when(value.isNull(), None).when(inside, at).otherwise(F.lit(LAST_THRESHOLD))).drop("_lows")
     colours = F.broadcast(table.select("idx", *[F.col(c).alias(f"p_{c}") for c in "rgba"]))
@@ -59,20 +62,32 @@ def by_threshold(pixels: DataFrame, table: DataFrame, lights: DataFrame | None =
     return out.drop("p_r", "p_g", "p_b", "p_a", "idx")
 
 
-def colour_of(values: DataFrame, pairs: DataFrame, background: tuple[int, int, int] | None = None, foreground: tuple[int, int, int] | None = None) -> DataFrame:
-    """Colour of each value in a continuous table of pairs(lo, hi, r0, g0, b0, r1, g1, b1), broadcast.
+def colour_of(values: DataFrame, pairs: DataFrame, background: tuple[int, int, int] | None = None, foreground: tuple[int, int, int] | None = None, table: str | None = None) -> DataFrame:
+    """Colour of each value in a continuous table of pairs(lo, hi, r0, g0, b0, r1, g1, b1) that don't overlap.
 
-    Below all pairs: the background; above: the foreground; both black if not given.
+    Below all pairs: the background; above: the foreground; both black if not given, as are gaps and
+    missing values.  With ``table``, a column of both sides, each value is looked up in its own table of
+    pairs and a value whose table does not exist is black.  A table has MOST_ENTRIES pairs at most and is
+    one sorted array, searched by halving.
     """
-    ends = pairs.agg(F.min("lo").alias("first"), F.max("hi").alias("last"), *[F.max_by(f"{c}1", "hi").alias(f"{c}_end") for c in "rgb"])
-    hit = values.join(F.broadcast(pairs), (F.col("value") >= F.col("lo")) & (F.col("value") < F.col("hi")), "left").crossJoin(F.broadcast(ends))
-    t = (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo"))
+    numbers = [F.col(c).cast("double").alias(c) for c in ("lo", "hi", "r0", "g0", "b0", "r1", "g1", "b1")]
+    array = F.array_sort(F.collect_list(F.struct(*numbers))).alias("_pairs")
+    if table is None:
+        df = values.withColumn("_pairs", pairs.agg(array).scalar())
+    else:
+        df = values.join(pairs.groupBy(table).agg(array), table, "left")
+    value = F.col("value")
+    df = df.withColumn("_lows", F.transform("_pairs", lambda p: p["lo"]))
+    df = df.withColumn("_at", at_most(F.col("_lows"), value))
+    df = df.withColumns({"_p": F.when(F.col("_at") > 0, F.try_element_at("_pairs", F.greatest("_at", F.lit(1)))), "_end": F.try_element_at("_pairs", F.lit(-1)), "_start": F.try_element_at("_lows", F.lit(1))})
+    t = (value - F.col("_p.lo")) / (F.col("_p.hi") - F.col("_p.lo"))
     out = {}
     for k, c in enumerate("rgb"):
-        between = (F.col(f"{c}0") + t * (F.col(f"{c}1") - F.col(f"{c}0"))).cast("int")
+        low, high = F.col(f"_p.{c}0"), F.col(f"_p.{c}1")
+        between = F.when(value < F.col("_p.hi"), (low + t * (high - low)).cast("int"))
         below, above = (F.lit(x[k] if x else 0) for x in (background, foreground))
-        out[c] = F.when(F.col("value") < F.col("first"), below).when(F.col("value") > F.col("last"), above).when(F.col("value") == F.col("last"), F.col(f"{c}_end")).otherwise(F.coalesce(between, F.lit(0)))
-    return hit.select(*values.columns, *[out[c].cast("int").alias(c) for c in "rgb"])
+        out[c] = F.when(value < F.col("_start"), below).when(value > F.col("_end.hi"), above).when(value == F.col("_end.hi"), F.col(f"_end.{c}1").cast("int")).otherwise(F.coalesce(between, F.lit(0)))
+    return df.select(*values.columns, *[out[c].cast("int").alias(c) for c in "rgb"])
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:

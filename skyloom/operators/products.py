@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pixelwise as P
+from ..sources import store
 from . import algebra, composite, enhance, measure, palette
 from .align import KEYS, to_wide
 
@@ -17,13 +18,14 @@ def gray(pixels: DataFrame, expression: str, invert: bool = False, gamma: float
     """8-bit view of a band or band expression: gamma, quantiser, histogram, tiled histogram, in that order.
 
     Without minmax the range is the valid one of each scene.  clahe: tiles_y, tiles_x, limit and the
-    image's height and width.
+    image's height and width.  What is read twice (values for their range, images for histograms) is written once.
     """
     wide = to_wide(pixels, algebra.required_bands(expression))
     values = algebra.band_expr(wide, expression).select(*KEYS, "value")
     if minmax is None:
+        values = store.written(values)  # read for the range and for the image
         spread = measure.grid_stats(values, "scene_id").select("scene_id", F.col("vmin").alias("low"), F.col("vmax").alias("high"))
-        values = values.join(F.broadcast(spread), "scene_id")  # one row a scene
+        values = store.with_facts(values, spread)
     else:
         values = values.withColumns({"low": F.lit(float(minmax[0])), "high": F.lit(float(minmax[1]))})
     low, high, v = F.col("low"), F.col("high"), F.col("value")
