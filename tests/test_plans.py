@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skyloom.operators import align, atmosphere, palette
+from skyloom.operators import align, atmosphere, measure, palette
 from skyloom.plans import catalog
 from skyloom.sources import store
 
@@ -76,3 +76,18 @@ def test_written_frames_are_dropped(spark):
     pixels = spark.createDataFrame([("s", y, 0) for y in range(70)] + [("t", 1, 0), ("u", 1, 0)], "scene_id string, y int, x int")
     facts = spark.createDataFrame([("s", 5), ("t", 6)], "scene_id string, k int")
     assert store.with_facts(pixels, facts).groupBy("k").count().orderBy("k").collect() == [(5, 70), (6, 1)]
+
+
+def test_exact_percentile_of_doubles(spark):
+    rng = np.random.default_rng(8)
+    a = {"s": np.concatenate([rng.lognormal(0, 9, 3000), np.full(500, 2.5)]), "t": rng.integers(0, 256, 700).astype(float), "u": np.array([4.0]), "w": np.full(40, 3.0)}
+    rows = [(k, 0, x, float(v)) for k, values in a.items() for x, v in enumerate(values)] + [("m", 0, 0, None)]
+    df = spark.createDataFrame(rows, "scene_id string, y int, x int, v double")
+    got = {r.scene_id: r for r in measure.diff_stats(df, df.withColumn("v", F.col("v") * 0)).collect()}
+    for k, values in a.items():
+        assert got[k].p99 == pytest.approx(np.quantile(values, 0.99), rel=1e-12) and got[k].mae == pytest.approx(values.mean())
+    assert got["m"].p99 is None
+    ranks = spark.createDataFrame([("s", r) for r in (0, 1749, 3499, 3500)], "scene_id string, rank bigint")
+    found = {r.rank: r.value for r in measure.values_at(df.select("scene_id", F.col("v").alias("value")), ranks).collect()}
+    assert found == {r: float(np.sort(a["s"])[r]) for r in (0, 1749, 3499)}
+    assert measure.diff_stats(df.where("false"), df).count() == 0
