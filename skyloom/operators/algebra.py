@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import store
 from .align import band_column
 
 MAX_TERMS = 10
@@ -75,8 +76,8 @@ def band_expr(wide: DataFrame, text: str, out: str = "value") -> DataFrame:
 def recipes(pixels: DataFrame, terms: DataFrame) -> DataFrame:
     """Many expressions at once: terms(recipe, band, coeff, bias, n_terms) with one row per band used.
 
-    Terms are broadcast: a recipe has at most MAX_TERMS rows, and there are as many as users write.
+    Terms are broadcast only where Spark knows them to be small; else the pixels of a band are dealt to many tasks.
     """
-    joined = pixels.join(F.broadcast(terms), "band")
+    joined = store.with_facts(pixels, terms, "band")
     whole = F.count("value") == F.first("n_terms")
     return joined.groupBy("recipe", "scene_id", "y", "x").agg(F.when(whole, F.first("bias") + F.sum(F.col("coeff") * F.col("value"))).alias("value"))

@@ -55,11 +55,11 @@ def dropped(spark: SparkSession) -> Iterator[list[str]]:
             where.getFileSystem(conf).delete(where, True)
 
 
-def with_facts(rows: DataFrame, facts: DataFrame) -> DataFrame:
-    """Pixel rows joined with facts of their scene, one row for each scene.
+def with_facts(rows: DataFrame, facts: DataFrame, *keys: str) -> DataFrame:
+    """Pixel rows joined with facts of their scene, or of other keys.
 
-    A scene's pixels are dealt to SALTS tasks by y, each with its own copy of the facts; no side is
+    The pixels of a key are dealt to SALTS tasks by y, each with its own copy of the facts; no side is
     broadcast by a hint, so a run with millions of scenes has a plan too.
     """
     copies = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.pmod(F.col("y"), F.lit(SALTS)).cast("int")).join(copies, ["scene_id", "_salt"]).drop("_salt")
+    return rows.withColumn("_salt", F.pmod(F.col("y"), F.lit(SALTS)).cast("int")).join(copies, [*(keys or ("scene_id",)), "_salt"]).drop("_salt")
