@@ -133,10 +133,11 @@ def rayleigh_analytic(v: Column, sza: Column, vza: Column, raa: Column, waveleng
     ms, mv = F.cos(sza * RAD), F.cos(vza * RAD)
     scatter = -ms * mv + F.sin(sza * RAD) * F.sin(vza * RAD) * F.cos(raa * RAD)
     good = F.coalesce((ms >= 0.01) & (mv >= 0.01) & raa.isNotNull(), F.lit(False))
-    return _less_path(v, good, ms * mv, scatter, wavelength_um)
+    return less_path(v, good, ms * mv, scatter, wavelength_um)
 
 
-def _less_path(v: Column, good: Column, cosines: Column, scatter: Column, wavelength_um: float) -> Column:
+def less_path(v: Column, good: Column, cosines: Column, scatter: Column, wavelength_um: float) -> Column:
+    """v less path reflectance by the product and the scattering cosine of both zeniths, where ``good``."""
     g = 0.0279 / (2.0 - 0.0279)
     a, b, c = 0.75 / (1 + 2 * g), 1 + 3 * g, 1 - g
     corrected = v - F.lit(rayleigh_tau(wavelength_um)) * (a * (b + c * scatter * scatter)) / (4.0 * F.when(good, cosines))
@@ -149,4 +150,4 @@ def rayleigh_bands(df: DataFrame, wavelengths: dict[str, float]) -> DataFrame:
     out = df.withColumns({"_ms": F.cos(c("sza") * RAD), "_mv": F.cos(c("vza") * RAD), "_ss": F.sin(c("sza") * RAD) * F.sin(c("vza") * RAD) * F.cos(c("raa") * RAD)})
     out = out.withColumns({"_mm": c("_ms") * c("_mv"), "_ok": F.coalesce((c("_ms") >= 0.01) & (c("_mv") >= 0.01) & c("raa").isNotNull(), F.lit(False))})
     out = out.withColumn("_sc", c("_ss") - c("_mm"))
-    return out.withColumns({k: _less_path(c(k), c("_ok"), c("_mm"), c("_sc"), w) for k, w in wavelengths.items()}).drop("_ms", "_mv", "_ss", "_mm", "_ok", "_sc")
+    return out.withColumns({k: less_path(c(k), c("_ok"), c("_mm"), c("_sc"), w) for k, w in wavelengths.items()}).drop("_ms", "_mv", "_ss", "_mm", "_ok", "_sc")

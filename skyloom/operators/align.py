@@ -12,10 +12,11 @@ def band_column(band: int) -> str:
     return f"c{band:02d}"
 
 
-def to_wide(pixels: DataFrame, bands: list[int]) -> DataFrame:
-    """One row per pixel with c01..c16 of the wanted bands only: one shuffle, combined map-side."""
+def to_wide(pixels: DataFrame, bands: list[int], place: tuple[str, ...] = ()) -> DataFrame:
+    """One row per pixel with c01..c16 of the wanted bands only: one shuffle, combined map-side; none where
+    the table is bucketed by the columns of ``place``, which then stay on the rows."""
     wanted = pixels.where(F.col("band").isin(bands))
-    return wanted.groupBy(*KEYS).agg(*[F.max(F.when(F.col("band") == b, F.col("value"))).alias(band_column(b)) for b in bands])
+    return wanted.groupBy(*place, *KEYS).agg(*[F.max(F.when(F.col("band") == b, F.col("value"))).alias(band_column(b)) for b in bands])
 
 
 def reference_band(scenes: DataFrame, bands: list[int], full_res: bool = False) -> DataFrame:

@@ -52,14 +52,17 @@ def custom(wide: DataFrame, text: str, ranges: list[tuple[float, float]] | None
     return quantised(wide, [(e.column(), *r) for e, r in zip(algebra.parse_rgb(text), ranges, strict=True)], **options)
 
 
-def truecolor(wide: DataFrame, rayleigh: bool = False, sharpen: bool = False, stretch: bool = False, correct: Callable[[DataFrame], DataFrame] | None = None, **options) -> DataFrame:
+def truecolor(wide: DataFrame, rayleigh: bool = False, sharpen: bool = False, stretch: bool = False, correct: Callable[[DataFrame], DataFrame] | None = None, light: Callable[[DataFrame], DataFrame] | None = None, **options) -> DataFrame:
     """Blue C01, red C02, near infrared C03 and a green made of them.
 
     rayleigh needs sza, vza and raa on the rows: the bands are normalised by the sun, then blue and
-    red corrected analytically, or by ``correct`` (a function on rows with b, r, n).
+    red corrected analytically, or by ``correct`` (a function on rows with b, r, n).  ``light`` does both
+    steps, as ``atlas.daylight`` by stored geometry.
     """
     df = wide.withColumns({"b": F.col("c01"), "r": F.col("c02"), "n": F.col("c03")})
-    if rayleigh or correct:
+    if light:
+        df = light(df)
+    elif rayleigh or correct:
         df = df.withColumns({c: G.sun_normalise(F.col(c), F.col("sza")) for c in "brn"})
         if correct:
             df = correct(df)

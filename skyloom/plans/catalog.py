@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import pixelwise as P
-from ..operators import algebra, align, atmosphere, composite, enhance, measure, names, palette, products, spatial
-from ..sources import grids
+from ..operators import algebra, align, atlas, atmosphere, composite, enhance, measure, names, palette, products, spatial
+from ..sources import grids, store, tiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -614,6 +614,28 @@ def p1r(spark, sf):
     return composite.truecolor(with_angles(spark, sf, [1, 2, 3]), rayleigh=True, stretch=True)
 
 
+TILE, BUCKETS = 8, 8  # of the stored tables of the derived grid
+
+
+def stored(spark: SparkSession, sf: str) -> DataFrame:
+    """Pixels of all bands as a stored table (grid_id, tile, scene_id, y, x, value, band); both scenes share a grid."""
+    rows = tiles.placed(pixels(spark, sf).withColumn("grid_id", F.lit("g")), TILE)
+    return tiles.write(rows, store.fresh(spark), BUCKETS, parts=("band",), order=("scene_id", "y", "x"))
+
+
+def stored_geometry(spark: SparkSession) -> DataFrame:
+    gt, proj = F.array(*[F.lit(v) for v in (grids.X0, grids.DX, 0.0, grids.Y0, 0.0, grids.DY)]), F.struct(*[F.lit(v).alias(k) for k, v in grids.PROJ.items()])
+    one = spark.range(1).select(F.lit("g").alias("grid_id"), F.lit(grids.SIDE).alias("height"), F.lit(grids.SIDE).alias("width"), gt.alias("gt"), proj.alias("proj"))
+    return tiles.write(atlas.geometry(one, TILE), store.fresh(spark), BUCKETS)
+
+
+@query("p1_truecolor_stored_geometry", ORACLE["p1_truecolor_rayleigh"])
+def p1s(spark, sf):
+    rows = align.to_wide(stored(spark, sf), BANDS, tiles.PLACE)
+    scenes = F.broadcast(atlas.sun(grids.scene_times(spark, sf)))  # one row a scene
+    return composite.truecolor(tiles.joined(rows, stored_geometry(spark)).join(scenes, "scene_id"), stretch=True, light=atlas.daylight)
+
+
 _TABLE = """tb AS (SELECT CAST(i AS INT) AS idx, 180.0::DOUBLE + i * 0.5 AS lo, (i % 256) / 255.0::DOUBLE AS r, (i * 7 % 256) / 255.0::DOUBLE AS g, (255 - i % 256) / 255.0::DOUBLE AS b, (i % 101) / 100.0::DOUBLE AS a FROM (SELECT DISTINCT (p_partkey % 257) AS i FROM part))"""
 
 
@@ -735,6 +757,11 @@ def c1(spark, sf):
     return wide(spark, sf, [11, 13, 14]).select(*KEYS, *r6("c11", "c13", "c14"))
 
 
+@query("c1_c2_stored_bands", ORACLE["c1_c2_band_alignment"])
+def c1s(spark, sf):
+    return align.to_wide(stored(spark, sf), [11, 13, 14], tiles.PLACE).select(*KEYS, *r6("c11", "c13", "c14"))
+
+
 @query("d1_grid_stats", f"{PX} SELECT scene_id, band, round(min(value), 6) AS vmin, round(max(value), 6) AS vmax, count(value) AS n_valid, count(*) AS n FROM px GROUP BY ALL")
 def d1(spark, sf):
     return measure.grid_stats(pixels(spark, sf), "scene_id", "band").select("scene_id", "band", *r6("vmin", "vmax"), "n_valid", "n")

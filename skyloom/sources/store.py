@@ -15,7 +15,7 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_made: ContextVar[list[str] | None] = ContextVar("tables of the block at hand", default=None)
+_made: ContextVar[list[tuple[str, str | None]] | None] = ContextVar("tables of the block at hand", default=None)
 SALTS = 32  # parts that the pixels of one scene are dealt to when facts of the scene join them
 
 
@@ -30,27 +30,39 @@ def folder(spark: SparkSession) -> str:
     return have.rstrip("/")
 
 
+def fresh(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing else has."""
+    return f"{folder(spark)}/tables/raster-{uuid.uuid4().hex}"
+
+
+def made(path: str, table: str | None = None) -> None:
+    """Notes files, and the name they have in the catalog, for the ``dropped`` block at hand."""
+    block = _made.get()
+    if block is not None:
+        block.append((path, table))
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` computed now, written as Parquet and read again: one computation, any number of reads."""
-    path = f"{folder(df.sparkSession)}/tables/raster-{uuid.uuid4().hex}"
-    made = _made.get()
-    if made is not None:
-        made.append(path)
+    path = fresh(df.sparkSession)
+    made(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
-def dropped(spark: SparkSession) -> Iterator[list[str]]:
+def dropped(spark: SparkSession) -> Iterator[list[tuple[str, str | None]]]:
     """Deletes at its end the tables that were written inside; write or read results whole by then."""
-    made: list[str] = []
-    token = _made.set(made)
+    block: list[tuple[str, str | None]] = []
+    token = _made.set(block)
     try:
-        yield made
+        yield block
     finally:
         _made.reset(token)
         conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for path in made:
+        for path, table in block:
+            if table is not None:
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
             where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(conf).delete(where, True)
 

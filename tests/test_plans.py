@@ -71,8 +71,8 @@ def test_spectra_at_and_beyond_their_ends(spark):
 def test_written_frames_are_dropped(spark):
     with store.dropped(spark) as made:
         df = store.written(spark.range(10).withColumn("v", F.lit(1)))
-        assert df.count() == 10 and len(made) == 1 and os.path.isdir(made[0])
-    assert not os.path.exists(made[0])
+        assert df.count() == 10 and len(made) == 1 and os.path.isdir(made[0][0])
+    assert not os.path.exists(made[0][0])
     pixels = spark.createDataFrame([("s", y, 0) for y in range(70)] + [("t", 1, 0), ("u", 1, 0)], "scene_id string, y int, x int")
     facts = spark.createDataFrame([("s", 5), ("t", 6)], "scene_id string, k int")
     assert store.with_facts(pixels, facts).groupBy("k").count().orderBy("k").collect() == [(5, 70), (6, 1)]
