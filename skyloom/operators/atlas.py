@@ -22,20 +22,24 @@ COLUMNS = ("lat", "lon", "sin_lat", "cos_lat", "sin_lon", "cos_lon", "view_up",
 
 
 def geometry(grids: DataFrame, tile: int = tiles.TILE) -> DataFrame:
-    """(grid_id, tile, y, x, COLUMNS) of every pixel on the disk of grids(grid_id, height, width, gt, proj)."""
+    """(grid_id, tile, cell, COLUMNS) of every pixel on the disk of grids(grid_id, height, width, gt, proj)."""
     rows = grids.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("height") - 1)))
     rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "grid_id", "y")
     cells = rows.select("grid_id", "gt", "proj", "y", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
     gt = F.col("gt")
-    seen = G.view_angles(G.navigate(cells.withColumns({"x_rad": G.scan_angle(F.col("x"), gt[0], gt[1]), "y_rad": G.scan_angle(F.col("y"), gt[3], gt[5])})))
+    seen = G.navigate(cells.withColumns({"x_rad": G.scan_angle(F.col("x"), gt[0], gt[1]), "y_rad": G.scan_angle(F.col("y"), gt[3], gt[5])}))
+    # pixels on the disk as elements of a list: a filter on lat would be pushed below with all of its formula
+    on_disk = F.filter(F.array(F.struct("lat", "lon")), lambda p: p["lat"].isNotNull())
+    seen = G.view_angles(seen.select("grid_id", "proj", "y", "x", F.explode(on_disk).alias("p")).select("grid_id", "proj", "y", "x", "p.lat", "p.lon"))
     la, lo, vz, va = (F.col(c) * RAD for c in ("lat", "lon", "vza", "vaa"))
     made = {"sin_lat": F.sin(la), "cos_lat": F.cos(la), "sin_lon": F.sin(lo), "cos_lon": F.cos(lo), "view_up": F.cos(vz), "view_east": F.sin(vz) * F.sin(va), "view_north": F.sin(vz) * F.cos(va)}
-    return tiles.placed(seen.where("lat is not null").withColumns(made), tile).select("grid_id", "tile", "y", "x", *COLUMNS)
+    return tiles.placed(seen.withColumns(made), tile).select("grid_id", "tile", "cell", *COLUMNS)
 
 
 def sun(scenes: DataFrame, time: str = "start_ts") -> DataFrame:
     """Adds the ephemeris and the sine and cosine of the hour angle's base to scene rows."""
-    return G.ephemeris(scenes, time).withColumns({"sin_ha": F.sin("sun_ha"), "cos_ha": F.cos("sun_ha")})
+    base = F.col("sun_ha") % (2 * math.pi)  # many turns: taken off as in geometry.sine_of_elevation
+    return G.ephemeris(scenes, time).withColumns({"sin_ha": F.sin(base), "cos_ha": F.cos(base)})
 
 
 def lit(df: DataFrame) -> DataFrame:

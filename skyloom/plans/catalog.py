@@ -618,20 +618,20 @@ TILE, BUCKETS = 8, 8  # of the stored tables of the derived grid
 
 
 def stored(spark: SparkSession, sf: str) -> DataFrame:
-    """Pixels of all bands as a stored table (grid_id, tile, scene_id, y, x, value, band); both scenes share a grid."""
-    rows = tiles.placed(pixels(spark, sf).withColumn("grid_id", F.lit("g")), TILE)
+    """Pixels of all bands as a stored table (grid_id, tile, cell, scene_id, y, x, value, band); both scenes share a grid."""
+    rows = tiles.placed(pixels(spark, sf).withColumn("grid_id", F.lit(1)), TILE)
     return tiles.write(rows, store.fresh(spark), BUCKETS, parts=("band",), order=("scene_id", "y", "x"))
 
 
 def stored_geometry(spark: SparkSession) -> DataFrame:
     gt, proj = F.array(*[F.lit(v) for v in (grids.X0, grids.DX, 0.0, grids.Y0, 0.0, grids.DY)]), F.struct(*[F.lit(v).alias(k) for k, v in grids.PROJ.items()])
-    one = spark.range(1).select(F.lit("g").alias("grid_id"), F.lit(grids.SIDE).alias("height"), F.lit(grids.SIDE).alias("width"), gt.alias("gt"), proj.alias("proj"))
+    one = spark.range(1).select(F.lit(1).alias("grid_id"), F.lit(grids.SIDE).alias("height"), F.lit(grids.SIDE).alias("width"), gt.alias("gt"), proj.alias("proj"))
     return tiles.write(atlas.geometry(one, TILE), store.fresh(spark), BUCKETS)
 
 
 @query("p1_truecolor_stored_geometry", ORACLE["p1_truecolor_rayleigh"])
 def p1s(spark, sf):
-    rows = align.to_wide(stored(spark, sf), BANDS, tiles.PLACE)
+    rows = align.to_wide(stored(spark, sf), BANDS, (*tiles.PLACE, "cell"))
     scenes = F.broadcast(atlas.sun(grids.scene_times(spark, sf)))  # one row a scene
     return composite.truecolor(tiles.joined(rows, stored_geometry(spark)).join(scenes, "scene_id"), stretch=True, light=atlas.daylight)
 

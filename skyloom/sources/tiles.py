@@ -1,8 +1,9 @@
 """Stored tables bucketed by tile of their grid, so that bands, geometry and images meet without a shuffle.
 
-A grid is a raster with one navigation: its grid_id stands for satellite, sector and resolution, and many
-scenes share it.  All tables here are bucketed by (grid_id, tile), a tile being TILE x TILE pixels; two
-tables with the same number of buckets are joined, and a table is grouped by anything that holds these two
+A grid is a raster with one navigation: its grid_id, a smallint, stands for satellite, sector and resolution,
+and many scenes share it.  All tables here are bucketed by (grid_id, tile), a tile being TILE x TILE pixels;
+a pixel's place in its tile is its cell.  The three have eight bytes, so that a hash join packs them into
+one number; two tables with the same number of buckets are joined, and a table is grouped by anything that holds these two
 columns, where their files lie.  A bucket has the tile of every scene, so the number of buckets is chosen
 by bytes (see ``buckets_for``).  Joins on more columns than the bucketing has need
 spark.sql.requireAllClusterKeysForCoPartition off, as in plans.settings; with it on the results are the
@@ -29,13 +30,21 @@ def buckets_for(stored_bytes: int, least: int = 8) -> int:
 
 
 def tile_of(y: Column, x: Column, tile: int = TILE) -> Column:
-    """Number of the tile of a pixel, the same on every grid; grids have less than 65,536 tiles a side."""
-    return (F.floor(y / tile) * 65536 + F.floor(x / tile)).cast("long")
+    """Number of the tile of a pixel, the same on every grid; grids have at most 32,768 tiles a side."""
+    return (F.floor(y / tile) * 32768 + F.floor(x / tile)).cast("int")
+
+
+def cell_of(y: Column, x: Column, tile: int = TILE) -> Column:
+    """Number of a pixel within its tile; tiles have at most 181 pixels a side."""
+    return (F.pmod(y, F.lit(tile)) * tile + F.pmod(x, F.lit(tile))).cast("short")
 
 
 def placed(pixels: DataFrame, tile: int = TILE) -> DataFrame:
-    """Rows with grid_id, y and x, and the tile they are stored by."""
-    return pixels.withColumn("tile", tile_of(F.col("y"), F.col("x"), tile))
+    """Rows with grid_id, y and x, and the tile and cell they are stored by."""
+    if not 0 < tile <= 181:
+        raise ValueError("tiles have 1 to 181 pixels a side")
+    y, x = F.col("y"), F.col("x")
+    return pixels.withColumns({"grid_id": F.col("grid_id").cast("short"), "tile": tile_of(y, x, tile), "cell": cell_of(y, x, tile)})
 
 
 def write(rows: DataFrame, path: str, buckets: int, parts: tuple[str, ...] = (), order: tuple[str, ...] = ()) -> DataFrame:
@@ -65,8 +74,8 @@ def read(spark: SparkSession, path: str, schema: str, buckets: int, parts: tuple
 
 
 def joined(rows: DataFrame, grid: DataFrame) -> DataFrame:
-    """rows with what a table of their grid (grid_id, tile, y, x, ...) has for the pixel; NULL where it has none.
+    """rows with what a table of their grid (grid_id, tile, cell, ...) has for the pixel; NULL where it has none.
 
     A task holds the grid's part of one bucket in memory and streams the rows of all scenes past it.
     """
-    return rows.join(grid.hint("shuffle_hash"), [*PLACE, "y", "x"], "left")
+    return rows.join(grid.hint("shuffle_hash"), [*PLACE, "cell"], "left")
