@@ -63,9 +63,10 @@ def read_table(headers: DataFrame, values: DataFrame) -> DataFrame:
         F.when(~F.coalesce(c("channel").isin(*CHANNELS), F.lit(False)), "channel").when(~sound, "axes").when(F.coalesce("n", F.lit(0)) != size, "size")
         .when(c("good") != c("n"), "value").when((c("places") != c("n")) | (c("first") != 0) | (c("last") != size - 1), "place")
     )
-    checked = headers.join(facts, "table_id", "left").withColumn("fault", fault)
+    # values are exploded, so far more than the size of their files tells: neither side is ever broadcast
+    checked = headers.join(facts.hint("shuffle_merge"), "table_id", "left").withColumn("fault", fault)
     bad = checked.where("fault is not null").select("table_id", "channel", "fault", F.lit(None).cast("struct<i_s: int, i_v: int, i_a: int, value: double>").alias("lut"))
-    good = checked.where("fault is null").select("table_id", "channel", "fault", "n_v", "n_a").join(values, "table_id")
+    good = checked.where("fault is null").select("table_id", "channel", "fault", "n_v", "n_a").join(values.hint("shuffle_merge"), "table_id")
     cell = F.struct(F.expr("cast(place div (n_v * n_a) as int)").alias("i_s"), F.expr("cast(place div n_a % n_v as int)").alias("i_v"), F.expr("cast(place % n_a as int)").alias("i_a"), c("value").cast("double").alias("value"))
     return bad.unionByName(good.select("table_id", "channel", "fault", cell.alias("lut")))
 

@@ -28,6 +28,12 @@ def test_no_nested_loop_in_look_ups(spark):
         assert "NestedLoop" not in plan(catalog.QUERIES[name](spark, DATA))
 
 
+def test_table_reader_broadcasts_nothing(spark):
+    """Values are exploded from small files; a choice by file size would build them whole in the driver."""
+    text = plan(catalog.QUERIES["f3_table_reader"](spark, DATA))
+    assert "Broadcast" not in text and "SortMergeJoin" in text
+
+
 def test_pyramid_is_one_shuffle(spark):
     h, w, levels = 21, 13, 3
     v = np.random.default_rng(5).integers(0, 256, (h, w))
