@@ -28,10 +28,11 @@ def navigate(df: DataFrame, wrap: bool = False) -> DataFrame:
     out = out.withColumns({"_a": c("_sx") * c("_sx") + c("_cx") * c("_cx") * (c("_cy") * c("_cy") + c("_q") * c("_sy") * c("_sy")), "_b": -2.0 * c("_h") * c("_cx") * c("_cy")})
     out = out.withColumn("_disc", c("_b") * c("_b") - 4.0 * c("_a") * (c("_h") * c("_h") - p("semi_major") * p("semi_major")))
     out = out.withColumn("_rs", F.when(c("_disc") >= 0, (-c("_b") - F.sqrt(F.greatest(c("_disc"), F.lit(0.0)))) / (2.0 * c("_a"))))
-    px, py, pz = c("_rs") * c("_cx") * c("_cy"), -c("_rs") * c("_sx"), c("_rs") * c("_cx") * c("_sy")
-    out = out.withColumns({"_px": px, "_py": py, "_pz": pz})
-    lat = F.atan2(c("_q") * c("_pz"), F.sqrt((c("_h") - c("_px")) * (c("_h") - c("_px")) + c("_py") * c("_py"))) / RAD
-    lon = (p("lon_origin") * RAD - F.atan2(c("_py"), c("_h") - c("_px"))) / RAD
+    out = out.withColumns({"_px": c("_rs") * c("_cx") * c("_cy"), "_py": -c("_rs") * c("_sx")})
+    # in this order of operations and with degrees(), every bit is that of the plain SQL: where two pixels are
+    # equally far from a place but for rounding, the last bit decides which is nearest
+    lat = F.degrees(F.atan2(c("_q") * c("_rs") * c("_cx") * c("_sy"), F.sqrt((c("_h") - c("_px")) * (c("_h") - c("_px")) + c("_rs") * c("_sx") * c("_rs") * c("_sx"))))
+    lon = F.degrees(F.radians(p("lon_origin")) - F.atan2(c("_py"), c("_h") - c("_px")))
     if wrap:
         lon = F.pmod(lon + 180, F.lit(360.0)) - 180
     return out.withColumns({"lat": lat, "lon": lon}).drop(*[x for x in out.columns if x.startswith("_")])

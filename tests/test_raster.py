@@ -233,6 +233,26 @@ def test_nearest_pixel_of_many_points(spark):
     assert len(got) == len(want) and {(r.pid, r.scene_id): (r.y, r.x) for r in got} == want
 
 
+def test_nearest_pixel_of_even_distances_is_that_of_the_sql(spark):
+    """Pixels in columns 15 and 16 mirror each other about 75 degrees west, where some of the suppliers' 3,240 places lie."""
+    import duckdb
+
+    from skyloom.functions import geometry as G
+    from skyloom.plans import catalog
+    from skyloom.sources import grids
+
+    pts = "pts AS (SELECT CAST(k AS VARCHAR) AS pid, k % 81 - 40.0::DOUBLE AS plat, -k % 120 - 15.0::DOUBLE AS plon FROM range(1, 3241) t(k))"
+    grid = "WITH w AS (SELECT 's0' AS scene_id, CAST(k // 32 AS INT) AS y, CAST(k % 32 AS INT) AS x FROM range(0, 1024) t(k))"
+    rest = catalog.ORACLE["c9_nearest_pixel"].partition(f"{catalog._POINTS}, ")[2]
+    want = {r[0]: r[2:] for r in duckdb.execute(f"{grid}, {catalog.NAV}, {pts}, {rest}").fetchall()}
+    proj = F.struct(*[F.lit(v).alias(k) for k, v in grids.PROJ.items()])
+    at = spark.range(1024).selectExpr("'s0' as scene_id", "cast(id div 32 as int) as y", "cast(id % 32 as int) as x")
+    at = at.select("*", G.scan_angle(F.col("x"), F.lit(grids.X0), F.lit(grids.DX)).alias("x_rad"), G.scan_angle(F.col("y"), F.lit(grids.Y0), F.lit(grids.DY)).alias("y_rad"), proj.alias("proj"))
+    places = spark.range(1, 3241).selectExpr("cast(id as string) as pid", "id % 81 - 40D as plat", "-id % 120 - 15D as plon")
+    got = {r.pid: (r.y, r.x) for r in spatial.nearest_pixel(places, G.navigate(at)).collect()}
+    assert len(got) == 3240 and got == want
+
+
 def test_all_points_and_clips(spark):
     from skyloom.plans import catalog
 
