@@ -13,6 +13,7 @@ RAD = math.pi / 180
 HEIGHT = 35786023.0  # fixed value: usual height of a geostationary satellite in metres
 HALF_DISK = 0.151872  # fixed value: half the full-disk field of view in radians
 LIMITS = (10, 10_000)
+CORNERS = ("ul_x", "ul_y", "lr_x", "lr_y")
 EDGE_SAMPLES = 20
 LEAF = 0.0439453125  # fixed value: degrees of the smallest cells of pixels, 180 / FINER ** (LEVELS - 1)
 FINER, LEVELS = 8, 5  # a cell of the next level is FINER times as wide
@@ -96,7 +97,8 @@ def nearest_pixel(points: DataFrame, nav: DataFrame) -> DataFrame:
     d = (F.col("lat") - F.col("plat")) * (F.col("lat") - F.col("plat")) + dlon * dlon
     found = around.join(pixels, ["scene_id", "i", "j"]).groupBy("plat", "plon", "scene_id").agg(F.min(F.struct(d.alias("d"), "y", "x")).alias("m"))
     named = points.select("pid", F.col("plat").cast("double").alias("plat"), F.col("plon").cast("double").alias("plon"))
-    near = named.join(found, ["plat", "plon"]).groupBy("pid", "scene_id").agg(F.min("m").alias("m"))
+    # points may be exploded, so far more than the size of their files tells: both sides are dealt by place
+    near = named.join(found.hint("shuffle_merge"), ["plat", "plon"]).groupBy("pid", "scene_id").agg(F.min("m").alias("m"))
     return near.select("pid", "scene_id", F.col("m.y").alias("y"), F.col("m.x").alias("x"))
 
 
@@ -111,11 +113,20 @@ def edge_points(clips: DataFrame) -> DataFrame:
 
 
 def bounding_box(clips: DataFrame, nav: DataFrame) -> DataFrame:
-    """(key, scene_id, y0, x0, height, width) of each clip on the native grid; at least four hits."""
-    points = edge_points(clips).select(F.struct("key", "pid").alias("pid"), "plat", "plon")
-    hits = nearest_pixel(points, nav).withColumn("key", F.col("pid.key"))
-    box = hits.groupBy("key", "scene_id").agg(F.count(F.lit(1)).alias("hits"), F.min("y").alias("y0"), F.min("x").alias("x0"), F.max("y").alias("y1"), F.max("x").alias("x1"))
-    return box.where("hits >= 4").select("key", "scene_id", "y0", "x0", (F.col("y1") - F.col("y0") + 1).alias("height"), (F.col("x1") - F.col("x0") + 1).alias("width"))
+    """(key, scene_id, y0, x0, height, width) of each clip on the native grid; at least four hits.
+
+    Keys with the same rectangle share one search.  A key with several has its own, in which each sample is
+    the nearest pixel to any of them.
+    """
+    rects = clips.where(" and ".join(f"{c} is not null" for c in CORNERS)).select("key", *CORNERS).distinct()
+    several = F.count(F.lit(1)).over(Window.partitionBy("key")) > 1
+    shape = F.when(several, F.concat_ws("/", F.lit("="), "key")).otherwise(F.concat_ws("/", *[F.col(c).cast("string") for c in CORNERS]))
+    shapes = rects.withColumn("shape", shape)
+    samples = edge_points(shapes.select(F.col("shape").alias("key"), *CORNERS).distinct())
+    hits = nearest_pixel(samples.select(F.struct("key", "pid").alias("pid"), "plat", "plon"), nav).withColumn("shape", F.col("pid.key"))
+    found = hits.groupBy("shape", "scene_id").agg(F.count(F.lit(1)).alias("hits"), F.min("y").alias("y0"), F.min("x").alias("x0"), F.max("y").alias("y1"), F.max("x").alias("x1"))
+    box = shapes.select("key", "shape").distinct().join(found.where("hits >= 4").hint("shuffle_merge"), "shape")
+    return box.select("key", "scene_id", "y0", "x0", (F.col("y1") - F.col("y0") + 1).alias("height"), (F.col("x1") - F.col("x0") + 1).alias("width"))
 
 
 def clip_native(pixels: DataFrame, nav: DataFrame, clips: DataFrame) -> DataFrame:

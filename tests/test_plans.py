@@ -1,6 +1,7 @@
 """Plans and large-scale forms: scans and exchanges of products, levels of a pyramid, tables by key."""
 
 import os
+import re
 
 import numpy as np
 import pytest
@@ -34,6 +35,13 @@ def test_table_reader_broadcasts_nothing(spark):
     assert "Broadcast" not in text and "SortMergeJoin" in text
 
 
+@pytest.mark.parametrize("name", ["c9_nearest_pixel", "g8_bounding_box", "g9_clip_native"])
+def test_points_are_not_broadcast_to_their_pixels(spark, name):
+    """Samples of clips are exploded from small files; a choice by file size would broadcast them all."""
+    text = plan(catalog.QUERIES[name](spark, DATA))
+    assert re.search(r"SortMergeJoin \[[^\]]*plat", text) and not re.search(r"BroadcastHashJoin \[[^\]]*plat", text)
+
+
 def test_pyramid_is_one_shuffle(spark):
     h, w, levels = 21, 13, 3
     v = np.random.default_rng(5).integers(0, 256, (h, w))

@@ -273,6 +273,32 @@ def test_all_points_and_clips(spark):
     assert sorted((r.key, r.scene_id, r.y, r.x) for r in catalog.QUERIES["g9_clip_native"](spark, sf).collect()) == windows
 
 
+def test_equal_rectangles_share_a_search_and_keys_may_repeat(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    nav = [("s0", int(k // 30), int(k % 30), float(lat), float(lon)) for k, (lat, lon) in enumerate(zip(rng.uniform(-40, 40, 900), rng.uniform(-130, -20, 900), strict=True))]
+    df = spark.createDataFrame(nav, "scene_id string, y int, x int, lat double, lon double")
+    one, two = (-100.0, 20.0, -80.0, 0.0), (-60.0, 10.0, -30.0, -20.0)
+    rows = [*[(f"k{i}", *one) for i in range(50)], ("d", *one), ("d", *two), ("d", *two), (None, *two), ("", *one), ("bad", 1.0, None, 2.0, 3.0)]
+    asked, search = [], spatial.nearest_pixel
+    monkeypatch.setattr(spatial, "nearest_pixel", lambda points, nav: asked.append(points.count()) or search(points, nav))
+    got = {r.key: (r.y0, r.x0, r.height, r.width) for r in spatial.bounding_box(spark.createDataFrame(rows, "key string, ul_x double, ul_y double, lr_x double, lr_y double"), df).collect()}
+    assert asked == [4 * 84]  # once for each of the two, and two for the key that has both
+    want = {}
+    for key in dict.fromkeys(r[0] for r in rows if r[0] != "bad"):
+        hits = []
+        for s in range(21):
+            for e in range(4):
+                at = []
+                for ul_x, ul_y, lr_x, lr_y in (r[1:] for r in rows if r[0] == key):
+                    lon, lat = ul_x + s / 20 * (lr_x - ul_x), lr_y + s / 20 * (ul_y - lr_y)
+                    p, q = ((ul_y, lon), (lr_y, lon), (lat, ul_x), (lat, lr_x))[e]
+                    at.append(min(((la - p) * (la - p) + (lo - q) * (lo - q), y, x) for _, y, x, la, lo in nav))
+                hits.append(min(at)[1:])
+        ys, xs = [y for y, _ in hits], [x for _, x in hits]
+        want[key] = (min(ys), min(xs), max(ys) - min(ys) + 1, max(xs) - min(xs) + 1)
+    assert got == want
+
+
 def test_phase_palette(spark):
     """Five phases: a discrete file with a missing colour, first value 1, last value 5, six colours."""
     lines = ["# UNIT = phase", "0 0/0/255 ; clear", "1 10/20/30 ; a", "2 40/50/60 ; b", "3 70/80/90 ; c", "5 100/110/120 ; d", "N 1 2 3"]
