@@ -131,7 +131,8 @@ def bounding_box(clips: DataFrame, nav: DataFrame) -> DataFrame:
 
 def clip_native(pixels: DataFrame, nav: DataFrame, clips: DataFrame) -> DataFrame:
     """Pixels in the bounding box of each clip, moved to its origin, with the clip's key."""
-    rows = bounding_box(clips, nav).withColumn("y", F.explode(F.sequence(F.col("y0"), F.col("y0") + F.col("height") - 1)))
+    lines = bounding_box(clips, nav).withColumn("y", F.explode(F.sequence(F.col("y0"), F.col("y0") + F.col("height") - 1)))
+    rows = spread(lines, "key", "scene_id", "y")  # before the join makes a line's pixels of it
     inside = (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x0") + F.col("width"))
     return pixels.join(rows, ["scene_id", "y"]).where(inside).withColumns({"y": F.col("y") - F.col("y0"), "x": F.col("x") - F.col("x0")}).drop("y0", "x0", "height", "width")
 

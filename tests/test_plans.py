@@ -42,6 +42,11 @@ def test_points_are_not_broadcast_to_their_pixels(spark, name):
     assert re.search(r"SortMergeJoin \[[^\]]*plat", text) and not re.search(r"BroadcastHashJoin \[[^\]]*plat", text)
 
 
+def test_lines_of_windows_are_dealt_apart(spark):
+    text = plan(catalog.QUERIES["g9_clip_native"](spark, DATA))
+    assert re.search(r"hashpartitioning\(key#\d+, scene_id#\d+, y#\d+, 8\), REPARTITION_BY_NUM", text)
+
+
 def test_pyramid_is_one_shuffle(spark):
     h, w, levels = 21, 13, 3
     v = np.random.default_rng(5).integers(0, 256, (h, w))
